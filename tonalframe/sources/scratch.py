@@ -24,9 +24,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tonalframe/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """`df` as a Parquet table in the shared folder, read again. This cuts the lineage: tasks lost
-    with an executor read the table instead of computing it anew."""
+def write_table(df: DataFrame, name: str, compression: str = "zstd") -> str:
+    """Writes `df` as a Parquet table in the shared folder and returns its path."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """`df` written to the shared folder and read again. This cuts the lineage: tasks lost with an
+    executor read the table instead of computing it anew."""
+    path = write_table(df, name, compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
