@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tonalframe.llm.exact_dedup import exact_dedup
+from tonalframe.llm.packing import pack
+from tonalframe.llm.token_store import round_trip
 from tonalframe.sources.tables import table
 
 
@@ -23,8 +25,16 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op1_exact_dedup]
+    found = [op1_exact_dedup, op5_packing, op8_token_store]
     return {f.__name__: f for f in found}
 
 
