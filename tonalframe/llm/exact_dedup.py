@@ -19,7 +19,11 @@ from tonalframe.llm.common import ascii_lower
 from tonalframe.sources.scratch import new_path, write_table, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state's store, and no space set aside in advance for each of many small stores.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text_col: str) -> Column:
@@ -40,13 +44,15 @@ def run_state(spark: SparkSession, arrivals_path: str, schema) -> DataFrame:
     """Streams the arrivals in `arrivals_path` through the state and reads the state: digest, held, group_size."""
     where = new_path(spark, "dedup-state")
     stream = spark.readStream.schema(schema).option("maxFileAge", "36500d").parquet(arrivals_path)
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, "") for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         sink = keyed_state(stream).writeStream.format("noop").outputMode("update").option("checkpointLocation", where)
         sink.trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     state = spark.read.format("statestore").load(where)
     held, size = state.schema["value"].dataType.names
     held = F.col("value")[held]
