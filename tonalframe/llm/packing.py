@@ -117,8 +117,7 @@ def pack(
             docs = [None if pd.isna(x) else int(x) for x in docs]
             for i, j in text_slices(texts):
                 for doc, ids in zip(docs[i:j], coder.encode(texts[i:j]), strict=True):
-                    ids.append(end_id)
-                    packer.add(doc, np.array(ids, "<u4"))
+                    packer.add(doc, np.append(np.frombuffer(ids, coder.dtype).astype("<u4"), np.uint32(end_id)))
                 if out:
                     yield taken()
         packer.finish()

@@ -56,11 +56,12 @@ def token_table(docs: DataFrame, end_id: int, path: str, id_col: str, text_col:
 
     def rows(batches):
         coder = encoder(path)
-        wide = "<u2" if max(coder.model.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        wide = "<u4" if end_id >= 1 << 16 else coder.dtype
+        end = np.array([end_id], wide).tobytes()
         for b in batches:
             texts = b["text"].tolist()
             for i, j in text_slices(texts):
-                ids = [np.array([*x, end_id], wide).tobytes() for x in coder.encode(texts[i:j])]
+                ids = [(x if wide == coder.dtype else np.frombuffer(x, coder.dtype).astype(wide).tobytes()) + end for x in coder.encode(texts[i:j])]
                 yield pd.DataFrame({"doc": b["doc"].iloc[i:j].astype("Int64"), "width": int(wide[2]), "ids": ids})
 
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

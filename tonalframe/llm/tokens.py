@@ -1,17 +1,22 @@
-"""Token ids of texts by a public byte-level tokenizer, with pieces between white space looked up in a bounded cache."""
+"""Token ids of texts by a public byte-level tokenizer, with pieces of texts looked up in a bounded cache."""
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import chain
 
 from tonalframe.llm.common import worker_cache
 
 #: White space as the tokenizer's own splitting pattern sees it (Unicode's White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: The splitting pattern never crosses the border before an optional space and a run without white space.
-CHUNK = f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+"
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: ASCII punctuation but the apostrophe, which the splitting pattern may join to letters.
+MARKS = "!-&(-/:-@\\[-`{-~"
+#: The splitting pattern has a border wherever these pieces meet; the first kind is one of its own pieces.
+WORD = f" ?[{LETTERS}]++(?![^{SPACE}{MARKS}])"
+PIECE = f"{WORD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -20,40 +25,52 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: itself, or the next one from 256."""
+    itself = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in itself} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*itself}))}
+
+
 class Encoder:
-    """Encodes whole texts; `held` bounds the pieces kept, `longest` the characters of a piece worth keeping."""
+    """Encodes whole texts. `held` bounds the pieces kept, `longest` the characters of a piece worth keeping."""
 
-    def __init__(self, path: str, held: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, held: int = 1_000_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.code = "H" if self.model.get_vocab_size() < 1 << 16 else "I"
+        self.dtype = "<u2" if self.code == "H" else "<u4"
         self.held, self.longest, self.ids = held, longest, {}
-        self.split = re.compile(CHUNK).findall
+        self.split, self.is_word, self.letters = re.compile(PIECE).findall, re.compile(f" ?[{LETTERS}]+").fullmatch, byte_letters()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Of each text, its ids in the little-endian `dtype`."""
         parts = [self.split(x) for x in texts]
-        known = self.ids
+        known, code, once = self.ids, self.code, {}
         if len(known) > self.held:
             known.clear()
-        new = list({x for x in chain.from_iterable(parts) if x not in known})
-        once = {}
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
+        new = {x for x in chain.from_iterable(parts) if x not in known}
+        words = [x for x in new if self.is_word(x)]
+        merge, letters = self.model.model.tokenize, self.letters
+        for x in words:
+            ids = array(code, [t.id for t in merge(x.encode().decode("latin-1").translate(letters))]).tobytes()
+            (known if len(x) <= self.longest else once)[x] = ids
+        other = list(new.difference(words))
+        for i in range(0, len(other), 20_000):
+            some = other[i : i + 20_000]
             for x, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (known if len(x) <= self.longest else once)[x] = e.ids
-        if once:
-            known = known | once
-        get = known.__getitem__
-        return [list(chain.from_iterable(map(get, p))) for p in parts]
+                (known if len(x) <= self.longest else once)[x] = array(code, e.ids).tobytes()
+        get = (known | once if once else known).__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
 
 def encoder(path: str) -> Encoder:
     return worker_cache(f"encoder_{path}", lambda: Encoder(path))
 
 
-def text_slices(texts: list[str], most_chars: int = 2_000_000):
+def text_slices(texts: list[str], most_chars: int = 4_000_000):
     """(start, end) of runs of texts with about `most_chars` characters at most; a longer text stands alone."""
     start = size = 0
     for i, x in enumerate(texts):
