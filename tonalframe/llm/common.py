@@ -6,7 +6,7 @@ import string
 import sys
 import types
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,3 +22,11 @@ def worker_cache(name: str, make):
     if not hasattr(held, name):
         setattr(held, name, make())
     return getattr(held, name)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """`base`, or it with underscores, as a name that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonalframe.llm.common import ascii_lower
+from tonalframe.llm.common import ascii_lower, free_name
 from tonalframe.sources.scratch import new_path, write_table, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -104,9 +104,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of equal texts, all columns kept."""
     found = exact_dedup(docs, id_col, text_col).where("kept")
-    name = "_copy_key"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "_copy_key")
     key = lambda i, sha: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), sha)
     stay = found.select(key(F.col(id_col), F.col("text_sha256")).alias(name))
     mine = docs.withColumn(name, key(F.col(id_col), F.sha2(normalised(text_col), 256)))

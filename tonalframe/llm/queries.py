@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tonalframe.llm.exact_dedup import exact_dedup
+from tonalframe.llm.language_id import language_of
 from tonalframe.llm.packing import pack
 from tonalframe.llm.simhash import simhash_groups
 from tonalframe.llm.token_store import round_trip
@@ -69,8 +70,12 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op1_exact_dedup, op4_decontamination, op5_packing, op6_simhash, op8_token_store]
+    found = [op1_exact_dedup, op4_decontamination, op5_packing, op6_simhash, op8_token_store, op10_language_id]
     return {f.__name__: f for f in found}
 
 

@@ -20,9 +20,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonalframe.llm.tokens import text_slices
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased UTF-8: digits, letters a-z, all beyond ASCII
 K = 5
 
@@ -168,9 +171,7 @@ def batch_hits(texts: list[str], index: Index) -> tuple[np.ndarray, dict[int, li
 RESULT = "doc long, n_words long, n_hit long, items array<long>"
 
 
-def _by_broadcast(given: DataFrame, items: list, span: int) -> DataFrame:
-    index = Index(items, span)
-
+def _by_broadcast(given: DataFrame, index: Index) -> DataFrame:
     def rows(batches):
         for b in batches:
             texts = b["text"].tolist()
@@ -187,8 +188,6 @@ def _by_broadcast(given: DataFrame, items: list, span: int) -> DataFrame:
 
 
 def _slices(texts: list[str], most: int = 1_000_000):
-    from tonalframe.llm.tokens import text_slices
-
     return text_slices(texts, most)
 
 
@@ -252,23 +251,52 @@ def _by_shuffle(given: DataFrame, items: DataFrame, span: int) -> DataFrame:
     return keyed.join(spans, "key", "left").mapInPandas(summed, RESULT)
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
+    """Items (item, text, n) with words, and how many words they have together."""
+    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
+    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
+    words = F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+    items = items.withColumn("n", F.size(F.filter(words, lambda x: x != ""))).where("n > 0")
+    return items, items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _index(items: DataFrame, span: int) -> Index:
+    return Index([(r["item"], words_of(r["text"])) for r in items.orderBy("item").collect()], span)
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, span: int = 10, broadcast_words: int = 2_000_000,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """id, n_words, n_hit, n_items, items (sorted as strings), items_sha256, contaminated for each row of `docs`."""
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
-    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-    items = items.withColumn("n", F.size(F.filter(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), lambda x: x != "")))
-    total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if total <= broadcast_words:
-        rows = [(r["item"], words_of(r["text"])) for r in items.orderBy("item").collect()]
-        found = _by_broadcast(given, [x for x in rows if x[1]], span)
-    else:
-        found = _by_shuffle(given, items.where("n > 0"), span)
+    items, total = _items(benchmark, item_col, item_text_col)
+    found = _by_broadcast(given, _index(items, span)) if total <= broadcast_words else _by_shuffle(given, items, span)
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(
         F.col("doc").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, span: int = 10, broadcast_words: int = 2_000_000,
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """`docs` without the rows that share a run of words with a benchmark item; nothing is shuffled for a benchmark that can be broadcast."""
+    items, total = _items(benchmark, item_col, item_text_col)
+    if total > broadcast_words:
+        found = contamination(docs, benchmark, span, broadcast_words, id_col, text_col, item_col, item_text_col)
+        return docs.join(found.where("contaminated").select(id_col).distinct(), id_col, "left_anti")
+    index = _index(items, span)
+
+    def rows(batches):
+        for b in batches:
+            texts = [x or "" for x in b.column(text_col).to_pylist()]
+            clean = np.ones(len(texts), bool)
+            for i, j in _slices(texts):
+                for d, h in batch_hits(texts[i:j], index)[1].items():
+                    clean[i + d] = not index.matches(words_of(texts[i + d]), h)[0]
+            yield b.filter(pa.array(clean))
+
+    return docs.mapInArrow(rows, docs.schema)
