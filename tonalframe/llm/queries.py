@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tonalframe.llm.exact_dedup import exact_dedup
 from tonalframe.llm.language_id import language_of
 from tonalframe.llm.packing import pack
+from tonalframe.llm.personal_data import personal_data
 from tonalframe.llm.simhash import simhash_groups
 from tonalframe.llm.token_store import round_trip
 from tonalframe.llm.winnowing import contamination
@@ -70,12 +72,17 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = [op1_exact_dedup, op4_decontamination, op5_packing, op6_simhash, op8_token_store, op10_language_id]
+    found = [op1_exact_dedup, op4_decontamination, op5_packing, op6_simhash, op8_token_store, op9_personal_data, op10_language_id]
     return {f.__name__: f for f in found}
 
 
