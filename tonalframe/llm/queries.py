@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonalframe.llm.exact_dedup import exact_dedup
+from tonalframe.llm.html_text import main_text
 from tonalframe.llm.language_id import language_of
 from tonalframe.llm.packing import pack
 from tonalframe.llm.personal_data import personal_data
@@ -68,6 +69,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
@@ -82,7 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_exact_dedup, op4_decontamination, op5_packing, op6_simhash, op8_token_store, op9_personal_data, op10_language_id]
+    found = [op1_exact_dedup, op4_decontamination, op5_packing, op6_simhash, op7_html_text, op8_token_store, op9_personal_data, op10_language_id]
     return {f.__name__: f for f in found}
 
 
