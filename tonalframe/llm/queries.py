@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonalframe.llm.exact_dedup import exact_dedup
 from tonalframe.llm.html_text import main_text
 from tonalframe.llm.language_id import language_of
+from tonalframe.llm.line_dedup import line_dedup
 from tonalframe.llm.packing import pack
 from tonalframe.llm.personal_data import personal_data
 from tonalframe.llm.simhash import simhash_groups
@@ -31,6 +32,12 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    sha = F.sha2("text", 256).alias("text_sha256")
+    return found.select("doc_id", "n_lines", "n_deleted", "deleted", "partners", F.char_length("text").cast("long").alias("n_chars"), sha)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -87,7 +94,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_exact_dedup, op4_decontamination, op5_packing, op6_simhash, op7_html_text, op8_token_store, op9_personal_data, op10_language_id]
+    found = [op1_exact_dedup, op2_line_dedup, op4_decontamination, op5_packing, op6_simhash, op7_html_text, op8_token_store, op9_personal_data, op10_language_id]
     return {f.__name__: f for f in found}
 
 
