@@ -9,6 +9,7 @@ from tonalframe.llm.exact_dedup import exact_dedup
 from tonalframe.llm.html_text import main_text
 from tonalframe.llm.language_id import language_of
 from tonalframe.llm.line_dedup import line_dedup
+from tonalframe.llm.lm_scoring import lm_scores
 from tonalframe.llm.packing import pack
 from tonalframe.llm.personal_data import personal_data
 from tonalframe.llm.simhash import simhash_groups
@@ -38,6 +39,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted", "deleted", "partners", F.char_length("text").cast("long").alias("n_chars"), sha)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -94,7 +99,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_exact_dedup, op2_line_dedup, op4_decontamination, op5_packing, op6_simhash, op7_html_text, op8_token_store, op9_personal_data, op10_language_id]
+    found = [op1_exact_dedup, op2_line_dedup, op3_lm_scoring, op4_decontamination, op5_packing, op6_simhash, op7_html_text, op8_token_store, op9_personal_data, op10_language_id]
     return {f.__name__: f for f in found}
 
 
