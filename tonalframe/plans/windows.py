@@ -1 +1,227 @@
-"""Queries."""
+"""Queries of ordered operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tonalframe.functions import theory as T
+from tonalframe.operators import folds
+from tonalframe.operators import windows as W
+from tonalframe.plans import shims
+from tonalframe.plans.registry import query
+
+
+@query(shims.with_shims("""
+SELECT chart, bar, coalesce(last_value(CASE WHEN p % 4 <> 0 THEN raw END IGNORE NULLS) OVER (PARTITION BY chart ORDER BY bar), '1') AS raw, p % 4 = 0 AS filled FROM chords""", chords=shims.CHORDS))
+def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty bars take the chord before, the tonic at first (K2)."""
+    empty = F.col("p") % 4 == 0
+    rows = shims.chords(spark, sf_dir).select("chart", "bar", F.when(~empty, F.col("raw")).alias("raw"), empty.alias("filled"))
+    return W.carried(rows, "raw", ["chart"], ["bar"], "1")
+
+
+@query(shims.with_shims("""
+SELECT chart, bar, hint, CASE WHEN hint IS NOT NULL THEN hint WHEN held LIKE '%~%' THEN held END AS active
+FROM (SELECT chart, bar, hint, last_value(hint IGNORE NULLS) OVER (PARTITION BY chart, bar // 3 ORDER BY bar) AS held
+  FROM (SELECT chart, bar, CASE p % 6 WHEN 0 THEN '~5' WHEN 1 THEN '1' WHEN 2 THEN '6~' END AS hint FROM chords))""", chords=shims.CHORDS))
+def bass_hint_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bass hint with a tilde holds on to the end of its printed row (K3)."""
+    hint = F.when(F.col("p") % 6 == 0, "~5").when(F.col("p") % 6 == 1, "1").when(F.col("p") % 6 == 2, "6~")
+    rows = shims.chords(spark, sf_dir).select("chart", "bar", hint.alias("hint"), hint.alias("held"), F.floor(F.col("bar") / 3).alias("system"))
+    rows = W.carried(rows, "held", ["chart"], ["bar"], within=F.col("system"))
+    return rows.select("chart", "bar", "hint", F.when(F.col("hint").isNotNull(), F.col("hint")).when(F.col("held").contains("~"), F.col("held")).alias("active"))
+
+
+MOTION = "CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL ELSE CASE ((({b} - {a}) % 12) + 12) % 12 WHEN 5 THEN 0.85 WHEN 7 THEN 0.85 WHEN 1 THEN 0.8 WHEN 2 THEN 0.8 WHEN 10 THEN 0.8 WHEN 11 THEN 0.8 WHEN 3 THEN 0.7 WHEN 4 THEN 0.7 WHEN 8 THEN 0.7 WHEN 9 THEN 0.7 ELSE 0.4 END::DOUBLE END"
+
+
+@query(shims.with_shims(f"""
+SELECT chart, bar, raw, prev, next, CASE WHEN a IS NULL AND b IS NULL THEN 0.7::DOUBLE ELSE round_even((coalesce(a, 0) + coalesce(b, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT), 3) END AS plausibility
+FROM (SELECT *, {MOTION.format(a="pr", b="r")} AS a, {MOTION.format(a="r", b="nr")} AS b FROM (
+  SELECT chart, bar, raw, r, lag(raw) OVER w AS prev, lead(raw) OVER w AS next, lag(r) OVER w AS pr, lead(r) OVER w AS nr
+  FROM (SELECT *, (list_value(0,2,4,5,7,9,11)[1 + p % 7] + CASE WHEN p % 11 = 0 THEN 11 ELSE 0 END) % 12 AS r FROM chords) WINDOW w AS (PARTITION BY chart ORDER BY bar)))""", chords=shims.CHORDS))
+def progression_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring chords across bars and how plausible the root's steps are."""
+    rows = shims.chords(spark, sf_dir).select("chart", "bar", "raw", T.chord_degree(F.col("raw"))["root"].alias("root"))
+    w = Window.partitionBy("chart").orderBy("bar")
+    rows = rows.withColumns({"prev": F.lag("raw").over(w), "next": F.lead("raw").over(w), "a": F.lag("root").over(w), "b": F.lead("root").over(w)})
+    steps = F.filter(F.array(F.when(F.col("a").isNotNull(), T.motion_score(F.col("a"), F.col("root"))), F.when(F.col("b").isNotNull(), T.motion_score(F.col("root"), F.col("b")))), lambda x: x.isNotNull())
+    mean = F.bround(F.aggregate(steps, F.lit(0.0), lambda t, x: t + x) / F.size(steps), 3)
+    return rows.select("chart", "bar", "raw", "prev", "next", F.when(F.size(steps) > 0, mean).otherwise(0.7).alias("plausibility"))
+
+
+RUNS = """
+  SELECT song, island, any_value(label) AS label, min(bar) AS first, max(bar) AS last, count(*) AS n FROM (
+    SELECT *, sum(new) OVER (PARTITION BY song ORDER BY bar) AS island FROM (
+      SELECT *, CASE WHEN lag(label) OVER (PARTITION BY song ORDER BY bar) IS NOT DISTINCT FROM label THEN 0 ELSE 1 END AS new FROM sections)) GROUP BY song, island"""
+SECTIONS = "SELECT chart AS song, bar, list_value('verse', 'chorus', 'intro')[1 + p % 3] AS label FROM chords"
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.element_at(F.array(*map(F.lit, ["verse", "chorus", "intro"])), (F.col("p") % 3 + 1).cast("int"))
+    return shims.chords(spark, sf_dir).select(F.col("chart").alias("song"), "bar", label.alias("label"))
+
+
+@query(shims.with_shims("SELECT song, CAST(island AS BIGINT) AS island, label, first, last, n FROM runs", chords=shims.CHORDS, sections=SECTIONS, runs=RUNS))
+def label_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of bars with one label."""
+    return W.islands(labelled(spark, sf_dir), "label", ["song"], "bar")
+
+
+@query(shims.with_shims("""
+SELECT song, first, last, label, CASE label WHEN 'verse' THEN 'A' || k WHEN 'chorus' THEN 'B' || k ELSE label || CASE WHEN k = 1 THEN '' ELSE CAST(k AS VARCHAR) END END AS section_id
+FROM (SELECT *, row_number() OVER (PARTITION BY song, label ORDER BY first) AS k FROM runs)""", chords=shims.CHORDS, sections=SECTIONS, runs=RUNS))
+def section_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections named by role and count."""
+    runs = W.islands(labelled(spark, sf_dir), "label", ["song"], "bar")
+    return W.numbered_sections(runs, ["song"], "label", "first", {"verse": "A", "chorus": "B"}).select("song", "first", "last", "label", "section_id")
+
+
+@query(shims.with_shims("""
+SELECT series, CAST(cluster AS BIGINT) AS cluster, min(start) AS first, max(start) AS last, count(*) AS n FROM (
+  SELECT series, start, sum(new) OVER (PARTITION BY series ORDER BY start, id) AS cluster FROM (
+    SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY series ORDER BY start, id) <= 21600000000 THEN 0 ELSE 1 END AS new FROM notes)) GROUP BY series, cluster""", notes=shims.NOTES))
+def note_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of onsets by the gap to the one before."""
+    return W.gap_clusters(shims.notes(spark, sf_dir), ["series"], "start", 21_600_000_000, "id")
+
+
+@query(shims.with_shims("""
+SELECT series, id, coalesce(last_value(CASE WHEN value > 60 THEN true WHEN value < 20 THEN false END IGNORE NULLS) OVER (PARTITION BY series ORDER BY start, id), false) AS open FROM notes""", notes=shims.NOTES))
+def hysteresis_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gate with two thresholds."""
+    rows = W.hysteresis(shims.notes(spark, sf_dir), ["series"], ["start", "id"], F.col("value") > 60, F.col("value") < 20)
+    return rows.select("series", "id", "open")
+
+
+PITCHES = "SELECT series, row_number() OVER (PARTITION BY series ORDER BY start, id) AS i, CASE WHEN id % 5 IN (1, 2) THEN NULL ELSE midi::DOUBLE END AS pitch FROM notes"
+
+
+def pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.row_number().over(Window.partitionBy("series").orderBy("start", "id")).cast("long")
+    return shims.notes(spark, sf_dir).select("series", i.alias("i"), F.when((F.col("id") % 5).isin(1, 2), None).otherwise(F.col("midi").cast("double")).alias("pitch"))
+
+
+@query(shims.with_shims("""
+SELECT series, i, round_even(coalesce(pitch, CASE WHEN b.i - a.i - 1 <= 3 AND abs(b.v - a.v) <= 4.0 THEN a.v + (b.v - a.v) * (i - a.i) / (b.i - a.i) END), 6) AS pitch FROM (
+  SELECT series, i, pitch, last_value(CASE WHEN pitch IS NOT NULL THEN {'i': i, 'v': pitch} END IGNORE NULLS) OVER (PARTITION BY series ORDER BY i) AS a,
+    last_value(CASE WHEN pitch IS NOT NULL THEN {'i': i, 'v': pitch} END IGNORE NULLS) OVER (PARTITION BY series ORDER BY i DESC) AS b FROM pitches)""", notes=shims.NOTES, pitches=PITCHES))
+def gap_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short gaps between like pitches filled by a line."""
+    rows = W.bridged(pitches(spark, sf_dir), ["series"], "i", "pitch", 3, 4.0)
+    return rows.select("series", "i", F.bround("pitch", 6).alias("pitch"))
+
+
+@query(shims.with_shims("""
+SELECT series, i, midi, list_sort(list_transform(range(-2, 3), lambda d: v[CAST((CASE WHEN i - 1 + d < 0 THEN -(i - 1 + d) - 1 WHEN i - 1 + d >= n THEN 2 * n - 1 - (i - 1 + d) ELSE i - 1 + d END) + 1 AS BIGINT)]))[3] AS med
+FROM (SELECT series, i, midi, n, list(midi) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v
+  FROM (SELECT series, midi, row_number() OVER (PARTITION BY series ORDER BY start, id) AS i, count(*) OVER (PARTITION BY series) AS n FROM notes)) WHERE n >= 5""", notes=shims.NOTES))
+def sliding_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median of five with mirrored ends."""
+    w = Window.partitionBy("series")
+    rows = shims.notes(spark, sf_dir).withColumn("i", F.row_number().over(w.orderBy("start", "id")).cast("long")).withColumn("size", F.count(F.lit(1)).over(w)).where("size >= 5")
+    return W.centred_median(rows.select("series", "i", "midi"), ["series"], ["i"], "midi", 2, "med")
+
+
+@query(shims.with_shims("""
+SELECT series, id, value >= m AND value > coalesce(p, -1) AND value > coalesce(n, -1) AS peak FROM (
+  SELECT series, id, value, max(value) OVER (PARTITION BY series ORDER BY start, id ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS m, lag(value) OVER (PARTITION BY series ORDER BY start, id) AS p,
+    lead(value) OVER (PARTITION BY series ORDER BY start, id) AS n FROM notes)""", notes=shims.NOTES))
+def local_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that top their surroundings."""
+    w = Window.partitionBy("series").orderBy("start", "id")
+    top, prev, following = F.max("value").over(w.rowsBetween(-7, 7)), F.coalesce(F.lag("value").over(w), F.lit(-1.0)), F.coalesce(F.lead("value").over(w), F.lit(-1.0))
+    v = F.col("value")
+    return shims.notes(spark, sf_dir).select("series", "id", ((v >= top) & (v > prev) & (v > following)).alias("peak"))
+
+
+@query(shims.with_shims("""
+SELECT series, id, midi FROM (SELECT *, max(midi) OVER (PARTITION BY series ORDER BY start, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM notes) WHERE top IS NULL OR midi >= top""", notes=shims.NOTES))
+def monotonic_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that do not fall behind an earlier one."""
+    return W.monotonic(shims.notes(spark, sf_dir), ["series"], ["start", "id"], "midi").select("series", "id", "midi")
+
+
+@query(shims.with_shims("""
+SELECT chart, bar, raw FROM (SELECT *, lag(raw) OVER (PARTITION BY chart ORDER BY bar) AS before FROM chords) WHERE before IS DISTINCT FROM raw""", chords=shims.CHORDS))
+def repeats_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chords without the ones that repeat the chord before."""
+    w = Window.partitionBy("chart").orderBy("bar")
+    rows = shims.chords(spark, sf_dir).withColumn("prev", F.lag("raw").over(w))
+    return rows.where(~F.col("prev").eqNullSafe(F.col("raw"))).select("chart", "bar", "raw")
+
+
+@query(shims.with_shims("""
+SELECT chart, bar, list(raw) OVER (PARTITION BY chart ORDER BY bar ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM chords QUALIFY p % 17 = 0""", chords=shims.CHORDS))
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged bars with two bars to either side."""
+    w = Window.partitionBy("chart").orderBy("bar").rowsBetween(-2, 2)
+    return shims.chords(spark, sf_dir).withColumn("around", F.collect_list("raw").over(w)).where("p % 17 = 0").select("chart", "bar", "around")
+
+
+@query(shims.with_shims("""
+SELECT chart, bar FROM (SELECT *, lag(n) OVER w AS a, lead(n) OVER w AS b FROM (SELECT chart, bar, CASE WHEN p % 4 = 0 THEN 0 ELSE 1 END AS n, s FROM chords) WINDOW w AS (PARTITION BY chart ORDER BY bar))
+WHERE n = 0 AND s % 2 = 0 AND (a > 0 OR b > 0)""", chords=shims.CHORDS))
+def silent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with melody but no chords beside rows with chords."""
+    w = Window.partitionBy("chart").orderBy("bar")
+    n = F.when(F.col("p") % 4 == 0, 0).otherwise(1)
+    rows = shims.chords(spark, sf_dir).withColumn("n", n)
+    rows = rows.withColumn("a", F.lag("n").over(w)).withColumn("b", F.lead("n").over(w))
+    return rows.where("n = 0 and s % 2 = 0 and (a > 0 or b > 0)").select("chart", "bar")
+
+
+@query(shims.with_shims("""
+SELECT chart, bar, raw, lead(raw) OVER (PARTITION BY chart ORDER BY bar) AS next_raw, first_value(raw) OVER (PARTITION BY chart, bar // 2 ORDER BY bar) AS primary_raw FROM chords""", chords=shims.CHORDS))
+def primary_and_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First chord of a pair of bars, and the next bar's chord."""
+    w = Window.partitionBy("chart").orderBy("bar")
+    pair = Window.partitionBy("chart", F.floor(F.col("bar") / 2)).orderBy("bar")
+    return shims.chords(spark, sf_dir).select("chart", "bar", "raw", F.lead("raw").over(w).alias("next_raw"), F.first("raw").over(pair).alias("primary_raw"))
+
+
+EVENTS = "SELECT series, start // 4000000000 AS bar, (start % 4000000000) / 1000000000 AS o, (1 + id % 3) * 0.5::DOUBLE AS len FROM notes"
+
+
+@query(shims.with_shims("""
+SELECT series, bar, round_even(x.a, 9) AS onset, round_even(x.b - x.a, 9) AS duration, x.r AS is_rest FROM (
+  SELECT series, bar, unnest([{'a': prev, 'b': o, 'r': true}, {'a': o, 'b': stop, 'r': false}, {'a': CASE WHEN nxt IS NULL THEN stop ELSE 4.0::DOUBLE END, 'b': 4.0::DOUBLE, 'r': true}]) AS x FROM (
+    SELECT *, coalesce(lag(stop) OVER (PARTITION BY series, bar ORDER BY o), 0) AS prev FROM (
+      SELECT *, lead(o) OVER w AS nxt, least(o + len, coalesce(lead(o) OVER w, 4), 4)::DOUBLE AS stop FROM (SELECT series, bar, o, max(len) AS len FROM events2 WHERE o < 4 GROUP BY ALL) WINDOW w AS (PARTITION BY series, bar ORDER BY o))))
+WHERE x.b - x.a > 1e-9""", notes=shims.NOTES, events2=EVENTS))
+def bar_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a bar clipped and its gaps filled with rests."""
+    rows = shims.notes(spark, sf_dir)
+    bar, at = F.floor(F.col("start") / 4_000_000_000), F.pmod("start", F.lit(4_000_000_000)) / 1_000_000_000
+    rows = rows.select("series", bar.alias("bar"), at.alias("at"), ((1 + F.col("id") % 3) * 0.5).alias("len"))
+    found = W.tiled(rows, ["series", "bar"], "at", "len", 4.0)
+    return found.select("series", "bar", F.bround("onset", 9).alias("onset"), F.bround("duration", 9).alias("duration"), "is_rest")
+
+
+@query()
+def greedy_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Onsets that lie an hour or more after the last one kept."""
+    rows = shims.notes(spark, sf_dir).select("series", "id", "start")
+    return folds.fold(rows, ["series"], ["start", "id"], ["start"], lambda x: folds.apart(x, 3_600_000_000), "keep", "boolean")
+
+
+@query()
+def clusters_from_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of onsets by the distance to their first."""
+    rows = shims.notes(spark, sf_dir).select("series", "id", "start")
+    return folds.fold(rows, ["series"], ["start", "id"], ["start"], lambda x: folds.from_first(x, 43_200_000_000), "cluster", "long")
+
+
+@query()
+def glitch_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chord labels of beats without one-beat glitches."""
+    rows = shims.notes(spark, sf_dir).select("series", "id", "start", "kind", "value")
+    return folds.fold(rows, ["series"], ["start", "id"], ["kind", "value"], folds.smoothed, "smooth", "string").drop("value")
+
+
+@query()
+def run_absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short runs joined to their neighbours until none is short."""
+    rows = shims.notes(spark, sf_dir).select("series", "id", "start", "kind")
+    return folds.fold(rows, ["series"], ["start", "id"], ["kind"], lambda x: folds.absorbed(x, 3), "steady", "string")
