@@ -5,6 +5,9 @@ Groups are songs, pages or recordings, whose length does not grow with the corpu
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -90,12 +93,37 @@ def increasing(beats: list[float], beats_in_bar: float, step: float = 0.5) -> li
     return out
 
 
-def fold(rows: DataFrame, key: list[str], order: list[str], values: list[str], use, name: str, kind: str) -> DataFrame:
-    """`rows` with a column `name`: use(*values of the group, in order) gives one entry a row."""
+Columns = dict[str, np.ndarray]
+
+
+def by_song(rows: DataFrame, key: str, order: list[str], use: Callable[[Columns], dict[str, list]], schema: str) -> DataFrame:
+    """use(the columns of one key's rows, in order), key by key. Partitions hold whole keys, sorted, and stream through Arrow
+    batches; a task holds one batch and one key at a time, and many short keys cost little more than their rows."""
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def used(columns: Columns, edges: list[int]) -> pd.DataFrame:
+            out: dict[str, list] = {}
+            for i, j in zip(edges, edges[1:], strict=False):
+                for name, values in use({c: v[i:j] for c, v in columns.items()}).items():
+                    out.setdefault(name, []).extend(values)
+            return pd.DataFrame(out)
+
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            k = b[key].to_numpy()
+            edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()]
+            if len(edges) > 1:
+                yield used({c: b[c].to_numpy() for c in b.columns}, edges)
+            rest = b.iloc[edges[-1] :]
+        if rest is not None and len(rest):
+            yield used({c: rest[c].to_numpy() for c in rest.columns}, [0, len(rest)])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key).sortWithinPartitions(key, *order).mapInPandas(stream, schema)
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(**{name: use(*(pdf[v].tolist() for v in values))})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != name)
-    return rows.drop(name).groupBy(*key).applyInPandas(each, f"{fields}, `{name}` {kind}") if name not in rows.columns else rows.groupBy(*key).applyInPandas(each, rows.schema)
+def fold(rows: DataFrame, key: str, order: list[str], values: list[str], use, name: str, kind: str) -> DataFrame:
+    """`rows` with a column `name`: use(*values of the key's rows, in order) gives one entry a row."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return by_song(rows, key, order, lambda c: c | {name: use(*(c[v].tolist() for v in values))}, f"{fields}, `{name}` {kind}")

@@ -203,25 +203,25 @@ def bar_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Onsets that lie an hour or more after the last one kept."""
     rows = shims.notes(spark, sf_dir).select("series", "id", "start")
-    return folds.fold(rows, ["series"], ["start", "id"], ["start"], lambda x: folds.apart(x, 3_600_000_000), "keep", "boolean")
+    return folds.fold(rows, "series", ["start", "id"], ["start"], lambda x: folds.apart(x, 3_600_000_000), "keep", "boolean")
 
 
 @query()
 def clusters_from_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of onsets by the distance to their first."""
     rows = shims.notes(spark, sf_dir).select("series", "id", "start")
-    return folds.fold(rows, ["series"], ["start", "id"], ["start"], lambda x: folds.from_first(x, 43_200_000_000), "cluster", "long")
+    return folds.fold(rows, "series", ["start", "id"], ["start"], lambda x: folds.from_first(x, 43_200_000_000), "cluster", "long")
 
 
 @query()
 def glitch_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chord labels of beats without one-beat glitches."""
     rows = shims.notes(spark, sf_dir).select("series", "id", "start", "kind", "value")
-    return folds.fold(rows, ["series"], ["start", "id"], ["kind", "value"], folds.smoothed, "smooth", "string").drop("value")
+    return folds.fold(rows, "series", ["start", "id"], ["kind", "value"], folds.smoothed, "smooth", "string").drop("value")
 
 
 @query()
 def run_absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short runs joined to their neighbours until none is short."""
     rows = shims.notes(spark, sf_dir).select("series", "id", "start", "kind")
-    return folds.fold(rows, ["series"], ["start", "id"], ["kind"], lambda x: folds.absorbed(x, 3), "steady", "string")
+    return folds.fold(rows, "series", ["start", "id"], ["kind"], lambda x: folds.absorbed(x, 3), "steady", "string")
