@@ -52,7 +52,6 @@ def melodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shims.chords(spark, sf_dir).select("chart", "bar", tokens.alias("melody"))
 
 
-@F.pandas_udf("struct<onsets:array<double>,degrees:array<int>,beat_sum:double>")
 def parsed(melody: pd.Series) -> pd.DataFrame:
     got = [M.parse(x) or ([], None) for x in melody]
     return pd.DataFrame({"onsets": [[n[0] for n in notes] for notes, _ in got], "degrees": [[n[1] for n in notes] for notes, _ in got], "beat_sum": [b for _, b in got]})
@@ -62,7 +61,8 @@ def parsed(melody: pd.Series) -> pd.DataFrame:
 def melody_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Onsets and beat sums of melody bars (M1, M2); equal bars are parsed once."""
     rows = melodies(spark, sf_dir)
-    known = rows.select("melody").distinct().withColumn("m", parsed("melody"))
+    read = F.pandas_udf(parsed, "struct<onsets:array<double>,degrees:array<int>,beat_sum:double>")
+    known = rows.select("melody").distinct().withColumn("m", read("melody"))
     return rows.join(known, "melody").select("chart", "bar", "melody", "m.*")
 
 
