@@ -209,11 +209,12 @@ def _by_shuffle(given: DataFrame, items: DataFrame, span: int) -> DataFrame:
 
         return rows
 
-    keyed = given.withColumn("key", F.monotonically_increasing_id())
-    schema = "key long, length int, place int, hash long"
-    theirs = items.select(F.col("item").alias("key"), "text").mapInPandas(prints(True), schema)
+    # Made of the row's content: several branches of the plan work it out, and rows that repeat it have equal results.
+    keyed = given.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc").cast("string"), F.lit("")), F.hex(F.xxhash64("text"))))
+    schema = "key string, length int, place int, hash long"
+    theirs = items.select(F.col("item").cast("string").alias("key"), "text").mapInPandas(prints(True), schema)
     mine = keyed.select("key", "text").mapInPandas(prints(False), schema).select("key", "length", F.col("place").alias("p"), "hash")
-    met = mine.join(theirs.withColumnsRenamed({"key": "item", "place": "q"}), ["length", "hash"])
+    met = mine.join(theirs.select(F.col("key").cast("long").alias("item"), "length", F.col("place").alias("q"), "hash"), ["length", "hash"])
     # One row for each pair and diagonal: a run is found from any of its fingerprints.
     pairs = met.groupBy("key", "item").agg(F.collect_set(F.struct("length", "p", "q")).alias("hits"))
 
@@ -233,7 +234,7 @@ def _by_shuffle(given: DataFrame, items: DataFrame, span: int) -> DataFrame:
                     yield pd.DataFrame({"key": [key], "item": [item_id], "a": [[x for x, _ in out]], "z": [[x for _, x in out]]})
 
     joined = pairs.join(keyed.select("key", "text"), "key").join(items.select("item", F.col("text").alias("item_text")), "item")
-    found = joined.mapInPandas(runs, "key long, item long, a array<long>, z array<long>")
+    found = joined.mapInPandas(runs, "key string, item long, a array<long>, z array<long>")
     spans = found.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"), F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("z")).alias("z"))
 
     def summed(batches):
