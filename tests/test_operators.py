@@ -100,3 +100,48 @@ def test_tiling(spark):
 def test_json_and_pages():
     assert pages.closed('{"a": [1, {"b": "x') == '{"a": [1, {"b": "x"}]}' and pages.closed('{"a":') == '{"a":null}' and pages.closed(None) is None
     assert pages.lines_of("<p>a<script>x</script> b</p><nav>menu</nav>c<br>d") == ["a b", "c", "d"]
+
+
+def test_sections_tile():
+    rng = random.Random(9)
+    for _ in range(300):
+        spans = [(a := rng.randrange(40), a + rng.randrange(-2, 15), rng.choice(["verse", "chorus"])) for _ in range(rng.randrange(1, 6))]
+        spans = [x for x in spans if x[0] <= x[1]]
+        got = folds.tiled_sections(spans, 40)
+        assert not spans or (got[0][0] == 0 and got[-1][1] == 39 and all(a[1] + 1 == b[0] for a, b in zip(got, got[1:], strict=False)))
+    assert folds.tiled_sections([(6, 10, "verse"), (13, 20, "chorus")], 30) == [(0, 5, "intro"), (6, 12, "verse"), (13, 20, "chorus"), (21, 29, "outro")]
+
+
+def test_note_segments():
+    track = np.array([60.0] * 20 + [64.0] * 20 + [np.nan] * 5 + [64.1] * 10)
+    assert folds.note_segments(track, 0.05) == [(0.0, 1.0, 60.0), (1.0, 2.0, 64.0), (2.25, 2.75, 64.1)]
+    assert folds.note_segments(np.array([np.nan] * 4), 0.05) == [] and folds.note_segments(np.array([60.0]), 0.05) == []
+
+
+def test_near_repeats():
+    assert folds.not_near(["1", "1", "4", "1"], [1.0, 1.2, 1.2, 1.3]) == [True, False, True, True]
+
+
+def test_voice_leading_is_optimal():
+    import itertools
+
+    chords = [[0, 4, 7], [5, 9, 0], [7, 11, 2]]
+    got = sequences.voice_leading(chords, {})
+    cost = lambda p: sum(map(sequences.voicing_cost, p)) + sum(sequences.voicing_move(a, b) for a, b in itertools.pairwise(p))
+    assert abs(cost(got) - min(map(cost, itertools.product(*map(sequences.voicings, chords))))) < 1e-9
+    assert all({m % 12 for m in v} == set(c) for v, c in zip(got, chords, strict=True))
+
+
+def test_bass_line_is_optimal():
+    import itertools
+
+    def cost(p):
+        total = 0.5 * abs(p[0] - 43)
+        for a, b in itertools.pairwise(p):
+            d = abs(b - a)
+            total += 0.8 * d - 2.0 * (d in (1, 2)) - (d in (3, 4)) + 3.0 * (d >= 7) + 0.3 * abs(b - 43)
+        return total
+
+    pcs = [0, 7, 9, 4, 5]
+    options = [[m for m in range(36, 53) if m % 12 == pc] for pc in pcs]
+    assert abs(cost(sequences.bass_line(pcs)) - min(map(cost, itertools.product(*options)))) < 1e-9

@@ -93,6 +93,71 @@ def increasing(beats: list[float], beats_in_bar: float, step: float = 0.5) -> li
     return out
 
 
+def not_near(labels: list[str], beats: list[float], reach: float = 0.25) -> list[bool]:
+    """Which rows have no kept row of the same label within reach."""
+    kept: dict[str, list[float]] = {}
+    out = []
+    for x, b in zip(labels, beats, strict=True):
+        out.append(all(abs(b - k) > reach for k in kept.get(x, ())))
+        if out[-1]:
+            kept.setdefault(x, []).append(b)
+    return out
+
+
+def tiled_sections(spans: list[tuple[int, int, str]], total: int, short: int = 4) -> list[tuple[int, int, str]]:
+    """Sections (first, last, role) that cover bars 0 to total - 1 once: overlaps are cut from the later one, short gaps join the one
+    before (at the start the one after), long gaps become sections of their own."""
+    out: list[list] = []
+    for first, last, role in sorted((max(0, a), min(total - 1, b), r) for a, b, r in spans if a < total and b >= 0):
+        end = out[-1][1] if out else -1
+        first = max(first, end + 1)
+        if first > last:
+            continue
+        gap = first - end - 1
+        if gap > short:
+            out.append([end + 1, first - 1, "interlude" if out else "intro"])
+        elif gap and out:
+            out[-1][1] = first - 1
+        elif gap:
+            first = 0
+        out.append([first, last, role])
+    if out and (gap := total - 1 - out[-1][1]) > short:
+        out.append([out[-1][1] + 1, total - 1, "outro"])
+    elif out:
+        out[-1][1] = total - 1
+    return [tuple(x) for x in out]
+
+
+def note_segments(pitch: np.ndarray, hop: float, jump: float = 0.85, patience: int = 3, least: float = 0.08) -> list[tuple[float, float, float]]:
+    """Notes (start, end, median pitch) of a pitch track (nan: silence): a note ends at silence or once `patience` frames in a row leave
+    the median of an established note; neighbours of like pitch join."""
+    notes, start, held, away = [], 0, [], 0
+
+    def close(end, values):
+        if values and (end - start) * hop >= least:
+            notes.append((round(start * hop, 2), round(end * hop, 2), round(float(np.median(values)), 1)))
+
+    for i, p in enumerate(np.append(pitch, np.nan)):
+        if np.isnan(p):
+            close(i, held)
+            held, away = [], 0
+            continue
+        if not held:
+            start, held, away = i, [p], 0
+            continue
+        away = away + 1 if abs(p - np.median(held)) > jump else 0
+        held.append(p)
+        if away >= patience and len(held) > 8:
+            close(i - away + 1, held[:-away])
+            start, held, away = i - away + 1, held[-away:], 0
+    joined: list[tuple[float, float, float]] = []
+    for s, e, p in notes:
+        if joined and abs(p - joined[-1][2]) <= 0.4 and s - joined[-1][1] <= 0.06:
+            s, p = joined[-1][0], round((joined.pop()[2] + p) / 2, 1)
+        joined.append((s, e, p))
+    return joined
+
+
 Columns = dict[str, np.ndarray]
 
 

@@ -5,6 +5,8 @@ Songs have tens to hundreds of steps; groups are songs, so the work spreads over
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +111,47 @@ def bass_line(pcs: list[int]) -> list[int]:
     return [int(p[i]) for p, i in zip(pitches, reversed(at), strict=True)]
 
 
+def voicings(pcs: list[int], low: int = 64, high: int = 81, span: int = 14) -> list[tuple[int, ...]]:
+    """Close positions of a chord's tones (four at most) in the right hand's register, lowest first."""
+    places = [[m for m in range(low, high + 1) if m % 12 == pc] for pc in pcs[:4]]
+    found = {tuple(sorted(x)) for x in itertools.product(*places) if len(set(x)) == len(x) and max(x) - min(x) <= span}
+    return sorted(found) or [tuple(sorted({p[0] for p in places}))]
+
+
+def voicing_cost(v: tuple[int, ...]) -> float:
+    """Register, span and a black key under the thumb. Best top notes 71 to 76 around 73."""
+    top, width = v[-1], v[-1] - v[0]
+    drift = 0.8 * (71 - top) ** 2 if top < 71 else 0.8 * (top - 76) ** 2 if top > 76 else 0.2 * abs(top - 73)
+    return drift + 1.2 * max(0, width - 10) + 2.0 * (v[0] % 12 in (1, 3, 6, 8, 10))
+
+
+def voicing_move(a: tuple[int, ...], b: tuple[int, ...]) -> float:
+    """Voice movement less a reward for common tones."""
+    if len(a) == len(b):
+        far = sum(abs(x - y) for x, y in zip(a, b, strict=True))
+    else:
+        far = (sum(min(abs(x - y) for y in a) for x in b) + sum(min(abs(x - y) for y in b) for x in a)) / 2 + 2.0 * abs(len(a) - len(b))
+    return far - 3.0 * len(set(a) & set(b))
+
+
+def voice_leading(chords: list[list[int]], known: dict) -> list[tuple[int, ...]]:
+    """The cheapest voicings of a sequence of pitch-class lists, the first of equals; `known` keeps costs between songs."""
+    options = [voicings(c) for c in chords]
+    cost, back = np.array([voicing_cost(v) for v in options[0]]), []
+    for a, b in itertools.pairwise(options):
+        key = (tuple(a), tuple(b))
+        if key not in known:
+            known[key] = np.array([[voicing_move(x, y) for y in b] for x in a]), np.array([voicing_cost(y) for y in b])
+        moves, own = known[key]
+        total = cost[:, None] + moves
+        back.append(total.argmin(0))
+        cost = total.min(0) + own
+    at = [int(cost.argmin())]
+    for step in reversed(back):
+        at.append(int(step[at[-1]]))
+    return [o[i] for o, i in zip(options, reversed(at), strict=True)]
+
+
 def viterbi(observed: np.ndarray, moves: np.ndarray) -> list[int]:
     """The best path through states for log scores (steps, states) and move scores (states, states); the lowest state of equals."""
     best, back = observed[0].copy(), []

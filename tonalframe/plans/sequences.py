@@ -114,3 +114,59 @@ def capo_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = rows.groupBy("chart", "capo").agg((F.sum("cost") + 0.4 * F.col("capo")).alias("total"), F.count(F.lit(1)).alias("n"), F.first("bars").alias("bars")).where("n = bars")
     found = totals.groupBy("chart").agg(F.min(F.struct("total", "capo")).alias("b"))
     return found.select("chart", "b.capo", "b.total")
+
+
+@query()
+def voice_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right-hand voicings with the least movement."""
+    rows = shims.chords(spark, sf_dir).select("chart", "bar", T.chord_degree(F.col("raw")).alias("c"))
+    rows = rows.select("chart", "bar", T.chord_pcs(F.col("c.root"), F.col("c.quality")).alias("pcs"))
+    known: dict = {}
+
+    def use(c: dict) -> dict:
+        got = S.voice_leading([[int(x) for x in p] for p in c["pcs"]], known)
+        return {"chart": c["chart"], "bar": c["bar"], "voicing": [list(v) for v in got]}
+
+    return folds.by_song(rows, "chart", ["bar"], use, "chart long, bar long, voicing array<int>")
+
+
+CHROMA = "SELECT vec_id % 50 AS series, vec_id, unnest(range(12)) AS pc, abs(unnest(embedding[1:12])::DOUBLE) AS e FROM embeddings"
+
+
+@query(shims.with_shims("""
+SELECT series, CASE WHEN e > 1.2 * mean AND e >= root_e AND wins >= 0.25 THEN pc END AS bass FROM (
+  SELECT m.series, m.pc, m.e, avg(m.e) OVER (PARTITION BY m.series) AS mean, max(CASE WHEN m.pc = m.series % 12 THEN m.e END) OVER (PARTITION BY m.series) AS root_e, w.wins,
+    row_number() OVER (PARTITION BY m.series ORDER BY CASE WHEN (m.pc - m.series % 12 + 12) % 12 IN (4, 7, 2) THEN 0 ELSE 1 END, m.e DESC, m.pc) AS k
+  FROM (SELECT series, pc, avg(e) AS e FROM chroma GROUP BY ALL) m JOIN (SELECT a.series, a.pc, avg(CASE WHEN a.e > b.e THEN 1.0 ELSE 0.0 END) AS wins FROM chroma a JOIN chroma b ON a.vec_id = b.vec_id AND b.pc = b.series % 12 GROUP BY ALL) w USING (series, pc)) WHERE k = 1""", chroma=CHROMA))
+def inverted_bass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chord tone that outweighs the root in the bass of a segment."""
+    frames = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("series"), F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double"))).alias("e"))
+    frames = frames.withColumn("root", F.get("e", (F.col("series") % 12).cast("int")))
+    sums = [F.avg(F.col("e")[i]) for i in range(12)]
+    wins = [F.avg((F.col("e")[i] > F.col("root")).cast("double")) for i in range(12)]
+    rows = frames.groupBy("series").agg(F.array(*sums).alias("e"), F.array(*wins).alias("w"))
+    tonic = (F.col("series") % 12).cast("int")
+    tones = [F.pmod(tonic + d, F.lit(12)) for d in (4, 7, 2)]
+    best = F.array_max(F.array(*[F.struct(F.get("e", t).alias("e"), (-t).alias("o"), F.get("w", t).alias("w")) for t in tones]))
+    mean = F.aggregate("e", F.lit(0.0), lambda a, x: a + x) / 12
+    rows = rows.select("series", best.alias("b"), mean.alias("mean"), F.get("e", tonic).alias("root_e"))
+    ok = (F.col("b.e") > 1.2 * F.col("mean")) & (F.col("b.e") >= F.col("root_e")) & (F.col("b.w") >= 0.25)
+    return rows.select("series", F.when(ok, -F.col("b.o")).cast("long").alias("bass"))
+
+
+@query(shims.with_shims("""
+SELECT root, quality, CASE WHEN NOT list_has_all(pcs, snd) OR NOT list_has_all(snd, needed) THEN 'uke_shape_incorrect' WHEN list_max(pos) - list_min(pos) > 3 THEN 'uke_playability_invalid' END AS code
+FROM (SELECT b.root, b.quality, u.pcs, u.needed, [(f0 + 7) % 12, f1 % 12, (f2 + 4) % 12, (f3 + 9) % 12] AS snd, list_filter([f0, f1, f2, f3], lambda x: x > 0) AS pos
+  FROM (SELECT root, quality, f0 + root % 2 AS f0, f1, f2, f3, row_number() OVER (PARTITION BY root, quality ORDER BY cost, f0, f1, f2, f3) AS k FROM shapes) b JOIN used u ON u.root = b.root AND u.quality = b.quality WHERE k = 1)""", **SHIMS))
+def shape_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes that miss the chord's tones or stretch too far (Q4: U1, U2); a fret is moved on odd roots."""
+    best = C.top(shapes(spark, sf_dir), ["root", "quality"], ["cost", "f0", "f1", "f2", "f3"], 1).withColumn("f0", F.col("f0") + F.col("root") % 2)
+    pcs = T.chord_pcs(F.col("root"), F.col("quality"))
+    fifth = F.pmod(F.col("root") + 7, F.lit(12))
+    rows = best.withColumn("pcs", pcs).withColumn("needed", F.when(F.size("pcs") > 3, F.filter("pcs", lambda x: x != fifth)).otherwise(F.col("pcs")))
+    f = [F.col(f"f{k}") for k in range(4)]
+    sounding = F.array(*[F.pmod(x + pc, F.lit(12)) for x, pc in zip(f, S.OPEN_STRINGS, strict=True)])
+    pressed = F.filter(F.array(*f), lambda x: x > 0)
+    wrong = (F.size(F.array_except(sounding, "pcs")) > 0) | (F.size(F.array_except("needed", sounding)) > 0)
+    code = F.when(wrong, "uke_shape_incorrect").when(F.array_max(pressed) - F.array_min(pressed) > 3, "uke_playability_invalid")
+    return rows.select("root", "quality", code.alias("code"))

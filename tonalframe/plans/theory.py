@@ -161,3 +161,39 @@ def slash_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.regexp_extract(T.clean_chord(F.col("raw")), "^/[b#]?([1-7])", 1)
     found = rows.select("chart", "bar", "raw", root.alias("root"), F.coalesce(F.try_to_number(F.nullif(new, F.lit("")), F.lit("9")).cast("int"), F.col("c.bass_degree"), F.col("c.degree")).alias("bass"))
     return found.where("root is not null").select("chart", "bar", "raw", F.col("root").cast("long").alias("root"), F.col("bass").cast("long").alias("bass"))
+
+
+CHANGES = """
+  SELECT c_custkey AS id, list_value('C', 'D', 'F#', 'Bb')[1 + c_custkey % 4] AS prev, CASE c_custkey % 5 WHEN 0 THEN '轉' || list_value('2', '3', 'b7', '4#')[1 + c_nationkey % 4] || '調' WHEN 1 THEN '轉 1=' || list_value('B', 'E', 'Ab')[1 + c_nationkey % 3]
+    WHEN 2 THEN '(F# - Ab)' WHEN 3 THEN '升半調' ELSE 'D.S. al Coda' END AS text FROM customer"""
+
+
+@query(f"""
+SELECT id, text, CASE id % 5 WHEN 0 THEN list_value(2, 4, -2, 6)[1 + n % 4] WHEN 1 THEN CASE WHEN up > 6 THEN up - 12 ELSE up END WHEN 2 THEN 2 ELSE 0 END::INTEGER AS semitones, CASE WHEN id % 5 = 0 AND n % 4 < 2 THEN list_value(2, 3)[1 + n % 4] WHEN id % 5 = 3 THEN 1 END::INTEGER AS printed
+FROM (SELECT c.*, c_nationkey AS n, (list_value(11, 4, 8)[1 + c_nationkey % 3] - list_value(0, 2, 6, 10)[1 + id % 4] + 12) % 12 AS up FROM ({CHANGES}) c JOIN customer ON c_custkey = id)""")
+def key_change_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semitones of key-change notes in their two readings."""
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    i, n = F.col("c_custkey"), F.col("c_nationkey")
+    text = (
+        F.when(i % 5 == 0, F.concat(F.lit("轉"), pick(["2", "3", "b7", "4#"], n % 4), F.lit("調"))).when(i % 5 == 1, F.concat(F.lit("轉 1="), pick(["B", "E", "Ab"], n % 3)))
+        .when(i % 5 == 2, "(F# - Ab)").when(i % 5 == 3, "升半調").otherwise("D.S. al Coda")
+    )
+    rows = table(spark, sf_dir, "customer").select(i.alias("id"), text.alias("text"), pick(["C", "D", "F#", "Bb"], i % 4).alias("prev"))
+    return rows.select("id", "text", T.modulation(F.col("text"), F.col("prev")).alias("semitones"), T.printed_shift(F.col("text")).alias("printed"))
+
+
+@query()
+def reading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that a scanner may have confused (C4); tokens are few, so each is worked out once."""
+    rows = shims.chords(spark, sf_dir).select("chart", "bar", "raw")
+    known = rows.select("raw").distinct().withColumn("candidates", T.reading_candidates(F.col("raw")))
+    return rows.join(known, "raw")
+
+
+@query(shims.with_shims("""
+SELECT series, id, list_value('1','b2','2','b3','3','4','#4','5','b6','6','b7','7')[CAST(((a % 12) + 12) % 12 AS BIGINT) + 1] || repeat(CASE WHEN o > 0 THEN chr(39) ELSE ',' END, abs(o)) AS name
+FROM (SELECT series, id, midi - 60 - series % 12 AS a, CAST(greatest(-2, least(2, floor((midi - 60 - series % 12) / 12))) AS BIGINT) AS o FROM notes)""", notes=shims.NOTES))
+def jianpu_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes in numbered notation."""
+    return shims.notes(spark, sf_dir).select("series", "id", T.jianpu(F.col("midi"), F.col("series") % 12).alias("name"))

@@ -225,3 +225,56 @@ def run_absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short runs joined to their neighbours until none is short."""
     rows = shims.notes(spark, sf_dir).select("series", "id", "start", "kind")
     return folds.fold(rows, "series", ["start", "id"], ["kind"], lambda x: folds.absorbed(x, 3), "steady", "string")
+
+
+@query()
+def beat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beats of a chart's chords made strictly increasing."""
+    rows = shims.chords(spark, sf_dir).select("chart", "bar", "beat")
+    return folds.fold(rows, "chart", ["bar"], ["beat"], lambda x: folds.increasing(x, 8.0), "repaired", "double")
+
+
+@query()
+def near_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chords without those that repeat one within a quarter of a beat."""
+    rows = shims.chords(spark, sf_dir).select("chart", "bar", "raw", "beat")
+    return folds.fold(rows, "chart", ["bar"], ["raw", "beat"], folds.not_near, "keep", "boolean").where("keep")
+
+
+@query()
+def section_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed sections with gaps and overlaps mended."""
+    p, s = F.col("p"), F.col("s")
+    first = (F.col("bar") * 8 + p % 5).cast("long")
+    rows = shims.chords(spark, sf_dir).select("chart", "bar", first.alias("first"), (first + s % 12).alias("last"), F.when(p % 2 == 0, "verse").otherwise("chorus").alias("role"))
+
+    def use(c: dict) -> dict:
+        got = folds.tiled_sections(list(zip(c["first"].tolist(), c["last"].tolist(), c["role"].tolist(), strict=True)), 64)
+        return {"chart": [c["chart"][0]] * len(got), "first": [x[0] for x in got], "last": [x[1] for x in got], "role": [x[2] for x in got]}
+
+    return folds.by_song(rows, "chart", ["bar"], use, "chart long, first long, last long, role string")
+
+
+@query()
+def note_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes cut out of pitch tracks."""
+    rows = pitches(spark, sf_dir)
+
+    def use(c: dict) -> dict:
+        got = folds.note_segments(c["pitch"].astype(float), 0.05, 6.0)
+        return {"series": [c["series"][0]] * len(got), "start": [x[0] for x in got], "end": [x[1] for x in got], "midi": [x[2] for x in got]}
+
+    return folds.by_song(rows, "series", ["i"], use, "series long, start double, end double, midi double")
+
+
+@query(shims.with_shims("""
+SELECT a.conv_id, a.turn, min(b.turn) AS like_turn FROM lines a JOIN lines b ON a.conv_id = b.conv_id AND b.turn < a.turn
+WHERE len(a.cs) >= 4 AND len(list_intersect(a.cs, b.cs)) / greatest(least(len(a.cs), len(b.cs)), 1) >= 0.7 GROUP BY ALL""", lines="SELECT conv_id, turn, list_distinct(string_split(text, '')) AS cs FROM conversations"))
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first earlier line of a song with mostly the same characters."""
+    from tonalframe.sources.tables import table
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(F.split("text", "")).alias("cs"))
+    both = rows.join(rows.select("conv_id", F.col("turn").alias("other"), F.col("cs").alias("ds")), "conv_id").where("other < turn")
+    share = F.size(F.array_intersect("cs", "ds")) / F.greatest(F.least(F.size("cs"), F.size("ds")), F.lit(1))
+    return both.where((F.size("cs") >= 4) & (share >= 0.7)).groupBy("conv_id", "turn").agg(F.min("other").alias("like_turn"))
