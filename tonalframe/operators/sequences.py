@@ -50,15 +50,12 @@ def align(scores: np.ndarray, gap: float, first: str = "up", empty_pairs: bool =
 
 def chord_scores(a: list[tuple[int, int, str]], b: list[tuple[int, int, str]]) -> np.ndarray:
     """Pair scores of chords (root, bass, quality): 1 equal, .7 same root, .3 substitutes, -.6 else."""
-    out = np.full((len(a), len(b)), -0.6)
-    for i, (r, s, q) in enumerate(a):
-        for j, (t, u, p) in enumerate(b):
-            d = (r - t) % 12
-            if d == 0:
-                out[i, j] = 1.0 if s == u else 0.7
-            elif d in (3, 4, 8, 9) or d == 6 and ("7" in q or "7" in p):
-                out[i, j] = 0.3
-    return out
+    root = lambda x: np.array([c[0] for c in x], int)
+    bass = lambda x: np.array([c[1] for c in x], int)
+    seventh = lambda x: np.array(["7" in c[2] for c in x], bool)
+    d = (root(a)[:, None] - root(b)[None, :]) % 12
+    out = np.where(np.isin(d, (3, 4, 8, 9)) | (d == 6) & (seventh(a)[:, None] | seventh(b)[None, :]), 0.3, -0.6)
+    return np.where(d == 0, np.where(bass(a)[:, None] == bass(b)[None, :], 1.0, 0.7), out)
 
 
 def aligned_songs(a: DataFrame, b: DataFrame, key: str, order: str, first: str = "up", empty_pairs: bool = False) -> DataFrame:

@@ -48,7 +48,9 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit similarity of neighbouring turns (X1, A7); other engines count bytes, so letters beyond ASCII are folded first."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^\\x00-\\x7F]", "?").alias("text"))
     following = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
-    return rows.join(following, ["conv_id", "turn"]).select("conv_id", "turn", F.bround(X.similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
+    # Few bytes but much work a row: as many tasks as the session deals out.
+    met = rows.join(following, ["conv_id", "turn"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return met.select("conv_id", "turn", F.bround(X.similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
 
 
 LABELS = "SELECT conv_id, turn, list_value('Intro', 'Verse 1', 'Pre-Chorus', 'Chorus', 'Bridge', '間奏', 'Ending', 'x')[1 + (conv_id + turn) % 8] AS label FROM conversations"
