@@ -120,6 +120,19 @@ def test_gradient():
         assert abs((up - down) / 2e-3 - grads[key][at] * 6) < 2e-2, key
 
 
+@pytest.mark.parametrize("fan", [2, 64])
+def test_models_are_averaged_in_bounded_groups(spark, fan):
+    rng, rows, parts = np.random.default_rng(0), [], {}
+    for shard in (0, 3, 5, 9, 20, 21):
+        w = float(rng.integers(1, 9))
+        for chunk in range(3):
+            v = rng.normal(size=5).astype(np.float32)
+            rows.append((shard, chunk, w, bytearray(v.tobytes())))
+            parts.setdefault(chunk, []).append((w, v))
+    got = {r["chunk"]: np.frombuffer(r["values"], np.float32) for r in lm_scoring._averaged(spark.createDataFrame(rows, lm_scoring.PARTS), fan)}
+    assert len(got) == 3 and all(np.allclose(got[c], sum(w * v for w, v in x) / sum(w for w, _ in x), atol=1e-5) for c, x in parts.items())
+
+
 def test_state_runs_through_whole_documents():
     v = gru.Vocabulary(np.array([9.0, 5, 4, 2]), np.array([3.0]), 2)
     m = gru.Gru(v, 5)
