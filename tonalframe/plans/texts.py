@@ -106,7 +106,18 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 SELECT d.doc_id, d.a AS text_a, count(*) AS shared FROM (SELECT doc_id, unnest(list_distinct(string_split(text, ''))) AS a FROM documents WHERE n_chars < 200) d JOIN (SELECT DISTINCT unnest(string_split(text, '')) AS a FROM benchmark) b USING (a) GROUP BY ALL""")
 def shared_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters that lines have in common with a reference (W23's overlap)."""
-    chars = table(spark, sf_dir, "documents").where("n_chars < 200").select("doc_id", F.explode(F.array_distinct(F.split("text", ""))).alias("text_a"))
+    """Characters that short lines (under 200 characters) have in common with a reference; all_shared_characters takes every document."""
+    return _shared_characters(spark, sf_dir, table(spark, sf_dir, "documents").where("n_chars < 200"))
+
+
+@query(r"""
+SELECT d.doc_id, d.a AS text_a, count(*) AS shared FROM (SELECT doc_id, unnest(list_distinct(string_split(text, ''))) AS a FROM documents) d JOIN (SELECT DISTINCT unnest(string_split(text, '')) AS a FROM benchmark) b USING (a) GROUP BY ALL""")
+def all_shared_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters that documents of any length have in common with a reference (W23's overlap)."""
+    return _shared_characters(spark, sf_dir, table(spark, sf_dir, "documents"))
+
+
+def _shared_characters(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    chars = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", ""))).alias("text_a"))
     known = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "")).alias("text_a")).distinct()
     return chars.join(F.broadcast(known), "text_a").groupBy("doc_id", "text_a").agg(F.count(F.lit(1)).alias("shared"))
