@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tonalframe.llm import line_dedup
+from tonalframe.llm import line_dedup, lm_scoring
 
 
 def test_runs_meet_the_first_document_that_has_them(spark):
@@ -38,3 +38,11 @@ def test_gaps_and_repeated_lines_are_aligned():
         assert got == line_dedup.patience(pairs[::-1]) and all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
     # every line repeats: the two copies are aligned whole
     assert line_dedup.patience([([0, 2], [0, 2]), ([1, 3], [1, 3])]) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
+def test_the_language_model_learns_from_every_training_document(spark, monkeypatch):
+    seen, trained = [], lm_scoring._trained
+    monkeypatch.setattr(lm_scoring, "_trained", lambda rows, *a: (seen.append(rows.count()), trained(rows, *a))[1])
+    df = spark.createDataFrame([(i, f"text number {i} of many") for i in range(60)], "doc_id long, text string")
+    held = [r.held_out for r in lm_scoring.lm_scores(df, in_model=20, known=60, warm_docs=3).collect()]
+    assert seen[0] <= 3 and seen[1] == held.count(False) < 60

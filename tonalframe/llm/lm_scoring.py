@@ -5,8 +5,8 @@ frequent words enter the model's class-factored softmax; every rarer word belong
 class of its own, within which a word has the chance (count + 1) / (sum of these + 1), the 1 being left for words never seen. So the
 model's probabilities, like the base's, add up to one over counted words and one unknown word.
 
-Training: truncated backpropagation in numpy, first over `warm_docs` documents at most in one task, then over `share` of all training
-documents by every task for itself, from the same start; the mean of the tasks' parameters, weighted by tokens, is the model. Scoring
+Training: truncated backpropagation in numpy, first over `warm_docs` documents at most in one task, for a common start, then over
+all training documents (`share` 1) by every task for itself, from that start; the mean of the tasks' parameters, weighted by tokens, is the model. Scoring
 carries the state through each whole document. Words beyond the `known` most frequent ones are too many for a broadcast: their
 counts come by a join.
 
@@ -119,7 +119,7 @@ def _loaded(model: Gru, rows: list) -> Gru:
 
 def lm_scores(
     docs: DataFrame, held_folds: int = 7, held: int = 2, in_model: int = 4096, known: int = 65_536, classes: int = 64, hidden: int = 24,
-    warm_docs: int = 3000, share: float = 1 / 32, id_col: str = "doc_id", text_col: str = "text",
+    warm_docs: int = 3000, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`."""
     spark = docs.sparkSession
