@@ -1,8 +1,9 @@
 """Cases in which operators once left out a part of their job."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tonalframe.llm import line_dedup, lm_scoring
+from tonalframe.llm import language_id, line_dedup, lm_scoring
 
 
 def test_runs_meet_the_first_document_that_has_them(spark):
@@ -46,3 +47,10 @@ def test_the_language_model_learns_from_every_training_document(spark, monkeypat
     df = spark.createDataFrame([(i, f"text number {i} of many") for i in range(60)], "doc_id long, text string")
     held = [r.held_out for r in lm_scoring.lm_scores(df, in_model=20, known=60, warm_docs=3).collect()]
     assert seen[0] <= 3 and seen[1] == held.count(False) < 60
+
+
+def test_a_language_of_many_copies_stays_in_the_model(spark):
+    copies = spark.range(200_000).select(F.lit("hier steht immer wieder der gleiche Satz").alias("text"), F.lit("de").alias("lang"))
+    few = spark.createDataFrame([(f"der Satz Nummer {i} ist nicht wie die anderen", "de") for i in range(50)] + [(f"this is sentence {i} of the others", "en") for i in range(50)], "text string, lang string")
+    assert language_id.fit(copies.union(few)).langs == ["de", "en"]
+    assert language_id.fit(copies).langs == ["de"]

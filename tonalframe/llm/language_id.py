@@ -6,7 +6,7 @@ spherical k-means. The nearest centroid by cosine names the language; a text who
 limit is rejected.
 
 Document frequencies come from all training rows. Only k-means sees a bounded sample: about `sample` rows in all,
-spread over the languages, picked by a hash of the row. Its vectors are all that reaches the driver.
+spread over the languages, picked by a hash of the row, at a rate set by the number of different texts. Its vectors are all that reaches the driver.
 
 Defined results: a text that is null or without letters is `und` with score 0 and rejected; so is every text if there is nothing
 to learn from; null identifiers train; repeated rows are rated alike; an empty table gives no rows; other columns are ignored.
@@ -92,7 +92,9 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
     """Learns from all rows of `train` with a language and letters. The least cosine accepted is `lenient` times the
     least in the sample and `most` at most: short texts are far from any centroid and still clean."""
     rows = train.where(F.col(lang_col).isNotNull() & has_letter(text_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Copies of a text are picked together, so rates go by the number of different texts.
+    different = rows.groupBy("lang", F.xxhash64("text", "lang").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["lang"]: (r["n"], r["texts"]) for r in different.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).collect()}
     if not sizes:
         return None
     each = max(4 * per_lang, sample // len(sizes))
@@ -109,15 +111,15 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample
     df = np.zeros(DIM)
     for r in rows.select("text").mapInPandas(frequencies, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         df[r["gram"]] = r["n"]
-    idf = np.log((1 + sum(sizes.values())) / (1 + df)).astype(np.float32) + 1
+    idf = np.log((1 + sum(n for n, _ in sizes.values())) / (1 + df)).astype(np.float32) + 1
 
     def vectors(batches):
         for b in batches:
             for lang, text in zip(b["lang"], b["text"], strict=True):
                 yield pd.DataFrame({"lang": [lang], "v": [np.sqrt(counts([text])[0]).astype(np.float16).tobytes()]})
 
-    part = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(math.ceil(each / n * (1 << 20))))])
-    picked = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < part[F.col("lang")])
+    part = F.create_map(*[x for k, (_, n) in sizes.items() for x in (F.lit(k), F.lit(math.ceil(each / n * (1 << 20))))])
+    picked = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < part[F.col("lang")]).distinct()
     found = picked.mapInPandas(vectors, "lang string, v binary").groupBy("v", "lang").agg(F.count(F.lit(1)).alias("n"))
     by_lang: dict[str, list] = {}
     for r in found.orderBy(F.xxhash64("v")).limit(4 * each * len(sizes)).collect():
