@@ -1,9 +1,11 @@
 """Cases in which operators once left out a part of their job."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from tonalframe.llm import language_id, line_dedup, lm_scoring
+from tonalframe.llm import language_id, line_dedup, lm_scoring, personal_data
 
 
 def test_runs_meet_the_first_document_that_has_them(spark):
@@ -54,3 +56,18 @@ def test_a_language_of_many_copies_stays_in_the_model(spark):
     few = spark.createDataFrame([(f"der Satz Nummer {i} ist nicht wie die anderen", "de") for i in range(50)] + [(f"this is sentence {i} of the others", "en") for i in range(50)], "text string, lang string")
     assert language_id.fit(copies.union(few)).langs == ["de", "en"]
     assert language_id.fit(copies).langs == ["de"]
+
+
+def test_spelled_addresses_are_proposed_in_any_form():
+    for form in ("jane (AT) host.com", "jane [AT] host.com", "jane ( at ) host.com", "jane at host (dot) com", "jane at host[dot]com", "jane at host.com", "jane [at] host [DOT] com"):
+        assert (personal_data.EMAIL, 5, 5 + len(form)) in personal_data.candidates(f"mail {form}"), form
+    assert not personal_data.wrong(personal_data.EMAIL, "jane (AT) host DOT com")
+
+
+def test_spelled_addresses_are_those_of_the_whole_pattern():
+    whole = re.compile(r"[A-Za-z0-9._%+-]{1,64}" + personal_data._rest, re.I)
+    rng = np.random.default_rng(2)
+    bits = np.array(["a", "b.c", " at ", " At ", "(at)", "[ at ]", " ", ".", " dot ", "[dot]", "x" * 70, "-", "é"])
+    for _ in range(5000):
+        t = "".join(rng.choice(bits, rng.integers(0, 16)))
+        assert personal_data.spelled(t) == [m.span() for m in whole.finditer(t)], t
