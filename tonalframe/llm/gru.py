@@ -1,4 +1,7 @@
-"""A gated recurrent language model with a class-factored softmax, in numpy."""
+"""A gated recurrent language model with a class-factored softmax, in numpy.
+
+The unit has one gate for both of its uses: f = sigmoid(xf + h Uf), c = tanh(xc + f * (h Uc)), h' = h + f * (c - h).
+"""
 
 from __future__ import annotations
 
@@ -23,24 +26,24 @@ class Vocabulary:
         self.low = np.searchsorted(of, np.arange(n))
         self.high = np.append(self.low[1:], self.words)
         self.classes = n + len(groups)
-        self.class_of = np.concatenate([of, n + np.arange(len(groups))])
+        self.class_of = np.concatenate([of, n + np.arange(len(groups))]).astype(np.uint16)
         mass = np.concatenate([np.add.reduceat(counts.astype(float), self.low), groups]) + 1
         self.class_bias = np.log(mass / mass.sum())
         self.word_bias = np.log((counts + 1.0) / (np.add.reduceat(counts + 1.0, self.low))[of])
 
 
 class Gru:
-    """Parameters X (input rows), U, Wc, bc (classes), Wk, bk (words within classes), all float32."""
+    """Parameters X (input rows), U (recurrent), Wc (classes) and Wk (words within classes), all float32; the last row of Wc and Wk is the bias."""
 
-    NAMES = ("X", "U", "Wc", "bc", "Wk", "bk")
+    NAMES = ("X", "U", "Wc", "Wk")
 
-    def __init__(self, vocabulary: Vocabulary, hidden: int = 24, seed: int = 1):
+    def __init__(self, vocabulary: Vocabulary, hidden: int = 16, seed: int = 1):
         v, rng = vocabulary, np.random.default_rng(seed)
         self.v, self.hidden = v, hidden
         r = lambda *s, scale=0.1: rng.normal(0, scale, s).astype(np.float32)
         self.p = {
-            "X": r(v.words + v.groups, 3 * hidden), "U": r(hidden, 3 * hidden, scale=hidden**-0.5), "Wc": r(hidden, v.classes),
-            "bc": v.class_bias.astype(np.float32), "Wk": r(hidden, v.words), "bk": v.word_bias.astype(np.float32),
+            "X": r(v.words + v.groups, 2 * hidden), "U": r(hidden, 2 * hidden, scale=hidden**-0.5),
+            "Wc": np.vstack([r(hidden, v.classes), v.class_bias.astype(np.float32)]), "Wk": np.vstack([r(hidden, v.words), v.word_bias.astype(np.float32)]),
         }
 
     def flat(self) -> np.ndarray:
@@ -54,149 +57,194 @@ class Gru:
             at += n
         return self
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        n = self.hidden
-        g = h @ self.p["U"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * n] + g[:, : 2 * n])))
-        z, r, gn = zr[:, :n], zr[:, n:], g[:, 2 * n :]
-        c = np.tanh(x[:, 2 * n :] + r * gn)
-        return c + z * (h - c), z, r, c, gn
-
-    def log_probs(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
-        """Natural log probability of each target after state h; with grads, gradients of their sum are added and that by h is returned too."""
+    def forward(self, block: Block, h: np.ndarray, kept: bool = False) -> tuple:
+        """States (steps, lanes, hidden + 1; the last is 1) of a block; h is brought up to date in place. With kept, what the way back needs."""
+        n, u = self.hidden, self.p["U"]
+        steps, width = block.inp.shape
+        x = self.p["X"][block.inp]
+        states = np.ones((steps, width, n + 1), np.float32)
+        shape = (steps, width, n) if kept else (1, width, n)
+        before, gate, cand, gc = (np.zeros(shape, np.float32) for _ in range(4))
+        for t in range(steps):
+            k, s = block.active[t], t if kept else 0
+            if len(block.fresh[t]):
+                h[block.fresh[t]] = 0
+            now, f, c = h[:k], gate[s, :k], cand[s, :k]
+            g = now @ u
+            before[s, :k], gc[s, :k] = now, g[:, n:]
+            np.add(x[t, :k, :n], g[:, :n], out=f)
+            np.multiply(f, 0.5, out=f)
+            np.tanh(f, out=f)
+            f += 1
+            f *= 0.5
+            np.multiply(f, g[:, n:], out=c)
+            c += x[t, :k, n:]
+            np.tanh(c, out=c)
+            g = c - now
+            g *= f
+            now += g
+            states[t, :k, :n] = now
+        return states, (before, gate, cand, gc)
+
+    def log_probs(self, s: np.ndarray, target: np.ndarray, grads: dict | None = None):
+        """Natural log probability of each target after state row s; with grads, gradients of their sum are added and that by s is returned too."""
         v, p = self.v, self.p
         cls, out = v.class_of[target], np.empty(len(target), np.float32)
-        dh = None if grads is None else np.empty_like(h)
+        ds = None if grads is None else np.empty((len(s), self.hidden), np.float32)
+        wc, wk, n = p["Wc"], p["Wk"], self.hidden
+        ones = np.ones(max(v.classes, int((v.high - v.low).max(initial=1))), np.float32)
         for a in range(0, len(target), 2048):  # blocks that stay in cache
-            hb, cb = h[a : a + 2048], cls[a : a + 2048]
+            sb, cb = s[a : a + 2048], cls[a : a + 2048]
             rows = np.arange(len(cb))
-            e = hb @ p["Wc"]
-            e += p["bc"]
+            e = sb @ wc
             own = e[rows, cb]
             np.exp(e, out=e)
-            total = e.sum(1)
+            total = e @ ones[: v.classes]
             out[a : a + 2048] = own - np.log(total)
             if grads is not None:
-                d = e / -total[:, None]
-                d[rows, cb] += 1
-                grads["Wc"] += hb.T @ d
-                grads["bc"] += d.sum(0)
-                dh[a : a + 2048] = d @ p["Wc"].T
+                e[rows, cb] -= total
+                scale = (-1 / total)[:, None]
+                grads["Wc"] += (sb * scale).T @ e
+                np.multiply(e @ wc[:n].T, scale, out=ds[a : a + 2048])
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(len(v.low) + 1))
+        edges = np.searchsorted(cls[order], np.arange(len(v.low) + 1, dtype=np.uint16))
         for c in range(len(v.low)):
             mine = order[edges[c] : edges[c + 1]]
             lo, hi = v.low[c], v.high[c]
             if not len(mine) or hi - lo == 1:
                 continue
-            hc, t = h[mine], target[mine] - lo
-            e = hc @ p["Wk"][:, lo:hi]
-            e += p["bk"][lo:hi]
-            at = np.arange(len(mine))
-            own = e[at, t]
-            np.exp(e, out=e)
-            total = e.sum(1)
-            out[mine] += own - np.log(total)
-            if grads is not None:
-                d = -e / total[:, None]
-                d[at, t] += 1
-                grads["Wk"][:, lo:hi] += hc.T @ d
-                grads["bk"][lo:hi] += d.sum(0)
-                dh[mine] += d @ p["Wk"][:, lo:hi].T
-        return out, dh
-
-    def score(self, docs: list[np.ndarray], start: int, window: int = 64, lanes: int = 512) -> np.ndarray:
+            block = max(512, 131072 // (hi - lo))
+            for a in range(0, len(mine), block):
+                some = mine[a : a + block]
+                sc, t = s[some], target[some] - lo
+                e = sc @ wk[:, lo:hi]
+                at = np.arange(len(some))
+                own = e[at, t]
+                np.exp(e, out=e)
+                total = e @ ones[: hi - lo]
+                out[some] += own - np.log(total)
+                if grads is not None:
+                    e[at, t] -= total
+                    scale = (-1 / total)[:, None]
+                    grads["Wk"][:, lo:hi] += (sc * scale).T @ e
+                    ds[some] += e @ wk[:n, lo:hi].T * scale
+        return out, ds
+
+    def score(self, docs: list[np.ndarray], start: int, window: int = 32, lanes: int = 512) -> np.ndarray:
         """Sum of the natural log probabilities of each document's entries; the state runs on from window to window through the whole document."""
         total = np.zeros(len(docs))
-        for inp, target, doc, active in scheduled(docs, start, lanes):
-            h = np.zeros((inp.shape[1], self.hidden), np.float32)
-            for a in range(0, len(inp), window):
-                b = min(a + window, len(inp))
-                width = active[a]
-                states = np.empty((b - a, width, self.hidden), np.float32)
-                for t in range(a, b):
-                    n = active[t]
-                    fresh = doc[t, :n] != doc[t - 1, :n] if t else np.ones(n, bool)
-                    if fresh.any():
-                        h[:n][fresh] = 0
-                    h[:n] = self.step(self.p["X"][inp[t, :n]], h[:n])[0]
-                    states[t - a, :n] = h[:n]
-                real = target[a:b, :width] >= 0
-                got, _ = self.log_probs(states[real], target[a:b, :width][real])
-                total += np.bincount(doc[a:b, :width][real], got, len(docs))
+        plan = Lanes(docs, start, lanes)
+        h = np.zeros((plan.width, self.hidden), np.float32)
+        for block in plan.blocks(window):
+            states = self.forward(block, h)[0]
+            got, _ = self.log_probs(states[block.real], block.target[block.real])
+            total += np.bincount(block.doc[block.real], got, len(docs))
         return total
 
-    def train(self, docs: list[np.ndarray], start: int, window: int = 32, lanes: int = 64, rate: float = 0.01) -> Gru:
-        """One pass of Adam over the documents by backpropagation truncated at windows; the state is carried across them."""
-        n, m, s, steps = self.hidden, {}, {}, 0
-        for inp, target, doc, active in scheduled(docs, start, lanes):
-            h = np.zeros((inp.shape[1], n), np.float32)
-            for a in range(0, len(inp), window):
-                b, width = min(a + window, len(inp)), active[a]
-                kept, states = [], np.zeros((b - a, width, n), np.float32)
-                for t in range(a, b):
-                    k = active[t]
-                    fresh = (doc[t, :k] != doc[t - 1, :k] if t else np.ones(k, bool))[:, None]
-                    before = np.where(fresh, np.float32(0), h[:k])
-                    now, z, r, c, gn = self.step(self.p["X"][inp[t, :k]], before)
-                    kept.append((before, z, r, c, gn, ~fresh))
-                    h[:k] = now
-                    states[t - a, :k] = now
-                real = target[a:b, :width] >= 0
-                grads = {k: np.zeros_like(x) for k, x in self.p.items()}
-                dstates = np.zeros_like(states)
-                dstates[real] = self.log_probs(states[real], target[a:b, :width][real], grads)[1]
-                back, ids, dxs = np.zeros((width, n), np.float32), [], []
-                for t in reversed(range(a, b)):
-                    k = active[t]
-                    before, z, r, c, gn, goes_on = kept[t - a]
-                    dh = dstates[t - a, :k] + back[:k]
-                    dc = dh * (1 - z) * (1 - c * c)
-                    dz, dr = dh * (before - c) * z * (1 - z), dc * gn * r * (1 - r)
-                    dg = np.concatenate([dz, dr, dc * r], axis=1)
-                    grads["U"] += before.T @ dg
-                    back[:k] = (dh * z + dg @ self.p["U"].T) * goes_on
-                    ids.append(inp[t, :k])
-                    dxs.append(np.concatenate([dz, dr, dc], axis=1))
-                np.add.at(grads["X"], np.concatenate(ids), np.concatenate(dxs))
-                steps += 1
-                size = max(1, int(real.sum()))
-                for key, g in grads.items():
-                    g /= size
-                    m[key] = 0.9 * m.get(key, 0) + 0.1 * g
-                    s[key] = 0.99 * s.get(key, 0) + 0.01 * g * g
-                    fix = rate * (1 - 0.99**steps) ** 0.5 / (1 - 0.9**steps)
-                    self.p[key] += (fix * m[key] / (np.sqrt(s[key]) + 1e-8)).astype(np.float32)
+    def back(self, block: Block, dstates: np.ndarray, kept: tuple, grads: dict) -> None:
+        """Adds the gradients of the recurrent parameters, from those by the states of a block; nothing flows back beyond it."""
+        n, u = self.hidden, self.p["U"]
+        before, f, c, gc = kept
+        steps, width = block.inp.shape
+        dg, dx = np.zeros((steps, width, 2 * n), np.float32), np.zeros((steps, width, 2 * n), np.float32)
+        to_c, to_f, through, keep = f * (1 - c * c), c - before, f * (1 - f), 1 - f
+        carry = np.zeros((width, n), np.float32)
+        for t in reversed(range(steps)):
+            k = block.active[t]
+            d = dstates[t, :k]
+            d += carry[:k]
+            dc = np.multiply(d, to_c[t, :k], out=dx[t, :k, n:])
+            df = d * to_f[t, :k]
+            df += dc * gc[t, :k]
+            df *= through[t, :k]
+            dg[t, :k, :n] = df
+            np.multiply(dc, f[t, :k], out=dg[t, :k, n:])
+            d *= keep[t, :k]
+            d += dg[t, :k] @ u.T
+            carry[:k] = d
+            if len(block.fresh[t]):
+                carry[block.fresh[t]] = 0
+        dx[:, :, :n] = dg[:, :, :n]
+        grads["U"] += before.reshape(-1, n).T @ dg.reshape(-1, 2 * n)
+        real = block.real
+        ids = block.inp[real]
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        grads["X"][ids[first]] += np.add.reduceat(dx[real][order], first, axis=0)
+
+    def train(self, docs: list[np.ndarray], start: int, window: int = 32, lanes: int = 512, rate: float = 0.01, held: dict | None = None) -> Gru:
+        """One pass of Adam over the documents by backpropagation truncated at windows; the state is carried across them. `held` keeps
+        the moments from call to call. Few documents go in fewer lanes, so that there are some dozens of steps."""
+        held = {} if held is None else held
+        plan = Lanes(docs, start, max(8, min(lanes, sum(map(len, docs)) // (64 * window))))
+        h = np.zeros((plan.width, self.hidden), np.float32)
+        for block in plan.blocks(window):
+            states, kept = self.forward(block, h, True)
+            grads = {k: np.zeros_like(x) for k, x in self.p.items()}
+            dstates = np.zeros((*block.inp.shape, self.hidden), np.float32)
+            dstates[block.real] = self.log_probs(states[block.real], block.target[block.real], grads)[1]
+            self.back(block, dstates, kept, grads)
+            held["steps"] = held.get("steps", 0) + 1
+            fix = rate * (1 - 0.99 ** held["steps"]) ** 0.5 / (1 - 0.9 ** held["steps"])
+            size = np.float32(1 / max(1, int(block.real.sum())))
+            for key, g in grads.items():
+                g *= size
+                if key not in held:
+                    held[key] = np.zeros_like(g), np.zeros_like(g)
+                m, s = held[key]
+                m *= 0.9
+                m += 0.1 * g
+                s *= 0.99
+                g *= g
+                g *= 0.01
+                s += g
+                np.sqrt(s, out=g)
+                g += 1e-8
+                self.p[key] += np.float32(fix) * (m / g)
         return self
 
 
-def scheduled(docs: list[np.ndarray], start: int, lanes: int, most: int = 6_000_000):
-    """Documents laid out in lanes, longest first, each lane one document after the other: inputs, targets (-1: none), documents' places
-    and active lanes by step. Lanes are ordered by length, so the active ones come first. Several layouts bound the memory."""
-    order = sorted((i for i in range(len(docs)) if len(docs[i])), key=lambda i: -len(docs[i]))
-    while order:
-        size, n = 0, 0
-        while n < len(order) and (not n or size + len(docs[order[n]]) <= most):
-            size += len(docs[order[n]])
-            n += 1
-        some, order = order[:n], order[n:]
-        heap = [(0, k) for k in range(min(lanes, n))]
+class Block:
+    """Some steps of all lanes: inputs, targets, documents, `real` (a target is there), lanes active and lanes that begin a document, by step."""
+
+    def __init__(self, inp, target, doc, real, active, fresh):
+        self.inp, self.target, self.doc, self.real, self.active, self.fresh = inp, target, doc, real, active, fresh
+
+
+class Lanes:
+    """Documents dealt out to lanes, longest first, each lane one document after the other; the longest lanes come first, so the active ones
+    always do. Beside the entries themselves only one block is laid out at a time, however long a document is."""
+
+    def __init__(self, docs: list[np.ndarray], start: int, lanes: int):
+        order = sorted((i for i in range(len(docs)) if len(docs[i])), key=lambda i: -len(docs[i]))
+        heap = [(0, k) for k in range(min(lanes, len(order)))]
         lane: list[list[int]] = [[] for _ in heap]
-        for i in some:
+        for i in order:
             length, k = heapq.heappop(heap)
             lane[k].append(i)
             heapq.heappush(heap, (length + len(docs[i]), k))
         lane.sort(key=lambda x: -sum(len(docs[i]) for i in x))
-        lengths = [sum(len(docs[i]) for i in x) for x in lane]
-        shape = (lengths[0], len(lane))
-        inp, target, doc = np.full(shape, start, np.int32), np.full(shape, -1, np.int32), np.full(shape, -1, np.int32)
-        for k, own in enumerate(lane):
-            at = 0
-            for i in own:
-                d = docs[i]
-                target[at : at + len(d), k] = d
-                inp[at + 1 : at + len(d), k] = d[:-1]
-                doc[at : at + len(d), k] = i
-                at += len(d)
-        active = np.searchsorted(-np.array(lengths), -np.arange(lengths[0]), "left")
-        yield inp, target, doc, active
+        each = [i for x in lane for i in x]
+        self.start, self.width, self.of = start, len(lane), np.array(each, np.int32)
+        self.flat = np.concatenate([docs[i] for i in each]) if each else np.empty(0, np.uint16)
+        size = np.array([len(docs[i]) for i in each], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(size)])  # of each document in `flat`
+        self.lengths = np.array([sum(len(docs[i]) for i in x) for x in lane], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+
+    def blocks(self, window: int):
+        begins = np.zeros(len(self.flat) + 1, bool)
+        begins[self.first[:-1]] = True
+        for a in range(0, int(self.lengths.max(initial=0)), window):
+            width = int(np.searchsorted(-self.lengths, -a, "left"))
+            left = self.lengths[:width] - a
+            steps = int(min(window, left[0]))
+            real = np.arange(steps)[:, None] < left
+            at = np.where(real, self.at[:width] + a + np.arange(steps)[:, None], 0)
+            fresh = begins[at] & real
+            inp = np.where(fresh | ~real, self.start, self.flat[at - 1])
+            active = real.sum(1)
+            begun = [np.flatnonzero(x) for x in fresh]
+            doc = self.of[np.searchsorted(self.first, at, "right") - 1]
+            yield Block(inp, self.flat[at], doc, real, active, begun)

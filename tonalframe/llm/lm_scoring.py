@@ -1,103 +1,173 @@
 r"""Log-likelihood of whole documents by a gated recurrent language model that is trained on the corpus.
 
-Tokens are words [^\x20\x09-\x0D]+ of the text after lower-casing A-Z, then one end. All training texts are counted by Spark. The most
-frequent words enter the model's class-factored softmax; every rarer word belongs to one of some groups by its ending, each a
+Tokens are words [^\x20\x09-\x0D]+ of the text after lower-casing A-Z, then one end. Texts are split once: each task turns its documents
+into shards of word numbers with the shard's own list of words. Spark counts the words over all training texts and joins the counts
+back to every shard's list, however many words there are, so that documents become entries of the model and sums of the base score
+without another look at a text.
+
+The most frequent words enter the model's class-factored softmax; every rarer word belongs to one of some groups by its ending, each a
 class of its own, within which a word has the chance (count + 1) / (sum of these + 1), the 1 being left for words never seen. So the
 model's probabilities, like the base's, add up to one over counted words and one unknown word.
 
-Training: truncated backpropagation in numpy, first over `warm_docs` documents at most in one task, for a common start, then over
-all training documents (`share` 1) by every task for itself, from that start; the mean of the tasks' parameters, weighted by tokens, is the model. Scoring
-carries the state through each whole document. Words beyond the `known` most frequent ones are too many for a broadcast: their
-counts come by a join.
+Training: truncated backpropagation in numpy over all training documents, each once. It goes in turns over growing shares of them; in a
+turn every task trains the model at hand on its own documents, and the mean of the tasks' parameters, weighted by tokens, is the next
+model. Scoring carries the state through each whole document.
 
 Defined results: null text counts as empty (one end); null identifiers count as empty text for the fold; repeated rows get equal
-results; with nothing to train on, base and model give each token the chance of one unknown word, 1; an empty table gives no rows;
-other columns are ignored.
+results up to rounding; with nothing to train on, base and model give each token the chance of one unknown word, 1; an empty table gives no rows;
+other columns are ignored. Beside a shard (`shard_tokens`, or one longer document) tasks hold two bytes a token of `block_tokens`.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonalframe.llm.common import ascii_lower
 from tonalframe.llm.gru import Gru, Vocabulary
 from tonalframe.llm.language_id import fold
 from tonalframe.sources.scratch import written
 
-GROUPS = 32
 CHUNK = 4096  # parameters in a row when tasks' models are averaged
 PARTS = "shard long, chunk int, weight double, values binary"
+SHARDS = "shard long, id array<long>, held array<boolean>, size array<int>, codes binary, words array<binary>, n array<int>"
+ENCODED = "id long, held_out boolean, n_tokens long, n_known long, base double, inner double, entries binary"
+#: Shares of the training documents that each turn adds, and its learning rate.
+TURNS = ((1 / 64, 0.01), (1 / 16, 0.01), (1 / 4, 0.01), (1.0, 0.005))
 
 
-def words(text: Column) -> Column:
-    """Words of a text, in order; of a text without words, one empty word."""
-    return F.split(F.btrim(ascii_lower(text), F.lit(" \t\n\x0b\f\r")), "[ \\t-\\r]+")
+def group_of(word: Column, groups: int) -> Column:
+    """Group of a rare word: a hash of its last two bytes."""
+    return (F.crc32(F.substring(word, F.greatest(F.length(word) - 1, F.lit(1)), F.lit(2))) % groups).cast("int")
 
 
-def group_of(word: Column) -> Column:
-    """Group of a rare word: a hash of its last two bytes."""
-    raw = word.cast("binary")
-    return (F.crc32(F.substring(raw, F.greatest(F.length(raw) - 1, F.lit(1)), F.lit(2))) % GROUPS).cast("int")
-
-
-class Lexicon:
-    """What tasks know of words. ids: bytes of a word to its place; place < len(count) for the known ones."""
-
-    def __init__(self, top: list[tuple[bytes, int]], ends: int, sums: np.ndarray, tokens: int, kinds: int, in_model: int, classes: int):
-        """top: words by falling count; ends: training documents; sums: count + 1 over the rare words of each group."""
-        model = sorted([(b"", ends), *top[:in_model]], key=lambda x: (-x[1], x[0]))  # the end is the empty word
-        rest = top[in_model:]
-        self.ids = {w: i for i, (w, _) in enumerate([*model, *rest])}
-        self.end = self.ids[b""]
-        count = np.array([c for _, c in [*model, *rest]], float)
-        group = [zlib.crc32(w[-2:]) % GROUPS for w, _ in rest]
-        self.vocabulary = Vocabulary(count[: len(model)], sums, classes)
-        self.entry = np.concatenate([np.arange(len(model)), len(model) + np.array(group, np.int64)]).astype(np.int32)
-        self.norm = np.log10(tokens + kinds + 1.0)
-        self.base = np.log10(count + 1) - self.norm
-        inner = np.log10(count[len(model) :] + 1) - np.log10(sums[group] + 1) if rest else np.empty(0)
-        self.inner = np.concatenate([np.zeros(len(model)), inner])
-        self.known = count > 0
-
-    def encode(self, text: str) -> tuple[np.ndarray, int, float, float, int]:
-        """Model entries; tokens; of the known words: base score, what they add to the model's score, how many were counted."""
-        tokens = text.encode().lower().split()
-        get = self.ids.get
-        at = np.array([get(w, -1) for w in tokens] + [self.end])
-        entries = self.entry[at]
-        far = np.flatnonzero(at < 0)
-        if len(far):
-            first = self.vocabulary.words
-            entries[far] = [first + zlib.crc32(tokens[i][-2:]) % GROUPS for i in far.tolist()]
-        near = at[at >= 0]
-        return entries, len(at), float(self.base[near].sum()), float(self.inner[near].sum()), int(self.known[near].sum())
-
-
-def _trained(rows: DataFrame, lexicon: Lexicon, model: Gru, rate: float) -> DataFrame:
+class Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+def _shards(given: DataFrame, shard_tokens: int) -> DataFrame:
+    """Shards of documents: ids, folds, numbers of words, the words' numbers end to end, and the shard's words with their counts in training documents."""
+
+    def rows(batches):
+        made, shard = 0, TaskContext.get().partitionId() << 32
+        number, docs, codes, size = Numbers(), [], [], 0
+
+        def one():
+            flat = np.concatenate(codes)
+            learnt = np.repeat([not h for _, h in docs], [len(c) for c in codes])
+            n = np.bincount(flat[learnt], minlength=len(number))
+            columns = [[shard + made], [[d for d, _ in docs]], [[h for _, h in docs]], [[len(c) for c in codes]], [flat.tobytes()], [list(number)], [n]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+            names = ["shard", "id", "held", "size", "codes", "words", "n"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        for b in batches:
+            for doc, held, text in zip(b["id"].to_pylist(), b["held_out"].to_pylist(), b["text"].to_pylist(), strict=True):
+                words = text.lower().split()
+                docs.append((doc, held))
+                codes.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                size += len(words) + 1
+                if size >= shard_tokens:
+                    yield one()
+                    made, number, docs, codes, size = made + 1, Numbers(), [], [], 0
+        if docs:
+            yield one()
+
+    # Of bytes, lower() changes A-Z only, and split() knows the six ASCII spaces only.
+    return given.select("id", "held_out", F.col("text").cast("binary").alias("text")).mapInArrow(rows, SHARDS)
+
+
+def _known(counts: DataFrame, known: int) -> DataFrame:
+    """The most frequent words, bounded in number and length whatever the corpus: those above the least count (on a scale of some thousand steps) that so many words reach."""
+    short = counts.where(F.length("word") <= 64).withColumn("step", F.floor(F.log2("c") * 64).cast("int"))
+    least, n = 1 << 30, 0
+    for r in short.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        if (n := n + r["n"]) > known:
+            break
+        least = r["step"]
+    return short.where(F.col("step") >= least).drop("step")
+
+
+def _encoded(shards: DataFrame, found: DataFrame, norm: float, ends: int, end: int, first_group: int, sums: np.ndarray) -> DataFrame:
+    """A row for each document, from its shard's numbers and what was found of the shard's words: place, c (0: never seen in training) and entry."""
+
+    def rows(shard, words):
+        docs, size = shard["id"].iloc[0], np.array(shard["size"].iloc[0], np.int64)
+        codes = np.frombuffer(shard["codes"].iloc[0], np.int32)
+        n = len(words)
+        c, entry = np.zeros(n), np.zeros(n, np.uint16)
+        c[words["place"]] = words["c"]
+        entry[words["place"]] = words["entry"]
+        log = np.log10(c + 1)
+        rare = entry >= first_group
+        inner = np.where(rare, log - np.log10(sums[np.where(rare, entry - first_group, 0)] + 1), 0)
+
+        stop = np.cumsum(size)
+        full = np.flatnonzero(size)
+
+        def by_doc(values):
+            out = np.zeros(len(size), values.dtype)
+            if len(full):
+                out[full] = np.add.reduceat(values[codes], (stop - size)[full])
+            return out
+
+        entries, mark = entry[codes], np.array([end], np.uint16)
+        parts = [np.append(entries[b - s : b], mark).tobytes() for b, s in zip(stop, size, strict=True)]
+        return pd.DataFrame({
+            "id": pd.array([None if pd.isna(x) else int(x) for x in docs], "Int64"), "held_out": np.array(shard["held"].iloc[0], bool), "n_tokens": size + 1,
+            "n_known": by_doc((c > 0).astype(np.int64)) + (ends > 0), "base": by_doc(log - norm) + np.log10(ends + 1) - norm, "inner": by_doc(inner), "entries": parts,
+        })
+
+    whole = shards.select(F.col("shard").alias("own"), "id", "held", "size", "codes")
+    return whole.groupBy("own").cogroup(found.groupBy("shard")).applyInPandas(rows, ENCODED)
+
+
+def _in_blocks(batches, most: int):
+    """Frames with about `most` tokens at most, or one longer document."""
+    held, size = [], 0
+    for b in batches:
+        start = 0
+        for i, n in enumerate(b["entries"].map(len).tolist()):
+            size += n // 2
+            if size >= most:
+                yield pd.concat([*held, b.iloc[start : i + 1]])
+                held, size, start = [], 0, i + 1
+        if start < len(b):
+            held.append(b.iloc[start:])
+    if held:
+        yield pd.concat(held)
+
+
+def _entries(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16) for x in rows["entries"]]
+
+
+def _trained(rows: DataFrame, model: Gru, end: int, rate: float, block_tokens: int) -> DataFrame:
     """Each task's model after its own texts, cut into rows: shard, chunk, weight, values."""
 
     def train(batches):
-        docs = []
-        for b in batches:
-            docs += [lexicon.encode(x)[0] for x in b["text"]]
-        if not docs:
-            return
-        values = model.train(docs, lexicon.end, rate=rate).flat()
-        n = sum(map(len, docs))
-        parts = range(0, len(values), CHUNK)
-        shard = TaskContext.get().partitionId()
-        yield pd.DataFrame({"shard": shard, "chunk": list(range(len(parts))), "weight": float(n), "values": [values[i : i + CHUNK].tobytes() for i in parts]})
+        held, n = {}, 0
+        for b in _in_blocks(batches, block_tokens):
+            docs = _entries(b)
+            n += sum(map(len, docs))
+            model.train(docs, end, rate=rate, held=held)
+        if n:
+            values = model.flat()
+            parts = range(0, len(values), CHUNK)
+            yield pd.DataFrame({"shard": TaskContext.get().partitionId(), "chunk": list(range(len(parts))), "weight": float(n), "values": [values[i : i + CHUNK].tobytes() for i in parts]})
 
-    return rows.select("text").mapInPandas(train, PARTS)
+    return rows.select("entries").mapInPandas(train, PARTS)
 
 
 def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("shard")
     w = pdf["weight"].to_numpy()
     values = w @ np.stack([np.frombuffer(x, np.float32) for x in pdf["values"]]) / w.sum()
     return pdf.iloc[:1].assign(weight=w.sum(), values=[values.astype(np.float32).tobytes()])
@@ -118,78 +188,53 @@ def _loaded(model: Gru, rows: list) -> Gru:
 
 
 def lm_scores(
-    docs: DataFrame, held_folds: int = 7, held: int = 2, in_model: int = 4096, known: int = 65_536, classes: int = 64, hidden: int = 24,
-    warm_docs: int = 3000, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, held_folds: int = 7, held: int = 2, in_model: int = 2048, groups: int = 8, known: int = 65_536, classes: int = 32, hidden: int = 12,
+    shard_tokens: int = 4_000_000, block_tokens: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.col(id_col).cast("long").alias("id"), (fold(id_col, held_folds) == held).alias("held_out"), text.alias("text"))
-    given = given.withColumn("key", F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("a"), F.xxhash64("text").alias("t")))
-    train = given.where("not held_out")
-    counts = train.select(F.explode(words(F.col("text"))).alias("word")).where("word != ''").groupBy("word").agg(F.count(F.lit(1)).alias("c"))
-    counts = written(counts.withColumn("group", group_of(F.col("word"))), "word-counts")
-    ends = train.count()
+    shards = written(_shards(given, shard_tokens), "shards")
+    each = shards.select("shard", F.posexplode(F.arrays_zip("words", "n")).alias("place", "x"))
+    each = each.select("shard", "place", F.col("x.words").alias("word"), F.col("x.n").alias("n"))
+    counts = written(each.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
+    ends = shards.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, kinds = total[0] + ends, total[1] + (ends > 0)
-    # The known words are bounded in number and length, whatever the corpus: those above the least count (on a scale of some
-    # thousand steps) that so many words reach.
-    short = counts.where(F.octet_length("word") <= 64).withColumn("step", F.floor(F.log2("c") * 64).cast("int"))
-    least, n = 1 << 30, 0
-    for r in short.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
-        if (n := n + r["n"]) > known:
-            break
-        least = r["step"]
-    top = [(r["word"].encode(), r["c"]) for r in short.where(F.col("step") >= least).orderBy(F.desc("c"), "word").select("word", "c").collect()]
-    bound = F.broadcast(spark.createDataFrame([(w.decode(),) for w, _ in top], "word string"))
-    modelled = F.broadcast(spark.createDataFrame([(w.decode(),) for w, _ in top[:in_model]], "word string"))
-    sums = np.zeros(GROUPS)
-    for r in counts.join(modelled, "word", "left_anti").groupBy("group").agg(F.sum(F.col("c") + 1).alias("s")).collect():
-        sums[r["group"]] = r["s"]
-    lexicon = Lexicon(top, ends, sums, tokens, kinds, in_model, classes)
-
-    model = Gru(lexicon.vocabulary, hidden)
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20))
-    warm = train.where(part < int(min(1.0, warm_docs / max(ends, 1)) * (1 << 20))).orderBy(F.xxhash64("id", "text")).limit(warm_docs)
-    model = _loaded(model, _trained(warm, lexicon, model, 0.01).collect())  # one model
-    own = train.where(part >= int((1 - share) * (1 << 20)))
-    model = _loaded(model, _averaged(_trained(own, lexicon, model, 0.003)))
 
-    def scored(batches):
-        held_rows, held_docs, size = [], [], 0
+    often = _known(counts, known)
+    top = often.orderBy(F.desc("c"), "word").limit(in_model).collect()
+    model_words = sorted([(b"", ends), *((bytes(r["word"]), r["c"]) for r in top)], key=lambda x: (-x[1], x[0]))  # the end is the empty word
+    end, first_group = model_words.index((b"", ends)), len(model_words)
+    spark = docs.sparkSession
+    ranks = F.broadcast(spark.createDataFrame([(w, i) for i, (w, _) in enumerate(model_words) if w], "word binary, rank int"))
+    own_group = group_of(F.col("word"), groups)
+    sums = np.zeros(groups)
+    for r in counts.join(ranks, "word", "left_anti").groupBy(own_group.alias("g")).agg(F.sum(F.col("c") + 1).alias("s")).collect():
+        sums[r["g"]] = r["s"]
+    norm = float(np.log10(tokens + kinds + 1.0))
+
+    # Frequent words, bounded, meet the shards by a broadcast; only the others are shuffled.
+    often = F.broadcast(often.join(ranks, "word", "left").select("word", F.col("c").alias("c"), F.coalesce("rank", first_group + own_group).alias("entry")))
+    near = each.join(often, "word").select("shard", "place", "c", "entry")
+    far = each.join(often, "word", "left_anti").join(counts, "word", "left").select("shard", "place", F.coalesce("c", F.lit(0)).cast("long").alias("c"), (first_group + own_group).alias("entry"))
+    encoded = written(_encoded(shards, near.unionByName(far), norm, ends, end, first_group, sums), "encoded")
+
+    vocabulary = Vocabulary(np.array([c for _, c in model_words], float), sums, classes)
+    model = Gru(vocabulary, hidden)
+    where = F.pmod(F.xxhash64("id", "n_tokens", "base"), F.lit(1 << 20)) / (1 << 20)
+    before = 0.0
+    for share, rate in TURNS:
+        turn = encoded.where(~F.col("held_out") & (where >= before) & (where < share))
+        model = _loaded(model, _averaged(_trained(turn, model, end, rate, block_tokens)))
+        before = share
 
-        def out():
-            a, t, n_tokens, base, inner, n_known = zip(*held_rows, strict=True)
-            lm = model.score(held_docs, lexicon.end) / np.log(10)
-            return pd.DataFrame({"a": a, "t": t, "n_tokens": n_tokens, "base": base, "lm": lm + inner, "n_known": n_known})
+    def scored(batches):
+        for b in _in_blocks(batches, block_tokens):
+            yield b.drop(columns="entries").assign(lm=model.score(_entries(b), end) / np.log(10), id=b["id"].astype("Int64"))
 
-        for b in batches:
-            for a, t, x in zip(b["a"], b["t"], b["text"], strict=True):
-                entries, n, base, inner, n_known = lexicon.encode(x)
-                held_docs.append(entries)
-                held_rows.append((a, t, n, base, inner, n_known))
-                size += n
-                if size >= 6_000_000:
-                    yield out()
-                    held_rows, held_docs, size = [], [], 0
-        if held_docs:
-            yield out()
-
-    near = given.select("key.a", "key.t", "text").mapInPandas(scored, "a long, t long, n_tokens long, base double, lm double, n_known long")
-    # Words that no task knows: their counts come by a join. Rows that repeat a key add up there, and are divided out again.
-    each = given.select("key.a", "key.t", F.explode(words(F.col("text"))).alias("word")).where("word != ''")
-    far = each.join(bound, "word", "left_anti").join(counts, "word", "left")
-    norm = F.element_at(F.array(*[F.lit(float(np.log10(x + 1))) for x in sums]), F.coalesce("group", group_of(F.col("word"))) + 1)
-    log = F.log10(F.coalesce("c", F.lit(0)) + 1.0)
-    far = far.groupBy("a", "t").agg(
-        F.sum(log - F.lit(float(lexicon.norm))).alias("far_base"), F.sum(log - norm).alias("far_lm"), F.count("c").alias("far_known")
-    )
-    near = written(near, "lm-scores")
-    rows_of = near.groupBy("a", "t").agg(F.count(F.lit(1)).alias("m"))
-    keys = given.select("id", "held_out", "key.a", "key.t").distinct()
-    found = near.join(rows_of, ["a", "t"]).join(keys, ["a", "t"]).join(far, ["a", "t"], "left")
-    per = lambda c: F.coalesce(c, F.lit(0)) / F.col("m")
+    found = encoded.mapInPandas(scored, "id long, held_out boolean, n_tokens long, n_known long, base double, inner double, lm double")
     return found.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + per("far_known").cast("long")).alias("n_known"),
-        F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base") + per("far_base")).alias("base_score"), (F.col("lm") + per("far_lm")).alias("score"),
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"),
+        (F.col("lm") + F.col("inner")).alias("score"),
     )
