@@ -242,7 +242,6 @@ def all_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_file())
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for _, x, _ in ROWS]
 
 

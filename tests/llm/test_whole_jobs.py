@@ -1,11 +1,12 @@
 """Cases in which operators once left out a part of their job."""
 
+import random
 import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tonalframe.llm import language_id, line_dedup, lm_scoring, personal_data
+from tonalframe.llm import language_id, line_dedup, lm_scoring, personal_data, tokens
 
 
 def test_runs_meet_the_first_document_that_has_them(spark):
@@ -71,3 +72,15 @@ def test_spelled_addresses_are_those_of_the_whole_pattern():
     for _ in range(5000):
         t = "".join(rng.choice(bits, rng.integers(0, 16)))
         assert personal_data.spelled(t) == [m.span() for m in whole.finditer(t)], t
+
+
+def test_the_encoder_agrees_with_the_library():
+    """The tokenizer's own call on whole texts, special tokens spelled in a text included."""
+    from tokenizers import Tokenizer
+
+    library, coder, rng = Tokenizer.from_file(tokens.tokenizer_file()), tokens.Encoder(tokens.tokenizer_file(), held=50, longest=5), random.Random(3)
+    some = ["a", "b", " ", "  ", "\n", "\t", " the", "'s", "'", "’", " ", "é", "ж", "1", "22", ".", ",", "\x85", "ª", "<|endoftext|>", "<|", "日本", "‍", "Word", " Word", "\r\n"]
+    for _ in range(40):
+        texts = ["a <|endoftext|> b", "", *("".join(rng.choice(some) for _ in range(rng.randint(0, 25))) for _ in range(100))]
+        want = [np.array(library.encode(x, add_special_tokens=False).ids, coder.dtype).tobytes() for x in texts]
+        assert coder.encode(texts) == want

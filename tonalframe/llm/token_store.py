@@ -74,8 +74,8 @@ def count_ids(tokens: DataFrame) -> DataFrame:
     def rows(batches):
         total = np.zeros(1, np.int64)
         for b in batches:
-            for width, ids in zip(b["width"], b["ids"], strict=True):
-                n = np.bincount(np.frombuffer(ids, f"<u{width}"))
+            for width, some in b.groupby("width")["ids"]:
+                n = np.bincount(np.frombuffer(b"".join(some), f"<u{width}"))
                 if len(n) > len(total):
                     total = np.pad(total, (0, len(n) - len(total)))
                 total[: len(n)] += n
@@ -100,16 +100,15 @@ def write_tokens(docs: DataFrame, where: str, end_id: int = 2, path: str | None
         shard, first, held, docs, sizes, values = TaskContext.get().partitionId(), 0, 0, [], [], []
 
         def one_block():
-            control, data = encode_values(np.concatenate(values))
+            control, data = encode_values(rank_of[np.frombuffer(b"".join(values), f"<u{width}")])
             return pd.DataFrame({"shard": [shard], "first": [first], "docs": [docs], "sizes": [sizes], "control": [control], "data": [data]})
 
         for b in batches:
-            for doc, width, ids in zip(b["doc"], b["width"], b["ids"], strict=True):
-                one = rank_of[np.frombuffer(ids, f"<u{width}")]
+            for doc, width, ids in zip(b["doc"], b["width"], b["ids"], strict=True):  # one width in all rows
                 docs.append(None if pd.isna(doc) else int(doc))
-                sizes.append(len(one))
-                values.append(one)
-                held += len(one)
+                sizes.append(len(ids) // width)
+                values.append(ids)
+                held += len(ids) // width
                 if held >= BLOCK_IDS:
                     yield one_block()
                     first, docs, sizes, values, held = first + held, [], [], [], 0
