@@ -320,7 +320,7 @@ def test_tiles_miss_no_link():
     x = rng.integers(0, 2**63, 900, dtype=np.uint64)
     near = x[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))
     y = np.concatenate([x[:50], near])
-    got = {(int(i), int(j)) for a, b in simhash.linked(x, y, 3, False, rows=7, columns=40) for i, j in zip(a, b, strict=True)}
+    got = {(int(i), int(j)) for a, b in simhash.linked(x, y, 3, False, side=7) for i, j in zip(a, b, strict=True)}
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.bitwise_count(x[:, None] ^ y[None]) <= 3), strict=True)}
     assert got == want and want
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from tonalframe.llm import language_id, line_dedup, lm_scoring, personal_data, tokens
+from tonalframe.llm import language_id, line_dedup, lm_scoring, personal_data, simhash, tokens
 
 
 def test_runs_meet_the_first_document_that_has_them(spark):
@@ -84,3 +84,43 @@ def test_the_encoder_agrees_with_the_library():
         texts = ["a <|endoftext|> b", "", *("".join(rng.choice(some) for _ in range(rng.randint(0, 25))) for _ in range(100))]
         want = [np.array(library.encode(x, add_special_tokens=False).ids, coder.dtype).tobytes() for x in texts]
         assert coder.encode(texts) == want
+
+
+def test_tiles_link_all_near_fingerprints(spark):
+    """Many tiles of random fingerprints with planted near ones, against all pairs."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(-(2**63), 2**63, 1500, dtype=np.int64)
+    flips = np.array([[1 << int(b) for b in rng.integers(0, 63, 3)] for _ in range(500)], np.int64)
+    x = np.unique(np.concatenate([x, x[:500] ^ flips[:, 0], x[:250] ^ flips[:250, 0] ^ flips[:250, 1] ^ flips[:250, 2], [0, -1, 1, 7, 15]]))
+    a, b = np.nonzero(np.bitwise_count(x.view(np.uint64)[:, None] ^ x.view(np.uint64)[None]) <= 3)
+    df = spark.createDataFrame([(int(v),) for v in x], "fp long")
+    for tile in (20, 5000):
+        found = [(r.a, r.b) for r in simhash.links(df, 3, tile).collect()]
+        assert all((i ^ j).bit_count() <= 3 for i, j in ((i & (2**64 - 1), j & (2**64 - 1)) for i, j in found))
+        assert parts(found) == parts(zip(x[a].tolist(), x[b].tolist(), strict=True))
+
+
+def parts(edges):
+    up = {}
+
+    def top(v):
+        while up.setdefault(v, v) != v:
+            v = up[v]
+        return v
+
+    for i, j in edges:
+        i, j = top(i), top(j)
+        up[max(i, j)] = min(i, j)
+    sets = {}
+    for v in up:
+        sets.setdefault(top(v), set()).add(v)
+    return sorted(sorted(s) for s in sets.values() if len(s) > 1)
+
+
+def test_a_repeated_identifier_keeps_its_fingerprints_apart(spark):
+    one, two = "one text of some words here", "quite another story about nothing at all"
+    df = spark.createDataFrame([(1, one), (1, two), (2, one), (3, two)], "doc_id long, text string")
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.simhash_groups(df).collect()}
+    assert len(got) == 4 and set(got.values()) == {1}
+    df = spark.createDataFrame([(5, one), (5, two), (2, one)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.simhash_groups(df).collect()) == [(2, 2), (5, 2), (5, 5)]

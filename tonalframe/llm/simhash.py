@@ -1,10 +1,11 @@
 """Near-duplicates by 64-bit SimHash fingerprints, compared exactly in tiles.
 
 Fingerprints are made by DataFrame functions: words, shingles, XXH64, and a sum for each bit (two bits share a long).
-Distinct fingerprints, ordered by their population count and those of their four quarters, are cut into tiles.
-A pair of tiles is compared only if their ranges of population counts come within the radius of each other; in it,
-blocks are skipped by the quarters' counts, and numpy's exclusive-or and bit counts decide the rest. A pair of tiles
-hands on a spanning forest of its links, not all of them. Components then join over the forests.
+Distinct fingerprints, ordered by the population counts of their four quarters, are cut into tiles.
+A pair of tiles is compared only if their ranges of population counts, of the whole and of the quarters together, come within
+the radius of each other: of random fingerprints one pair in twenty. Only then do the tiles' bytes meet; inside, blocks are skipped in the same way, and
+numpy's exclusive-or and bit counts decide the rest. A pair of tiles hands on a spanning forest of its links, not all of them.
+Components then join over the forests, with fingerprints as nodes.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, linked like any other; fewer words
 than a shingle form one shingle; a row without identifier gets its fingerprint and the component of equal
@@ -16,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonalframe.llm.common import ascii_lower
@@ -68,46 +69,59 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return keep
 
 
-def linked(x: np.ndarray, y: np.ndarray, radius: int, same: bool, rows: int = 64, columns: int = 4096):
+def linked(x: np.ndarray, y: np.ndarray, radius: int, same: bool, side: int = 256):
     """Index pairs (i, j) of fingerprints at most `radius` bits apart, in parts; of one tile with itself, i < j."""
-    qx, qy = quarters(x), quarters(y)
-    cuts = range(0, len(y), columns)
-    low, high = [qy[c : c + columns].min(0) for c in cuts], [qy[c : c + columns].max(0) for c in cuts]
-    for r in range(0, len(x), rows):
-        part, least, most = x[r : r + rows], qx[r : r + rows].min(0), qx[r : r + rows].max(0)
-        for c, lo, hi in zip(cuts, low, high, strict=True):
-            if same and c + columns <= r or np.maximum(0, np.maximum(lo - most, least - hi)).sum() > radius:
-                continue
-            i, j = np.nonzero(np.bitwise_count(part[:, None] ^ y[None, c : c + columns]) <= radius)
-            i, j = i + r, j + c
-            if same:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                yield i, j
+
+    def ranges(v):
+        q, cuts = quarters(v), np.arange(0, len(v), side)
+        return np.minimum.reduceat(q, cuts), np.maximum.reduceat(q, cuts)
+
+    (low_x, high_x), (low_y, high_y) = ranges(x), ranges(y)
+    gap = np.maximum(0, np.maximum(low_y[None] - high_x[:, None], low_x[:, None] - high_y[None])).sum(2)
+    for r, c in np.argwhere(gap <= radius).tolist():
+        if same and c < r:
+            continue
+        part, other = x[r * side : r * side + side], y[c * side : c * side + side]
+        bits = np.bitwise_count(part[:, None] ^ other)
+        if int(bits.min()) > radius:
+            continue
+        i, j = np.nonzero(bits <= radius)
+        i, j = i + r * side, j + c * side
+        if same:
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            yield i, j
+
+
+def counts_of(fp: Column) -> list[Column]:
+    """Population counts of the four quarters."""
+    return [F.bit_count(F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") for k in range(4)]
 
 
 def links(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
-    """Edges (a, b) between representatives, a forest for each pair of tiles, of `distinct` (fp, rep)."""
+    """Edges (a, b) between fingerprints, a forest for each pair of tiles, of `distinct` (fp)."""
 
     def cut(batches):
         parts = [b for b in batches if len(b)]
         if not parts:
             return
-        rows = pd.concat(parts)
-        for k, at in enumerate(range(0, len(rows), 2 * tile)):
-            some = rows.iloc[at : at + 2 * tile]
+        fps = np.concatenate([b["fp"].to_numpy(np.int64) for b in parts])
+        q = quarters(fps)
+        for k, at in enumerate(range(0, len(fps), 2 * tile)):
+            some, own = fps[at : at + 2 * tile], q[at : at + 2 * tile]
+            ones = own.sum(1)
             yield pd.DataFrame({
-                "tile": [(TaskContext.get().partitionId() << 24) + k], "least": [some["ones"].min()], "most": [some["ones"].max()],
-                "fps": [some["fp"].to_numpy(np.int64).tobytes()], "reps": [some["rep"].to_numpy(np.int64).tobytes()],
+                "tile": [(TaskContext.get().partitionId() << 24) + k], "fps": [some.tobytes()], "near": [np.unique(own[:, 0] * 17 + own[:, 1])],
+                "low": [[*own.min(0), ones.min()]], "high": [[*own.max(0), ones.max()]],
             })
 
     def compare(batches):
         for b in batches:
-            for t, u, f, g, p, q in zip(b["t"], b["u"], b["f"], b["g"], b["p"], b["q"], strict=True):
-                x, y, p, q = np.frombuffer(f, np.uint64), np.frombuffer(g, np.uint64), np.frombuffer(p, np.int64), np.frombuffer(q, np.int64)
+            for t, u, f, g in zip(b["t"], b["u"], b["f"], b["g"], strict=True):
+                x, y = np.frombuffer(f, np.int64), np.frombuffer(g, np.int64)
                 found = [np.empty((0, 2), np.int64)]
-                for i, j in linked(x, y, radius, t == u):
-                    found.append(np.column_stack([p[i], q[j]])[forest(p[i], q[j])])
+                for i, j in linked(x.view(np.uint64), y.view(np.uint64), radius, t == u):
+                    found.append(np.column_stack([x[i], y[j]])[forest(x[i], y[j])])
                     if len(found) > 64:
                         found = [(e := np.concatenate(found))[forest(e[:, 0], e[:, 1])]]
                 e = np.concatenate(found)
@@ -116,18 +130,19 @@ def links(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
                     yield pd.DataFrame({"a": e[:, 0], "b": e[:, 1]})
 
     n = max(1, -(-distinct.count() // tile))
-    ones = distinct.withColumn("ones", F.bit_count("fp").cast("int"))
-    part = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(4)]
-    order = ["ones", *part, "fp"]
-    tiles = ones.repartitionByRange(n, *order).sortWithinPartitions(*order).select("fp", "rep", "ones")
-    tiles = written(tiles.mapInPandas(cut, "tile long, least int, most int, fps binary, reps binary"), "tiles", "uncompressed")
-    reach = lambda x, more: F.explode(F.sequence(F.col("least") - more, F.col("most") + more)).alias(x)
-    left = tiles.select(F.col("tile").alias("t"), F.col("least").alias("t_least"), reach("ones", radius))
-    right = tiles.select(F.col("tile").alias("u"), F.col("least").alias("u_least"), reach("ones", 0))
-    # Each pair meets at many counts; the first of them stands for it.
-    pairs = left.join(right, "ones").where(F.expr(f"t <= u and ones = greatest(t_least - {radius}, u_least)")).select("t", "u")
-    first = tiles.select(F.col("tile").alias("t"), F.col("fps").alias("f"), F.col("reps").alias("p"))
-    other = tiles.select(F.col("tile").alias("u"), F.col("fps").alias("g"), F.col("reps").alias("q"))
+    order = [*counts_of(F.col("fp")), F.col("fp")]
+    tiles = distinct.select("fp").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    tiles = written(tiles.mapInPandas(cut, "tile long, fps binary, near array<int>, low array<int>, high array<int>"), "tiles", "uncompressed")
+    # Tiles meet by the counts of their first two quarters, then all their ranges decide; a few bytes for each tile.
+    steps = [(i, j) for i in range(-radius, radius + 1) for j in range(abs(i) - radius, radius - abs(i) + 1)]
+    reach = F.array_distinct(F.flatten(F.transform("near", lambda x: F.array(*[x + 17 * i + j for i, j in steps]))))
+    left = tiles.select(F.col("tile").alias("t"), F.col("low").alias("t_low"), F.col("high").alias("t_high"), F.explode(reach).alias("at"))
+    right = tiles.select(F.col("tile").alias("u"), F.col("low").alias("u_low"), F.col("high").alias("u_high"), F.explode("near").alias("at"))
+    gap = lambda k: F.greatest(F.col("u_low")[k] - F.col("t_high")[k], F.col("t_low")[k] - F.col("u_high")[k], F.lit(0))
+    close = (gap(0) + gap(1) + gap(2) + gap(3) <= radius) & (gap(4) <= radius) & (F.col("t") <= F.col("u"))
+    pairs = left.join(right, "at").where(close).select("t", "u").distinct()
+    first = tiles.select(F.col("tile").alias("t"), F.col("fps").alias("f"))
+    other = tiles.select(F.col("tile").alias("u"), F.col("fps").alias("g"))
     return pairs.join(first, "t").join(other, "u").mapInPandas(compare, "a long, b long")
 
 
@@ -137,9 +152,10 @@ def simhash_groups(
     """id, fingerprint (hex) and component_id for each row of `docs`."""
     fps = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = written(fps.where("doc is not null").groupBy("fp").agg(F.min("doc").alias("rep")), "distinct-fingerprints")
-    # A repeated identifier can stand for several fingerprints; a node is then still one fingerprint's least id.
     roots = connected_components(links(distinct, radius, tile))
-    of = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    of = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(of, "fp", "left").select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
