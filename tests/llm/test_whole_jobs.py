@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tonalframe.llm import language_id, line_dedup, lm_scoring, personal_data, simhash, tokens
+from tonalframe.llm import exact_dedup, language_id, line_dedup, lm_scoring, personal_data, simhash, tokens
 
 
 def test_runs_meet_the_first_document_that_has_them(spark):
@@ -124,3 +125,28 @@ def test_a_repeated_identifier_keeps_its_fingerprints_apart(spark):
     assert len(got) == 4 and set(got.values()) == {1}
     df = spark.createDataFrame([(5, one), (5, two), (2, one)], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in simhash.simhash_groups(df).collect()) == [(2, 2), (5, 2), (5, 5)]
+
+
+def crc(text):
+    return F.crc32(F.substring(text.cast("binary"), 1, 3)).cast("string").cast("binary")  # collides on purpose
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, crc])
+def test_the_state_holds_from_batch_to_batch_and_over_a_restart(spark, tmp_path, digest):
+    texts = ["abc one", "ABC one", "abc two", "", None, "x", "X", "abc one", "abc", "y"]
+    batches, seen = [list(enumerate(texts[:5])), [], [(i + 5, t) for i, t in enumerate(texts[5:])], [(20, "abc two"), (21, "new")]], []
+    for n, batch in enumerate(batches):
+        seen += batch
+        session = spark.newSession() if n == 2 else spark  # nothing but the folder is carried over
+        df = session.createDataFrame(batch, "doc_id long, text string")
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df, digest=digest, state_dir=f"file://{tmp_path}/state").collect()}
+        equal = lambda i, t, seen=seen: [j for j, x in seen if (x or "").lower() == (t or "").lower()]
+        assert got == {i: (max(equal(i, t)), len(equal(i, t)), i == max(equal(i, t))) for i, t in batch}
+
+
+def test_locators_name_file_and_row(spark, tmp_path):
+    spark.createDataFrame([(i, f"t{i % 3}") for i in range(9)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    rows = docs.select("doc_id", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("at")).collect()
+    at = {r.doc_id: r["at"] for r in rows}
+    assert all(r.locator == at[r.keep_id] for r in exact_dedup.exact_dedup(docs).collect())

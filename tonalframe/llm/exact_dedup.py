@@ -2,8 +2,12 @@
 
 Arrivals (identifier, digest, locator) stream through a stateful aggregation whose state lives in RocksDB,
 has no watermark and so never expires. For each digest the state retains the stable identifier that stays,
-the locator of its content and the number of rows. Full bytes decide on hits: the least and the greatest
-text of each digest are compared, and digests that stand for several texts are grouped anew by text.
+the locator of its content (file and row) and the number of rows. On hits, digests that came more than once, full bytes decide: the
+least and the greatest text of each are compared, and digests that stand for several texts are grouped anew by text. A bitmap of fixed
+size keeps texts that hit nothing out of that shuffle; if hits fill it, more texts come along, never fewer.
+
+With `state_dir` the state and the arrivals, with their texts, stay there: each call streams its rows into the same state, so later rows
+meet all earlier ones, also after a restart. Without it a call has a state of its own.
 
 Defined results: null text counts as empty; equal means identical after lower-casing A-Z; of equal texts the
 largest identifier stays (null is smallest); rows that repeat identifier and text all count in group_size and all
@@ -12,6 +16,9 @@ carry kept = true (`drop_copies` keeps one of them); an empty table gives no row
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,19 +47,15 @@ def keyed_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("digest").agg(held, F.count(F.lit(1)).alias("group_size"))
 
 
-def run_state(spark: SparkSession, arrivals_path: str, schema) -> DataFrame:
-    """Streams the arrivals in `arrivals_path` through the state and reads the state: digest, held, group_size."""
-    where = new_path(spark, "dedup-state")
-    stream = spark.readStream.schema(schema).option("maxFileAge", "36500d").parquet(arrivals_path)
-    before = {k: spark.conf.get(k, "") for k in STORE}
-    for k, v in STORE.items():
-        spark.conf.set(k, v)
-    try:
-        sink = keyed_state(stream).writeStream.format("noop").outputMode("update").option("checkpointLocation", where)
-        sink.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v else spark.conf.unset(k)
+def run_state(spark: SparkSession, arrivals_path: str, schema, where: str | None = None) -> DataFrame:
+    """Streams what is new in `arrivals_path` through the state at `where` and reads the state: digest, keep_id, locator, group_size."""
+    where = where or new_path(spark, "dedup-state")
+    own = spark.newSession()  # the store's settings hold for this stream only
+    for k, v in (STORE | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}).items():
+        own.conf.set(k, v)
+    stream = own.readStream.schema(schema).option("maxFileAge", "36500d").parquet(arrivals_path).select("id", "digest", "locator")
+    sink = keyed_state(stream).writeStream.format("noop").outputMode("update").option("checkpointLocation", where)
+    sink.trigger(availableNow=True).start().awaitTermination()
     state = spark.read.format("statestore").load(where)
     held, size = state.schema["value"].dataType.names
     held = F.col("value")[held]
@@ -64,32 +67,63 @@ def run_state(spark: SparkSession, arrivals_path: str, schema) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
+def located(docs: DataFrame) -> Column:
+    """File and row of each row, where `docs` comes from files."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:  # not a scan of files
+        return F.input_file_name()
+    return F.concat_ws("#", "_metadata.file_path", "_metadata.row_index")
+
+
+def in_bitmap(rows: DataFrame, keys: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """`rows` without those whose digest is surely not among `keys`; the bitmap takes bits / 8 bytes, whatever the number of keys."""
+    at = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    maps = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(maps), F.bitmap_bucket_number(at) == F.col("bucket"))
+    return met.where(F.call_function("getbit", byte, (place % 8).cast("int")) == 1).select(rows.columns)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, state_dir: str | None = None) -> DataFrame:
     """A row for each row of `docs`: id, keep_id, group_size, kept, text_sha256 and the kept row's locator.
 
     `digest` maps the normalised text to the state's key; it need not be free of collisions.
     """
     spark = docs.sparkSession
     text = normalised(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.input_file_name().alias("locator"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), located(docs).alias("locator"))
     keyed = rows.withColumn("digest", digest(F.col("text")))
     sha = F.col("digest") if digest is sha256 else sha256(F.col("text"))
-    came = keyed.select("id", "digest", "locator", sha.alias("sha"))
-    path = write_table(came, "dedup-arrivals")
-    arrivals = spark.read.schema(came.schema).parquet(path)
-    if arrivals.isEmpty():  # a stream without a batch leaves no state to read
-        state = arrivals.select("digest", F.col("id").alias("keep_id"), "locator", F.lit(0).cast("long").alias("group_size"))
+    came = keyed.select("id", "digest", "locator", sha.alias("sha"), *(["text"] if state_dir else []))
+    if state_dir:
+        path = f"{state_dir.rstrip('/')}/arrivals"
+        name = uuid.uuid4().hex
+        batch = came.withColumn("batch", F.lit(name))
+        batch.write.mode("append").partitionBy("batch").parquet(path)
+        held = spark.read.schema(batch.schema).parquet(path)
+        arrivals = held.where(F.col("batch") == name)
+    else:
+        path = write_table(came, "dedup-arrivals")
+        held = arrivals = spark.read.schema(came.schema).parquet(path)
+    if held.isEmpty():  # a stream without a batch leaves no state to read
+        state = held.select("digest", F.col("id").alias("keep_id"), "locator", F.lit(0).cast("long").alias("group_size"))
     else:
-        state = run_state(spark, path, came.schema)
+        state = run_state(spark, path, batch.schema if state_dir else came.schema, f"{state_dir.rstrip('/')}/state" if state_dir else None)
+    state = written(state, "dedup-held")
     found = arrivals.select("id", "digest", "sha").join(state, "digest")
     # Full bytes on hits, combined before the shuffle: a large group sends a row for each task.
-    spans = keyed.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"), F.count(F.lit(1)).alias("n"))
+    hits = in_bitmap(held if state_dir else keyed, state.where("group_size > 1"))
+    spans = hits.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"), F.count(F.lit(1)).alias("n"))
     mixed = written(spans.where("n > 1 and least != most").select("digest"), "dedup-mixed")
     if not mixed.isEmpty():
-        apart = keyed.join(mixed, "digest", "left_semi")
+        texts = (held if state_dir else keyed).select("id", "digest", "text", "locator")
+        apart = texts.join(mixed, "digest", "left_semi")
         again = apart.groupBy("digest", "text").agg(F.max(F.struct("id", "locator")).alias("held"), F.count(F.lit(1)).alias("group_size"))
         again = again.select("digest", "text", F.col("held.id").alias("keep_id"), F.col("held.locator").alias("locator"), "group_size")
-        anew = apart.drop("locator").join(again, ["digest", "text"]).select("digest", "id", sha256(F.col("text")).alias("sha"), "keep_id", "locator", "group_size")
+        mine = (arrivals if state_dir else keyed).select("id", "digest", "text").join(mixed, "digest", "left_semi")
+        anew = mine.join(again, ["digest", "text"]).select("digest", "id", sha256(F.col("text")).alias("sha"), "keep_id", "locator", "group_size")
         found = found.join(mixed, "digest", "left_anti").select(anew.columns).unionByName(anew)
     return found.select(
         F.col("id").alias(id_col),
