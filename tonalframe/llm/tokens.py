@@ -43,7 +43,7 @@ class Encoder:
     a space, take the way of whole texts.
     """
 
-    def __init__(self, path: str, held: int = 1_200_000, longest: int = 48):
+    def __init__(self, path: str, held: int = 1_000_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -153,7 +153,7 @@ def encoder(path: str) -> Encoder:
     return worker_cache(f"encoder_{path}", lambda: Encoder(path))
 
 
-def text_slices(texts: list[str], most_chars: int = 16_000_000):
+def text_slices(texts: list[str], most_chars: int = 8_000_000):
     """(start, end) of runs of texts with about `most_chars` characters at most; a longer text stands alone."""
     start = size = 0
     for i, x in enumerate(texts):
