@@ -29,8 +29,10 @@ def test_folds():
     assert folds.apart([0, 0.1, 0.25, 0.3, 0.6], 0.2) == [True, False, True, False, True]
     assert folds.from_first([0, 3, 6, 7, 20], 5) == [1, 1, 2, 2, 3]
     assert folds.smoothed(list("ABABB"), [1] * 5) == list("AAABB")
-    assert folds.absorbed(list("AAABCCCC"), 3) == list("AAAACCCC")
-    assert folds.increasing([1, 1, 1.2], 4) == [1, 1.5, 2.0]
+    assert folds.absorbed(list("AAABCCCC"), 3, ("A", "B", "C")) == list("AAAACCCC")
+    assert folds.absorbed(list("IIABBBIAAABIII"), 3, ("A", "B")) == list("IIBBBBIAAAAIII") and folds.absorbed(list("IIAI"), 3, ("A", "B")) == list("IIAI")
+    assert folds.increasing([1, 1, 1.2], 4) == [1, 1.5, 2.0] and folds.increasing([4, 4], 4) == [3.5, 4] and folds.increasing([2, 3], 4) == [2, 3]
+    assert folds.increasing([1, 1, 1], 1) == [1.0, 1.1, 1.2] and folds.increasing([], 4) == []
 
 
 def test_songs_stream_across_batches(spark):
@@ -98,7 +100,8 @@ def test_tiling(spark):
 
 
 def test_json_and_pages():
-    assert pages.closed('{"a": [1, {"b": "x') == '{"a": [1, {"b": "x"}]}' and pages.closed('{"a":') == '{"a":null}' and pages.closed(None) is None
+    assert pages.closed('{"a": [1, 2], "b') == '{"a": [1, 2]}' and pages.closed('{"a": "x", "b') == '{"a": "x"}' and pages.closed('{"a": {"c": "]"}, "d": "e\\"f') == '{"a": {"c": "]"}}'
+    assert pages.closed('{"a": tr') is None and pages.closed('{"a":') is None and pages.closed(None) is None and pages.closed("[1, 2") is None
     assert pages.lines_of("<p>a<script>x</script> b</p><nav>menu</nav>c<br>d") == ["a b", "c", "d"]
 
 

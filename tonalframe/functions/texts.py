@@ -8,11 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
+LYRIC_SIGNS = "[\\s\\p{Z}_,.?!，。？！、…—\"'“”‘’（）()]"
 SECOND_LEVEL = ["com", "co", "org", "net", "gov", "edu"]
 #: Section words in the order in which they are tried.
 ROLES = [
-    ("intro", "(?i)intro|前奏"), ("prechorus", "(?i)pre-?chorus|導歌|导歌"), ("chorus", "(?i)chorus|副歌|hook"), ("verse", "(?i)verse|主歌"),
-    ("bridge", "(?i)bridge|橋段|桥段"), ("interlude", "(?i)interlude|solo|間奏|间奏"), ("outro", "(?i)outro|ending|尾奏"),
+    ("section", "(?i)^\\s*$|example|示例"), ("intro", "(?i)intro|前奏"), ("prechorus", "(?i)pre[- ]?chorus|預副歌|预副歌|導歌|导歌"), ("chorus", "(?i)chorus|副歌"),
+    ("verse", "(?i)verse|主歌"), ("interlude", "(?i)interlude|間奏|间奏"), ("bridge", "(?i)bridge|橋段|桥段"), ("outro", "(?i)outro|ending|尾奏"),
 ]
 
 
@@ -35,11 +36,12 @@ def url_ok(url: Column, forbidden: list[str]) -> Column:
 
 
 def section_role(label: Column) -> Column:
-    """Role of a section's label; the first word that fits decides."""
+    """Role of a section's label; the first word that fits decides. Single letters A to E are upper-cased, other labels stay."""
     found = F.when(F.lit(False), "")
     for role, pattern in ROLES:
         found = found.when(label.rlike(pattern), role)
-    return found.otherwise("other")
+    own = F.btrim(label)
+    return found.when(own.rlike("(?i)^[a-e]$"), F.upper(own)).otherwise(own)
 
 
 def repeated(text: Column) -> Column:
@@ -59,9 +61,10 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def clean_lyrics(text: Column) -> Column:
-    """Text without punctuation and white space, in lower case."""
-    return F.lower(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", ""))
+    """Text without white space, underscores and a list of signs; letters keep their case."""
+    return F.regexp_replace(text, LYRIC_SIGNS, "")
 
 
 def file_name(text: Column) -> Column:
-    return F.regexp_replace(text, "[^A-Za-z0-9_-]+", "_")
+    """Letters and digits of any script, underscores and hyphens stay; a run of other characters becomes one underscore."""
+    return F.regexp_replace(F.regexp_replace(F.btrim(text), "[^\\p{L}\\p{N}_-]", "_"), "_+", "_")

@@ -6,6 +6,7 @@ Groups are songs, pages or recordings, whose length does not grow with the corpu
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate, groupby
 
 import numpy as np
 import pandas as pd
@@ -60,37 +61,29 @@ def smoothed(labels: list[str], trust: list[float]) -> list[str]:
     return out
 
 
-def absorbed(labels: list[str], least: int) -> list[str]:
-    """Runs shorter than `least` joined to the run before, the first one to the run after, until none is short."""
+def absorbed(labels: list[str], least: int, voiced: tuple[str, ...]) -> list[str]:
+    """Runs of a voiced label shorter than `least` take the label before if it is voiced, else the one after if it is; again until nothing changes."""
     out = list(labels)
     while True:
-        runs, i = [], 0
-        while i < len(out):
-            j = i
-            while j < len(out) and out[j] == out[i]:
-                j += 1
-            runs.append((i, j))
-            i = j
-        short = next(((k, a, b) for k, (a, b) in enumerate(runs) if b - a < least), None)
-        if short is None or len(runs) == 1:
+        before, at = list(out), 0
+        for label, run in groupby(before):
+            end = at + len(list(run))
+            near = [x for x in (*out[max(0, at - 1) : at], *before[end : end + 1]) if x in voiced]
+            if label in voiced and end - at < least and near:
+                out[at:end] = near[:1] * (end - at)
+            at = end
+        if out == before:
             return out
-        k, a, b = short
-        out[a:b] = [out[runs[k - 1][0] if k else runs[1][0]]] * (b - a)
 
 
 def increasing(beats: list[float], beats_in_bar: float, step: float = 0.5) -> list[float]:
-    """Strictly increasing beats: each at least `step` after the one before, pushed back from the bar's end where they run over."""
-    out = list(beats)
-    for i in range(1, len(out)):
-        out[i] = max(out[i], out[i - 1] + step) if out[i] <= out[i - 1] else out[i]
-    top = beats_in_bar + 1 - step
-    for i in range(len(out) - 1, -1, -1):
-        if out[i] > top:
-            out[i] = top
-        top = out[i] - step
-    if out and out[0] < 1:
-        out = [1 + beats_in_bar * i / len(out) for i in range(len(out))]
-    return out
+    """Strictly increasing beats of a bar: forward, what does not rise goes a step on, to the bar's last beat at most; backward, what does not
+    fall goes a step back, to the first beat at most; what still does not rise shares the rest of the bar."""
+    forward = list(accumulate(beats, lambda a, b: b if b > a else min(beats_in_bar, a + step)))
+    back = list(accumulate(reversed(forward), lambda b, a: a if a < b else max(1.0, b - step)))[::-1]
+    n = len(back)
+    rest = lambda a, i: round(a + max(0.1, (beats_in_bar - a) / (n - i + 1)), 2)
+    return [b for _, b in accumulate(enumerate(back), lambda x, y: y if y[1] > x[1] else (y[0], rest(x[1], y[0])))]
 
 
 def not_near(labels: list[str], beats: list[float], reach: float = 0.25) -> list[bool]:
@@ -106,9 +99,9 @@ def not_near(labels: list[str], beats: list[float], reach: float = 0.25) -> list
 
 def tiled_sections(spans: list[tuple[int, int, str]], total: int, short: int = 4) -> list[tuple[int, int, str]]:
     """Sections (first, last, role) that cover bars 0 to total - 1 once: overlaps are cut from the later one, short gaps join the one
-    before (at the start the one after), long gaps become sections of their own."""
+    before (at the start the one after), long gaps become sections of their own. Ends beyond the bars are drawn in."""
     out: list[list] = []
-    for first, last, role in sorted((max(0, a), min(total - 1, b), r) for a, b, r in spans if a < total and b >= 0):
+    for first, last, role in sorted((min(max(0, a), total - 1), min(max(0, b), total - 1), r) for a, b, r in spans):
         end = out[-1][1] if out else -1
         first = max(first, end + 1)
         if first > last:

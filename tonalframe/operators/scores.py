@@ -30,12 +30,10 @@ def combined(melody: Column, progression: Column, bass: Column) -> Column:
     return F.when(bass.isNotNull(), 0.4 * melody + 0.35 * progression + 0.25 * bass).otherwise(0.55 * melody + 0.45 * progression)
 
 
-def final_decision(valid: Column, prior: Column, top: Column) -> Column:
-    """What becomes of a chord that no evidence settles."""
-    return (
-        F.when(~valid & (top >= 0.75), "replace").when(~valid, "invalid").when((prior < 0.4) & (top >= 0.75), "replace")
-        .when((prior < 0.4) | (top - prior > 0.3), "ambiguous").otherwise("accept")
-    )
+def final_decision(valid: Column, prior: Column, top: Column, other: Column, reread: Column) -> Column:
+    """What becomes of a chord that no evidence settles: `other`, the best candidate differs from it; `reread`, a second reading does."""
+    better = other & (~valid | (prior < 0.4) & (top >= 0.75))
+    return F.when(better, "replace").when(reread, "ambiguous").when(~valid, "invalid").otherwise("accept")
 
 
 def evidence_decision(confidence: Column, consistent: Column, contradicted: Column, web_root: Column, web_bass: Column) -> Column:

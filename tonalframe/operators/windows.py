@@ -61,12 +61,12 @@ def bridged(rows: DataFrame, key: list[str], order: str, value: str, longest: in
     return found.withColumn(value, F.coalesce(value, F.when(fits, line))).drop("_a", "_b", "_end")
 
 
-def numbered_sections(runs: DataFrame, key: list[str], role: str, order: str, letters: dict[str, str]) -> DataFrame:
-    """Runs with section_id: the role's letter and its count so far; roles that have no letter keep their name at first and get a number after."""
+def numbered_sections(runs: DataFrame, key: list[str], role: str, order: str, letters: dict[str, str], plain: tuple[str, ...] = ("intro", "outro")) -> DataFrame:
+    """Runs with section_id: the role's letter, or its name, and its count so far; the first of a `plain` role has no number."""
     n = F.row_number().over(Window.partitionBy(*key, role).orderBy(order))
     pairs = F.create_map(*[F.lit(x) for kv in letters.items() for x in kv])
     letter = F.try_element_at(pairs, F.col(role))
-    name = F.when(letter.isNotNull(), F.concat(letter, n.cast("string"))).when(n == 1, F.col(role)).otherwise(F.concat(F.col(role), n.cast("string")))
+    name = F.when(letter.isNotNull(), F.concat(letter, n.cast("string"))).when((n == 1) & F.col(role).isin(*plain), F.col(role)).otherwise(F.concat(F.col(role), n.cast("string")))
     return runs.withColumn("section_id", name)
 
 
@@ -83,15 +83,16 @@ def first_of(rows: DataFrame, key: list[str], order: list) -> DataFrame:
 
 
 def centred_median(rows: DataFrame, key: list[str], order: list[str], value: str, reach: int, name: str) -> DataFrame:
-    """Median over `reach` rows to either side; at the ends the rows are mirrored, the end row with them."""
+    """Median over `reach` rows to either side; at the ends the rows are mirrored about the end row, which stands once. Keys with fewer rows than the window get the median of all of them."""
     w = Window.partitionBy(*key).orderBy(*order)
     found = rows.withColumn("_v", F.collect_list(value).over(w.rowsBetween(-reach, reach)))
     found = found.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
     low, i, n = F.greatest(F.col("_i") - reach, F.lit(0)), F.col("_i"), F.col("_n")
-    mirror = lambda j: F.when(j < 0, -j - 1).when(j >= n, 2 * n - 1 - j).otherwise(j)
+    mirror = lambda j: F.when(j < 0, -j).when(j >= n, 2 * n - 2 - j).otherwise(j)
     at = lambda j: F.get("_v", F.greatest(F.lit(0), F.least(mirror(j) - low, F.size("_v") - 1)).cast("int"))
     window = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda d: at(i + d))
-    return found.withColumn(name, F.array_sort(window)[reach]).drop("_v", "_i", "_n")
+    whole = F.median(value).over(Window.partitionBy(*key))
+    return found.withColumn("_m", whole).withColumn(name, F.when(n > 2 * reach, F.array_sort(window)[reach].cast("double")).otherwise(F.col("_m"))).drop("_v", "_i", "_n", "_m")
 
 
 def tiled(rows: DataFrame, key: list[str], at: str, length: str, total: float) -> DataFrame:

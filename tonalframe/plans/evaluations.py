@@ -11,15 +11,15 @@ from tonalframe.plans.registry import query
 
 
 @query(shims.with_shims("""
-SELECT chart % 100 AS song, count(*) AS bars, count(*) FILTER (raw = read) AS exact, round_even(count(*) FILTER (raw = read) / count(*), 6) AS micro, round_even(avg(share), 6) AS macro
-FROM (SELECT *, avg(CASE WHEN raw = read THEN 1.0 ELSE 0.0 END::DOUBLE) OVER (PARTITION BY chart) AS share FROM truth) GROUP BY ALL""", chords=shims.CHORDS, truth=TRUTH))
+SELECT song, sum(n)::BIGINT AS bars, sum(e)::BIGINT AS exact, round_even(sum(e) / sum(n), 6) AS micro, round_even(avg(e / n), 6) AS macro
+FROM (SELECT chart % 100 AS song, chart, count(*) AS n, count(*) FILTER (raw = read) AS e FROM truth GROUP BY ALL) GROUP BY song""", chords=shims.CHORDS, truth=TRUTH))
 def reading_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy by bar (micro) and the mean over charts, weighted by bars (macro)."""
+    """Exact readings: the share of all bars (micro), and the mean of the charts' shares, each chart counting once (macro)."""
     same = F.col("raw") == F.col("read")
     charts = truth(spark, sf_dir).groupBy("chart").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("e"))
     share = F.col("e") / F.col("n")
-    found = charts.groupBy((F.col("chart") % 100).alias("song")).agg(F.sum("n").alias("bars"), F.sum("e").alias("exact"), F.sum(share * F.col("n")).alias("m"))
-    return found.select("song", "bars", "exact", F.bround(F.col("exact") / F.col("bars"), 6).alias("micro"), F.bround(F.col("m") / F.col("bars"), 6).alias("macro"))
+    found = charts.groupBy((F.col("chart") % 100).alias("song")).agg(F.sum("n").alias("bars"), F.sum("e").alias("exact"), F.avg(share).alias("m"))
+    return found.select("song", "bars", "exact", F.bround(F.col("exact") / F.col("bars"), 6).alias("micro"), F.bround("m", 6).alias("macro"))
 
 
 @query(shims.with_shims("""

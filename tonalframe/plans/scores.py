@@ -63,17 +63,17 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chart", "bar", (score + F.when((F.col("a.quality") == F.col("b.quality")) & (score > 0), 0.1).otherwise(0.0)).alias("score"))
 
 
-CASES = "SELECT chart, bar, p % 10 <> 0 AS valid, (p % 100) / 100.0::DOUBLE AS prior, (s % 100) / 100.0::DOUBLE AS top, p % 3 = 0 AS a, s % 5 = 0 AS b, p % 2 = 0 AS wr, s % 3 = 0 AS wb FROM chords"
+CASES = "SELECT chart, bar, p % 10 <> 0 AS valid, (p % 100) / 100.0::DOUBLE AS prior, (s % 100) / 100.0::DOUBLE AS top, p % 3 = 0 AS a, s % 5 = 0 AS b, p % 2 = 0 AS wr, s % 3 = 0 AS wb, s % 5 <> 1 AS other, p % 6 = 1 AS reread FROM chords"
 
 
 @query(shims.with_shims("""
-SELECT chart, bar, CASE WHEN NOT valid AND top >= 0.75 THEN 'replace' WHEN NOT valid THEN 'invalid' WHEN prior < 0.4 AND top >= 0.75 THEN 'replace' WHEN prior < 0.4 OR top - prior > 0.3 THEN 'ambiguous' ELSE 'accept' END AS final,
+SELECT chart, bar, CASE WHEN other AND (NOT valid OR prior < 0.4 AND top >= 0.75) THEN 'replace' WHEN reread THEN 'ambiguous' WHEN NOT valid THEN 'invalid' ELSE 'accept' END AS final,
   CASE WHEN top >= 0.8 AND a AND NOT b THEN 'accept_reader' WHEN top >= 0.7 AND wr AND wb THEN 'accept_web' WHEN top >= 0.7 AND wr THEN 'accept_web_root' ELSE 'review' END AS rung FROM cases""", chords=shims.CHORDS, cases=CASES))
 def decision_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions on undecided readings."""
     p, s = F.col("p"), F.col("s")
     prior, top = (p % 100) / 100.0, (s % 100) / 100.0
-    final = S.final_decision(p % 10 != 0, prior, top)
+    final = S.final_decision(p % 10 != 0, prior, top, s % 5 != 1, p % 6 == 1)
     return shims.chords(spark, sf_dir).select("chart", "bar", final.alias("final"), S.evidence_decision(top, p % 3 == 0, s % 5 == 0, p % 2 == 0, s % 3 == 0).alias("rung"))
 
 

@@ -12,9 +12,9 @@ from tonalframe.sources.tables import table
 
 
 @query(r"""
-SELECT doc_id, line_no, lower(regexp_replace(line, '[^\p{L}\p{N}]+', '', 'g')) AS clean, length(line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)""")
+SELECT doc_id, line_no, regexp_replace(line, '[\s\p{Z}_,.?!，。？！、…—"''“”‘’（）()]', '', 'g') AS clean, length(line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)""")
 def lyric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines without punctuation and white space."""
+    """Lines without white space and punctuation."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.select("doc_id", "line_no", X.clean_lyrics(F.col("line")).alias("clean"), F.char_length("line").alias("n"))
 
@@ -53,14 +53,15 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("conv_id", "turn", F.bround(X.similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
 
 
-LABELS = "SELECT conv_id, turn, list_value('Intro', 'Verse 1', 'Pre-Chorus', 'Chorus', 'Bridge', '間奏', 'Ending', 'x')[1 + (conv_id + turn) % 8] AS label FROM conversations"
+NAMES = ["Intro", "Verse 1", "Pre-Chorus", "Chorus", "Bridge", "間奏", "Ending", "x", "预副歌", "pre chorus", "b", " ", "Example", "Hook"]
+NAMED = ["intro", "verse", "prechorus", "chorus", "bridge", "interlude", "outro", "x", "prechorus", "prechorus", "B", "section", "section", "Hook"]
+LABELS = f"SELECT conv_id, turn, {NAMES}[1 + (conv_id + turn) % 14] AS label FROM conversations"
 
 
-@query(f"SELECT conv_id, turn, label, list_value('intro', 'verse', 'prechorus', 'chorus', 'bridge', 'interlude', 'outro', 'other')[1 + (conv_id + turn) % 8] AS role FROM ({LABELS})")
+@query(f"SELECT conv_id, turn, label, {NAMED}[1 + (conv_id + turn) % 14] AS role FROM ({LABELS})")
 def section_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of section labels."""
-    labels = F.array(*map(F.lit, ["Intro", "Verse 1", "Pre-Chorus", "Chorus", "Bridge", "間奏", "Ending", "x"]))
-    label = F.element_at(labels, ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
+    label = F.element_at(F.array(*map(F.lit, NAMES)), ((F.col("conv_id") + F.col("turn")) % len(NAMES) + 1).cast("int"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", label.alias("label"), X.section_role(label).alias("role"))
 
 
@@ -74,10 +75,10 @@ def capo_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), capo.alias("capo"), F.nullif(F.regexp_extract(text, "[Kk]ey[: ]*([A-G][b#]?)", 1), F.lit("")).alias("key"))
 
 
-@query("SELECT p_partkey AS id, regexp_replace(p_name || ' / ' || p_type, '[^A-Za-z0-9_-]+', '_', 'g') AS name FROM part")
+@query(r"SELECT p_partkey AS id, regexp_replace(regexp_replace('夜曲 ' || p_name || ' / ' || p_type, '[^\p{L}\p{N}_-]', '_', 'g'), '_+', '_', 'g') AS name FROM part")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names without odd characters (X11)."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.file_name(F.concat("p_name", F.lit(" / "), "p_type")).alias("name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.file_name(F.concat(F.lit("夜曲 "), "p_name", F.lit(" / "), "p_type")).alias("name"))
 
 
 @query("""
@@ -92,7 +93,7 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cut-off JSON closed again by its open brackets."""
+    """Cut-off JSON trimmed back to its last whole value and closed by its open brackets, null where nothing can be read."""
     rows = table(spark, sf_dir, "events").select("event_id", F.expr("left(props, char_length(props) - event_id % 4)").alias("props"))
     return P.salvaged(rows, "props").withColumn("readable", F.try_parse_json("props").isNotNull())
 

@@ -33,20 +33,23 @@ def bass_hint_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chart", "bar", "hint", F.when(F.col("hint").isNotNull(), F.col("hint")).when(F.col("held").contains("~"), F.col("held")).alias("active"))
 
 
-MOTION = "CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL ELSE CASE ((({b} - {a}) % 12) + 12) % 12 WHEN 5 THEN 0.85 WHEN 7 THEN 0.85 WHEN 1 THEN 0.8 WHEN 2 THEN 0.8 WHEN 10 THEN 0.8 WHEN 11 THEN 0.8 WHEN 3 THEN 0.7 WHEN 4 THEN 0.7 WHEN 8 THEN 0.7 WHEN 9 THEN 0.7 ELSE 0.4 END::DOUBLE END"
+MOTION = "CASE (({b} - {a}) % 12 + 12) % 12 WHEN 5 THEN 0.85 WHEN 7 THEN 0.85 WHEN 1 THEN 0.8 WHEN 2 THEN 0.8 WHEN 10 THEN 0.8 WHEN 11 THEN 0.8 WHEN 3 THEN 0.7 WHEN 4 THEN 0.7 WHEN 8 THEN 0.7 WHEN 9 THEN 0.7 ELSE 0.4 END::DOUBLE"
 
 
 @query(shims.with_shims(f"""
-SELECT chart, bar, raw, prev, next, CASE WHEN a IS NULL AND b IS NULL THEN 0.7::DOUBLE ELSE round_even((coalesce(a, 0) + coalesce(b, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT), 3) END AS plausibility
-FROM (SELECT *, {MOTION.format(a="pr", b="r")} AS a, {MOTION.format(a="r", b="nr")} AS b FROM (
-  SELECT chart, bar, raw, r, lag(raw) OVER w AS prev, lead(raw) OVER w AS next, lag(r) OVER w AS pr, lead(r) OVER w AS nr
-  FROM (SELECT *, (list_value(0,2,4,5,7,9,11)[1 + p % 7] + CASE WHEN p % 11 = 0 THEN 11 ELSE 0 END) % 12 AS r FROM chords) WINDOW w AS (PARTITION BY chart ORDER BY bar)))""", chords=shims.CHORDS))
+SELECT chart, bar, raw, prev, next, CASE WHEN r0 IS NULL AND r1 IS NULL THEN 0.7::DOUBLE ELSE round_even((CASE WHEN r0 IS NULL THEN 0 ELSE coalesce(p.v, {MOTION.format(a="r0", b="r")}) END + CASE WHEN r1 IS NULL THEN 0 ELSE coalesce(q.v, {MOTION.format(a="r", b="r1")}) END)
+  / ((r0 IS NOT NULL)::INT + (r1 IS NOT NULL)::INT), 3) END AS plausibility
+FROM (SELECT *, lag(raw) OVER w AS prev, lead(raw) OVER w AS next, lag(r) OVER w AS r0, lead(r) OVER w AS r1, lag(name) OVER w AS n0, lead(name) OVER w AS n1 FROM (
+  SELECT chart, bar, raw, (list_value(0,2,4,5,7,9,11)[1 + p % 7] + CASE WHEN p % 11 = 0 THEN 11 ELSE 0 END) % 12 AS r,
+    (1 + p % 7) || (CASE WHEN p % 11 = 0 THEN 'b' ELSE '' END) || list_value('', 'm', '7', 'm7', 'M7', 'sus')[1 + s % 6] || (CASE WHEN p % 5 = 0 THEN '/' || (1 + s % 7) ELSE '' END) AS name FROM chords) WINDOW w AS (PARTITION BY chart ORDER BY bar)) z
+LEFT JOIN moves p ON p.x = n0 AND p.y = name LEFT JOIN moves q ON q.x = name AND q.y = n1""", chords=shims.CHORDS, moves=f"SELECT * FROM (VALUES {T.sql_rows((a, b, v) for (a, b), v in T.TRANSITIONS.items())}) t(x, y, v)"))
 def progression_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring chords across bars and how plausible the root's steps are."""
-    rows = shims.chords(spark, sf_dir).select("chart", "bar", "raw", T.chord_degree(F.col("raw"))["root"].alias("root"))
+    """Neighbouring chords across bars and how plausible the steps between them are, from the table of common steps or the root's motion."""
+    step = F.struct(T.simple_name(F.col("raw")).alias("name"), T.chord_degree(F.col("raw"))["root"].alias("root"))
+    rows = shims.chords(spark, sf_dir).select("chart", "bar", "raw", step.alias("x"))
     w = Window.partitionBy("chart").orderBy("bar")
-    rows = rows.withColumns({"prev": F.lag("raw").over(w), "next": F.lead("raw").over(w), "a": F.lag("root").over(w), "b": F.lead("root").over(w)})
-    steps = F.filter(F.array(F.when(F.col("a").isNotNull(), T.motion_score(F.col("a"), F.col("root"))), F.when(F.col("b").isNotNull(), T.motion_score(F.col("root"), F.col("b")))), lambda x: x.isNotNull())
+    rows = rows.withColumns({"prev": F.lag("raw").over(w), "next": F.lead("raw").over(w), "a": F.lag("x").over(w), "b": F.lead("x").over(w)})
+    steps = F.filter(F.array(F.when(F.col("a").isNotNull(), T.transition_score(F.col("a"), F.col("x"))), F.when(F.col("b").isNotNull(), T.transition_score(F.col("x"), F.col("b")))), lambda x: x.isNotNull())
     mean = F.bround(F.aggregate(steps, F.lit(0.0), lambda t, x: t + x) / F.size(steps), 3)
     return rows.select("chart", "bar", "raw", "prev", "next", F.when(F.size(steps) > 0, mean).otherwise(0.7).alias("plausibility"))
 
@@ -55,6 +58,7 @@ RUNS = """
   SELECT song, island, any_value(label) AS label, min(bar) AS first, max(bar) AS last, count(*) AS n FROM (
     SELECT *, sum(new) OVER (PARTITION BY song ORDER BY bar) AS island FROM (
       SELECT *, CASE WHEN lag(label) OVER (PARTITION BY song ORDER BY bar) IS NOT DISTINCT FROM label THEN 0 ELSE 1 END AS new FROM sections)) GROUP BY song, island"""
+ROLES = ["verse", "chorus", "intro", "prechorus", "bridge", "interlude", "outro"]
 SECTIONS = "SELECT chart AS song, bar, list_value('verse', 'chorus', 'intro')[1 + p % 3] AS label FROM chords"
 
 
@@ -70,11 +74,12 @@ def label_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(shims.with_shims("""
-SELECT song, first, last, label, CASE label WHEN 'verse' THEN 'A' || k WHEN 'chorus' THEN 'B' || k ELSE label || CASE WHEN k = 1 THEN '' ELSE CAST(k AS VARCHAR) END END AS section_id
-FROM (SELECT *, row_number() OVER (PARTITION BY song, label ORDER BY first) AS k FROM runs)""", chords=shims.CHORDS, sections=SECTIONS, runs=RUNS))
+SELECT song, first, last, label, CASE label WHEN 'verse' THEN 'A' || k WHEN 'chorus' THEN 'B' || k ELSE label || CASE WHEN k = 1 AND label IN ('intro', 'outro') THEN '' ELSE CAST(k AS VARCHAR) END END AS section_id
+FROM (SELECT *, row_number() OVER (PARTITION BY song, label ORDER BY first) AS k FROM runs)""", chords=shims.CHORDS, sections=f"SELECT chart AS song, bar, {str(ROLES)}[1 + p % 7] AS label FROM chords", runs=RUNS))
 def section_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections named by role and count."""
-    runs = W.islands(labelled(spark, sf_dir), "label", ["song"], "bar")
+    label = F.element_at(F.array(*map(F.lit, ROLES)), (F.col("p") % 7 + 1).cast("int"))
+    runs = W.islands(shims.chords(spark, sf_dir).select(F.col("chart").alias("song"), "bar", label.alias("label")), "label", ["song"], "bar")
     return W.numbered_sections(runs, ["song"], "label", "first", {"verse": "A", "chorus": "B"}).select("song", "first", "last", "label", "section_id")
 
 
@@ -114,13 +119,12 @@ def gap_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(shims.with_shims("""
-SELECT series, i, midi, list_sort(list_transform(range(-2, 3), lambda d: v[CAST((CASE WHEN i - 1 + d < 0 THEN -(i - 1 + d) - 1 WHEN i - 1 + d >= n THEN 2 * n - 1 - (i - 1 + d) ELSE i - 1 + d END) + 1 AS BIGINT)]))[3] AS med
+SELECT series, i, midi, CASE WHEN n < 5 THEN list_median(v) ELSE list_sort(list_transform(range(-2, 3), lambda d: v[CAST((CASE WHEN i - 1 + d < 0 THEN -(i - 1 + d) WHEN i - 1 + d >= n THEN 2 * n - 2 - (i - 1 + d) ELSE i - 1 + d END) + 1 AS BIGINT)]))[3] END::DOUBLE AS med
 FROM (SELECT series, i, midi, n, list(midi) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v
-  FROM (SELECT series, midi, row_number() OVER (PARTITION BY series ORDER BY start, id) AS i, count(*) OVER (PARTITION BY series) AS n FROM notes)) WHERE n >= 5""", notes=shims.NOTES))
+  FROM (SELECT series, midi, row_number() OVER (PARTITION BY series ORDER BY start, id) AS i, count(*) OVER (PARTITION BY series) AS n FROM notes))""", notes=shims.NOTES))
 def sliding_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median of five with mirrored ends."""
-    w = Window.partitionBy("series")
-    rows = shims.notes(spark, sf_dir).withColumn("i", F.row_number().over(w.orderBy("start", "id")).cast("long")).withColumn("size", F.count(F.lit(1)).over(w)).where("size >= 5")
+    rows = shims.notes(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("series").orderBy("start", "id")).cast("long"))
     return W.centred_median(rows.select("series", "i", "midi"), ["series"], ["i"], "midi", 2, "med")
 
 
@@ -222,16 +226,15 @@ def glitch_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def run_absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short runs joined to their neighbours until none is short."""
-    rows = shims.notes(spark, sf_dir).select("series", "id", "start", "kind")
-    return folds.fold(rows, "series", ["start", "id"], ["kind"], lambda x: folds.absorbed(x, 3), "steady", "string")
+    """Short runs of verse and chorus joined to the voiced label before or after them."""
+    return folds.fold(labelled(spark, sf_dir), "song", ["bar"], ["label"], lambda x: folds.absorbed(x, 3, ("verse", "chorus")), "steady", "string")
 
 
 @query()
 def beat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beats of a chart's chords made strictly increasing."""
     rows = shims.chords(spark, sf_dir).select("chart", "bar", "beat")
-    return folds.fold(rows, "chart", ["bar"], ["beat"], lambda x: folds.increasing(x, 8.0), "repaired", "double")
+    return folds.fold(rows, "chart", ["bar"], ["beat"], lambda x: folds.increasing(x, 4.0), "repaired", "double")
 
 
 @query()
@@ -269,12 +272,12 @@ def note_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(shims.with_shims("""
 SELECT a.conv_id, a.turn, min(b.turn) AS like_turn FROM lines a JOIN lines b ON a.conv_id = b.conv_id AND b.turn < a.turn
-WHERE len(a.cs) >= 4 AND len(list_intersect(a.cs, b.cs)) / greatest(least(len(a.cs), len(b.cs)), 1) >= 0.7 GROUP BY ALL""", lines="SELECT conv_id, turn, list_distinct(string_split(text, '')) AS cs FROM conversations"))
+WHERE length(a.text) >= 4 AND length(b.text) >= 4 AND (contains(a.text, b.text) OR contains(b.text, a.text) OR len(list_intersect(a.cs, b.cs)) / greatest(len(a.cs), len(b.cs)) >= 0.7) GROUP BY ALL""", lines="SELECT conv_id, turn, text, list_distinct(string_split(text, '')) AS cs FROM conversations"))
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first earlier line of a song with mostly the same characters."""
+    """The first earlier line of a song that holds this one or is held by it, or has mostly the same characters."""
     from tonalframe.sources.tables import table
 
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(F.split("text", "")).alias("cs"))
-    both = rows.join(rows.select("conv_id", F.col("turn").alias("other"), F.col("cs").alias("ds")), "conv_id").where("other < turn")
-    share = F.size(F.array_intersect("cs", "ds")) / F.greatest(F.least(F.size("cs"), F.size("ds")), F.lit(1))
-    return both.where((F.size("cs") >= 4) & (share >= 0.7)).groupBy("conv_id", "turn").agg(F.min("other").alias("like_turn"))
+    rows = table(spark, sf_dir, "conversations").where(F.char_length("text") >= 4).select("conv_id", "turn", "text", F.array_distinct(F.split("text", "")).alias("cs"))
+    both = rows.join(rows.select("conv_id", F.col("turn").alias("other"), F.col("text").alias("before"), F.col("cs").alias("ds")), "conv_id").where("other < turn")
+    share = F.size(F.array_intersect("cs", "ds")) / F.greatest(F.size("cs"), F.size("ds"))
+    return both.where(F.col("text").contains(F.col("before")) | F.col("before").contains(F.col("text")) | (share >= 0.7)).groupBy("conv_id", "turn").agg(F.min("other").alias("like_turn"))
