@@ -181,3 +181,33 @@ def test_numbers_in_long_runs_are_proposed():
     at = len(run) + 1
     assert (personal_data.CARD, at, at + 19) in found and len(found) < 30_000
     assert (personal_data.EMAIL, 0, 405) in personal_data.candidates("a" * 100 + "@" + "b" * 300 + ".com x")
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """Every later document aligned with every earlier one that shares a line: what is deleted, and how much of it is found."""
+    rng = random.Random(17)
+    pool = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta".split()) + str(rng.randrange(40)) for _ in range(rng.randint(2, 14))) for _ in range(30)]
+    docs = []
+    for i in range(60):
+        lines, at = [], 0
+        for _ in range(rng.randint(1, 5)):
+            if rng.random() < 0.6 and docs:  # a run of another document
+                other = docs[rng.randrange(len(docs))]
+                at = rng.randrange(len(other))
+                lines += other[at : at + rng.randint(1, 5)]
+            else:
+                lines += [rng.choice(pool) if rng.random() < 0.4 else f"own line {i} {rng.random()}" for _ in range(rng.randint(1, 3))]
+        docs.append(lines)
+    rows = [(i, "\n".join(x)) for i, x in enumerate(docs)]
+    got = {r.doc_id: set(r.deleted) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {}
+    for i, lines in enumerate(docs):
+        want[i] = set()
+        for other in docs[:i]:
+            shared = [([x for x, y in enumerate(lines) if y == line], [x for x, y in enumerate(other) if y == line]) for line in dict.fromkeys(lines) if line in other]
+            for block in line_dedup.blocks(line_dedup.patience(shared)):
+                if sum(len(lines[x].split()) for x in block) >= 10:
+                    want[i].update(block)
+    found, due = sum(len(got[i] & want[i]) for i in want), sum(map(len, want.values()))
+    extra = sum(len(got[i] - want[i]) for i in want)
+    assert due > 100 and found >= 0.97 * due and extra <= 0.01 * due, (found, due, extra)

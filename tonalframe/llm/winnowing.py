@@ -168,7 +168,7 @@ def batch_hits(texts: list[str], index: Index) -> tuple[np.ndarray, dict[int, li
     return np.diff(border), hits
 
 
-RESULT = "doc long, n_words long, n_hit long, items array<long>"
+RESULT = "doc long, n_words long, n_hit long, items array<string>"
 
 
 def _by_broadcast(given: DataFrame, index: Index) -> DataFrame:
@@ -214,7 +214,7 @@ def _by_shuffle(given: DataFrame, items: DataFrame, span: int) -> DataFrame:
     schema = "key string, length int, place int, hash long"
     theirs = items.select(F.col("item").cast("string").alias("key"), "text").mapInPandas(prints(True), schema)
     mine = keyed.select("key", "text").mapInPandas(prints(False), schema).select("key", "length", F.col("place").alias("p"), "hash")
-    met = mine.join(theirs.select(F.col("key").cast("long").alias("item"), "length", F.col("place").alias("q"), "hash"), ["length", "hash"])
+    met = mine.join(theirs.select(F.col("key").alias("item"), "length", F.col("place").alias("q"), "hash"), ["length", "hash"])
     # One row for each pair and diagonal: a run is found from any of its fingerprints.
     pairs = met.groupBy("key", "item").agg(F.collect_set(F.struct("length", "p", "q")).alias("hits"))
 
@@ -234,7 +234,7 @@ def _by_shuffle(given: DataFrame, items: DataFrame, span: int) -> DataFrame:
                     yield pd.DataFrame({"key": [key], "item": [item_id], "a": [[x for x, _ in out]], "z": [[x for _, x in out]]})
 
     joined = pairs.join(keyed.select("key", "text"), "key").join(items.select("item", F.col("text").alias("item_text")), "item")
-    found = joined.mapInPandas(runs, "key string, item long, a array<long>, z array<long>")
+    found = joined.mapInPandas(runs, "key string, item string, a array<long>, z array<long>")
     spans = found.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"), F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("z")).alias("z"))
 
     def summed(batches):
@@ -255,7 +255,7 @@ def _by_shuffle(given: DataFrame, items: DataFrame, span: int) -> DataFrame:
 def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
     """Items (item, text, n) with words, and how many words they have together."""
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
-    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
+    items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     words = F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
     items = items.withColumn("n", F.size(F.filter(words, lambda x: x != ""))).where("n > 0")
     return items, items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
