@@ -66,7 +66,7 @@ def bass_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def viterbi_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of frames by Viterbi, and by arg-max (B1, B2)."""
-    frames = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("series"), "vec_id", "embedding")
+    frames = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 200).alias("series"), "vec_id", "embedding")
     return S.decoded(frames, "series", "vec_id", "embedding", 49, 0.8)
 
 
@@ -130,7 +130,7 @@ def voice_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.by_song(rows, "chart", ["bar"], use, "chart long, bar long, voicing array<int>")
 
 
-CHROMA = "SELECT vec_id % 50 AS series, vec_id, unnest(range(12)) AS pc, abs(unnest(embedding[1:12])::DOUBLE) AS e FROM embeddings"
+CHROMA = "SELECT vec_id // 200 AS series, vec_id, unnest(range(12)) AS pc, abs(unnest(embedding[1:12])::DOUBLE) AS e FROM embeddings"
 
 
 @query(shims.with_shims("""
@@ -140,7 +140,7 @@ SELECT series, CASE WHEN e > 1.2 * mean AND e >= root_e AND wins >= 0.25 THEN pc
   FROM (SELECT series, pc, avg(e) AS e FROM chroma GROUP BY ALL) m JOIN (SELECT a.series, a.pc, avg(CASE WHEN a.e > b.e THEN 1.0 ELSE 0.0 END) AS wins FROM chroma a JOIN chroma b ON a.vec_id = b.vec_id AND b.pc = b.series % 12 GROUP BY ALL) w USING (series, pc)) WHERE k = 1""", chroma=CHROMA))
 def inverted_bass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chord tone that outweighs the root in the bass of a segment."""
-    frames = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("series"), F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double"))).alias("e"))
+    frames = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 200).alias("series"), F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double"))).alias("e"))
     frames = frames.withColumn("root", F.get("e", (F.col("series") % 12).cast("int")))
     sums = [F.avg(F.col("e")[i]) for i in range(12)]
     wins = [F.avg((F.col("e")[i] > F.col("root")).cast("double")) for i in range(12)]

@@ -58,21 +58,21 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("octaves", F.rint((60 - F.col("middle")) / 12.0).cast("long"))
 
 
-@query(shims.with_shims("SELECT chart % 50 AS page, CASE WHEN count(*) >= 3 THEN median((s % 40) / 40.0::DOUBLE) ELSE 0.5 END AS delta FROM chords WHERE bar = 0 GROUP BY ALL", chords=shims.CHORDS))
+@query(shims.with_shims("SELECT chart // 200 AS page, CASE WHEN count(*) >= 3 THEN median((s % 40) / 40.0::DOUBLE) ELSE 0.5 END AS delta FROM chords WHERE bar = 0 GROUP BY ALL", chords=shims.CHORDS))
 def page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typeset offset of a page by the median of its opening chords."""
-    rows = shims.chords(spark, sf_dir).where("bar = 0").groupBy((F.col("chart") % 50).alias("page"))
+    rows = shims.chords(spark, sf_dir).where("bar = 0").groupBy(F.floor(F.col("chart") / 200).alias("page"))
     return rows.agg(F.when(F.count(F.lit(1)) >= 3, F.median((F.col("s") % 40) / 40.0)).otherwise(0.5).alias("delta"))
 
 
 @query(shims.with_shims("""
-SELECT chart % 50 AS page, min(CASE WHEN bars < 2 THEN least(0.35, c) ELSE c END) AS confidence FROM (
+SELECT chart // 200 AS page, min(CASE WHEN bars < 2 THEN least(0.35, c) ELSE c END) AS confidence FROM (
   SELECT chart, max(p % 7) AS bars, round_even(greatest(0.15, least(1.0, 1 - 3.5::DOUBLE * stddev_pop((s % 10) / 10.0::DOUBLE))), 6) AS c FROM chords GROUP BY chart) GROUP BY ALL""", chords=shims.CHORDS))
 def layout_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence of a page: the least of its rows, each from the regularity of its bars."""
     rows = shims.chords(spark, sf_dir).groupBy("chart").agg(F.stddev_pop((F.col("s") % 10) / 10.0).alias("sd"), F.max(F.col("p") % 7).alias("bars"))
     c = F.bround(F.greatest(F.lit(0.15), F.least(F.lit(1.0), 1 - 3.5 * F.col("sd"))), 6)
-    return rows.withColumn("c", F.when(F.col("bars") < 2, F.least(F.lit(0.35), c)).otherwise(c)).groupBy((F.col("chart") % 50).alias("page")).agg(F.min("c").alias("confidence"))
+    return rows.withColumn("c", F.when(F.col("bars") < 2, F.least(F.lit(0.35), c)).otherwise(c)).groupBy(F.floor(F.col("chart") / 200).alias("page")).agg(F.min("c").alias("confidence"))
 
 
 @query(shims.with_shims("""
