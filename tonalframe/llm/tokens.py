@@ -43,7 +43,7 @@ class Encoder:
     a space, take the way of whole texts.
     """
 
-    def __init__(self, path: str, held: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str, held: int = 300_000, longest: int = 32):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,6 +76,7 @@ class Encoder:
     def by_units(self, texts: list[str]) -> list[bytes | None]:
         """The ids of each text, or None where single spaces do not show the borders."""
         out: list[bytes | None] = [None] * len(texts)
+        pa.default_memory_pool().release_unused()
         mine = [i for i, x in enumerate(texts) if x and not self.apart(x)]
         if not mine:
             return out
@@ -134,7 +135,7 @@ class Encoder:
     def pieces(self, parts) -> dict[str, bytes]:
         """Ids of pieces: a dictionary that has all of them."""
         known = self.ids
-        if len(known) > self.held:
+        if len(known) > self.held // 2:
             known.clear()
         new = {x for x in parts if x not in known}
         words = [x for x in new if self.is_word(x)]
@@ -153,7 +154,7 @@ def encoder(path: str) -> Encoder:
     return worker_cache(f"encoder_{path}", lambda: Encoder(path))
 
 
-def text_slices(texts: list[str], most_chars: int = 8_000_000):
+def text_slices(texts: list[str], most_chars: int = 3_000_000):
     """(start, end) of runs of texts with about `most_chars` characters at most; a longer text stands alone."""
     start = size = 0
     for i, x in enumerate(texts):
