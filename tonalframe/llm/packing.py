@@ -89,13 +89,13 @@ class SumOfSquares:
 
 
 def pack(
-    docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, held: int = 1_000_000
 ) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the ids themselves."""
     path = path or tokenizer_file()
 
     def rows(batches):
-        coder, out, made = encoder(path), [], [TaskContext.get().partitionId() << 32]
+        coder, out, made = encoder(path, held), [], [TaskContext.get().partitionId() << 32]
 
         def close(window):
             at = 0
@@ -115,7 +115,7 @@ def pack(
         for b in batches:
             docs, texts = b["doc"], b["text"].tolist()
             docs = [None if pd.isna(x) else int(x) for x in docs]
-            for i, j in text_slices(texts):
+            for i, j in text_slices(texts, 8 * held):  # `held` pieces are cached, so it bounds a task's memory
                 for doc, ids in zip(docs[i:j], coder.encode(texts[i:j]), strict=True):
                     packer.add(doc, np.append(np.frombuffer(ids, coder.dtype).astype("<u4"), np.uint32(end_id)))
                 if out:

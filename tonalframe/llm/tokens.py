@@ -43,7 +43,7 @@ class Encoder:
     a space, take the way of whole texts.
     """
 
-    def __init__(self, path: str, held: int = 300_000, longest: int = 32):
+    def __init__(self, path: str, held: int = 1_000_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -150,11 +150,11 @@ class Encoder:
         return known | once if once else known
 
 
-def encoder(path: str) -> Encoder:
-    return worker_cache(f"encoder_{path}", lambda: Encoder(path))
+def encoder(path: str, held: int = 1_000_000) -> Encoder:
+    return worker_cache(f"encoder_{path}_{held}", lambda: Encoder(path, held))
 
 
-def text_slices(texts: list[str], most_chars: int = 3_000_000):
+def text_slices(texts: list[str], most_chars: int = 8_000_000):
     """(start, end) of runs of texts with about `most_chars` characters at most; a longer text stands alone."""
     start = size = 0
     for i, x in enumerate(texts):
