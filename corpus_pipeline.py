@@ -35,7 +35,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    return pack(docs)
+    return pack(docs, held=300_000)  # a smaller cache, as workers also hold what earlier stages left
 
 
 STAGES = [
