@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "consensus_vote"
-MODULES = ["theory", "readings", "votes", "windows", "joins", "statistics", "catalog", "texts", "melodies", "scores", "sequences", "checks", "evaluations", "streams"]
+MODULES = ["theory", "readings", "votes", "windows", "joins", "statistics", "catalog", "texts", "melodies", "scores", "sequences", "checks", "measures", "evaluations", "streams"]
 
 _found: dict[str, tuple] = {}
 
