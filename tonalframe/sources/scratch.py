@@ -38,3 +38,11 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     executor read the table instead of computing it anew."""
     path = write_table(df, name, compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    if not path.startswith(f"{shared_dir(spark)}/tonalframe/"):
+        raise ValueError(f"{path} is not a table of the shared folder")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
