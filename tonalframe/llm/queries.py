@@ -12,8 +12,11 @@ from tonalframe.llm.line_dedup import line_dedup
 from tonalframe.llm.lm_scoring import lm_scores
 from tonalframe.llm.packing import pack
 from tonalframe.llm.personal_data import personal_data
+from tonalframe.llm.residues import hard_negatives
+from tonalframe.llm.shallot import shallot_clusters
 from tonalframe.llm.simhash import simhash_groups
 from tonalframe.llm.token_store import round_trip
+from tonalframe.llm.toxicity import toxicity
 from tonalframe.llm.winnowing import contamination
 from tonalframe.sources.tables import table
 
@@ -98,10 +101,68 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """Plain k-means: every vector meets every centroid in each of the rounds."""
+    parts = ["""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INT) AS c, e FROM (SELECT e, sha256('3:' || vec_id) AS h FROM v ORDER BY h LIMIT """ + str(k) + """)
+)"""]
+    near = """, a{r} AS MATERIALIZED (
+  SELECT vec_id, v.e, c, CAST(list_sum(list_transform(list_zip(v.e, k.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT) AS d
+  FROM v, c{r} k QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1
+)"""
+    mean = """, s{r} AS (
+  SELECT c, p, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(range(1, 65)) AS p, unnest(e)::BIGINT AS x FROM a{r}) GROUP BY c, p
+), m{r} AS (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY p) AS e FROM s{r} GROUP BY c
+), c{n} AS MATERIALIZED (SELECT c, coalesce(m{r}.e, c{r}.e) AS e FROM c{r} LEFT JOIN m{r} USING (c))"""
+    for r in range(rounds):
+        parts += [near.format(r=r), mean.format(r=r, n=r + 1)]
+    parts += [near.format(r=rounds), f"""
+SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(k.e, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} k USING (c)
+"""]
+    return "".join(parts)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, other, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, p.other AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS INT) AS rank,
+       s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5
+"""
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     found = [op1_exact_dedup, op2_line_dedup, op3_lm_scoring, op4_decontamination, op5_packing, op6_simhash, op7_html_text, op8_token_store, op9_personal_data, op10_language_id]
+    found += [op11_centroids, op12_hard_negatives, op13_toxicity]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": OP1_SQL, "op4_decontamination": OP4_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_decontamination": OP4_SQL, "op11_centroids": _op11_sql(), "op12_hard_negatives": OP12_SQL}
