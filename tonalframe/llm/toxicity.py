@@ -18,6 +18,7 @@ without labels); an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -38,13 +39,21 @@ def words_of(text: str | None) -> list[str]:
 class Bags:
     """The n-grams of different words: of word i, `grams[start[i] : start[i + 1]]`, places in a table of `buckets`."""
 
-    def __init__(self, words: list[str], buckets: int):
+    def __init__(self, words: list[str], buckets: int, part: int = 8192):
+        grams, sizes = [], [np.zeros(1, np.int64)]
+        for i in range(0, len(words), part):
+            g, n = self.of(words[i : i + part], buckets)
+            grams.append(g)
+            sizes.append(n)
+        self.grams, self.start = np.concatenate(grams) if grams else np.zeros(0, np.int32), np.cumsum(np.concatenate(sizes))
+
+    @staticmethod
+    def of(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
         bare = [f"<{w.strip(MARKS) or w}>" for w in words]
         size = np.fromiter(map(len, bare), np.int64, len(bare))
-        # Surrogates cannot be encoded otherwise; each character is one number.
+        # Each character is one number; surrogates cannot be encoded otherwise.
         flat = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        stop = np.cumsum(size)
-        word, left = np.repeat(np.arange(len(bare)), size), np.repeat(stop, size) - np.arange(size.sum())
+        word, left = np.repeat(np.arange(len(bare)), size), np.repeat(np.cumsum(size), size) - np.arange(size.sum())
         of, codes = [], []
         h = np.zeros(len(flat), np.uint64)
         for n in range(1, max(SIZES) + 1):
@@ -53,37 +62,40 @@ class Bags:
             if n in SIZES:
                 inside = left[: len(h)] >= n
                 mixed = h[inside] ^ (h[inside] >> np.uint64(29))
-                codes.append((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(buckets))
+                codes.append(((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32))
                 of.append(word[: len(h)][inside])
-        of, codes = np.concatenate(of), np.concatenate(codes).astype(np.int64)
-        self.grams = codes[np.argsort(of, kind="stable")]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(bare)))])
+        of = np.concatenate(of)
+        return np.concatenate(codes)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(bare))
 
-    def mean(self, values: np.ndarray) -> np.ndarray:
-        """The mean of `values` (a number for each place in the table) over the n-grams of each word."""
-        sums = np.concatenate([[0], np.cumsum(values[self.grams])])
-        return (sums[self.start[1:]] - sums[self.start[:-1]]) / np.maximum(np.diff(self.start), 1)
+    def mean(self, values: np.ndarray, part: int = 16_384) -> np.ndarray:
+        """The mean of `values` (a number for each place in the table) over the n-grams of each word; every word has some, as its ends are marked."""
+        values, out = values.astype(np.float32), np.zeros(len(self.start) - 1, np.float32)
+        for i in range(0, len(out), part):
+            ends = self.start[i : i + part + 1]
+            got = values[self.grams[ends[0] : ends[-1]]]
+            out[i : i + part] = np.add.reduceat(got, ends[:-1] - ends[0]) / np.diff(ends)
+        return out
 
 
 class Texts:
     """Texts as numbers of their different words, one after the other, and the windows over them."""
 
-    def __init__(self, texts: list[list[str]], window: int, step: int):
+    def __init__(self, texts: Iterable[str], window: int, step: int):
         number: dict[str, int] = {}
-        self.flat = np.array([number.setdefault(w, len(number)) for t in texts for w in t], np.int64)
-        self.words = list(number)
-        size = np.array([len(t) for t in texts], np.int64)
+        codes = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+        self.words, size = list(number), np.array([len(c) for c in codes], np.int64)
+        self.flat = np.concatenate([np.zeros(0, np.int32), *codes])
         n = np.maximum(1, -(-(size - window) // step) + 1)  # the last window ends with the text
         self.first = np.concatenate([[0], np.cumsum(n)])
-        own = np.repeat(np.arange(len(texts)), n)
+        own = np.repeat(np.arange(len(size), dtype=np.int32), n)
         k = np.arange(self.first[-1]) - self.first[own]
         offset = (np.cumsum(size) - size)[own]
-        self.begin = offset + np.maximum(0, np.minimum(k * step, size[own] - window))
-        self.end = np.minimum(self.begin + window, offset + size[own])
+        self.begin = (offset + np.maximum(0, np.minimum(k * step, size[own] - window))).astype(np.int32)
+        self.end = np.minimum(self.begin + window, offset + size[own]).astype(np.int32)
 
     def windows(self, score: np.ndarray) -> np.ndarray:
         """The average of the words' scores in each window."""
-        sums = np.concatenate([[0], np.cumsum(score[self.flat])])
+        sums = np.concatenate([[0], np.cumsum(score[self.flat], dtype=np.float64)])
         return (sums[self.end] - sums[self.begin]) / np.maximum(self.end - self.begin, 1)
 
     def strongest(self, value: np.ndarray) -> np.ndarray:
@@ -113,21 +125,18 @@ class Model:
         self.w = self.random.normal(0, 0.5, (2, dim))
         self.b = np.zeros(2)
 
-    def made(self, texts: list[list[str]]) -> Texts:
-        return Texts(texts, self.window, self.step)
-
-    def chance(self, texts: list[list[str]]) -> np.ndarray:
+    def chance(self, texts: list[str]) -> np.ndarray:
         """The softmax's second class in each text's strongest window. Averages and softmax are linear up to the last step, so every n-gram counts as one number."""
         if not texts:
             return np.zeros(0)
-        t = self.made(texts)
+        t = Texts(texts, self.window, self.step)
         value = t.windows(Bags(t.words, self.buckets).mean(self.e @ (self.w[1] - self.w[0]))) if t.words else np.zeros(t.first[-1])
         return 1 / (1 + np.exp(-(np.maximum.reduceat(value, t.first[:-1]) + self.b[1] - self.b[0])))
 
-    def fit(self, texts: list[list[str]], y: np.ndarray, epochs: int = 15, batch: int = 256, rate: float = 0.3, keep: float = 0.35, decay: float = 1e-4) -> Model:
+    def fit(self, texts: Iterable[str], y: np.ndarray, epochs: int = 15, batch: int = 256, rate: float = 0.3, keep: float = 0.35, decay: float = 1e-4) -> Model:
         """In each epoch, every text is learnt from by its strongest window and by one at random if it is not toxic. Classes weigh alike.
         Of the n-grams in windows of toxic texts only a share `keep` is there, and counts no more than before, so that a part of a word comes to suffice."""
-        t = self.made(texts)
+        t = Texts(texts, self.window, self.step)
         bags = Bags(t.words, self.buckets) if t.words else None
         if bags is None:
             return self
@@ -178,13 +187,13 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_
     return [r for rows in classes for r in rows]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model | float:
     """The model, or the share of toxic documents where there is one class only."""
     rows = labelled(docs, labels, sample, id_col, text_col, label_col)
     y = np.array([r["toxic"] for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
         return float(y.max(initial=0))
-    return Model().fit([words_of(r["text"]) for r in rows], y, **options)
+    return Model().fit((r["text"] for r in rows), y, **options)
 
 
 def toxicity(
@@ -198,7 +207,7 @@ def toxicity(
         for b in batches:
             texts, score = b["text"].tolist(), np.zeros(len(b))
             for i, j in text_slices(texts, slice_chars):
-                score[i:j] = model.chance([words_of(t) for t in texts[i:j]]) if isinstance(model, Model) else model
+                score[i:j] = model.chance(texts[i:j]) if isinstance(model, Model) else model
             yield pd.DataFrame({"id": b["id"].astype("Int64"), "held_out": b["held_out"], "score": score, "predicted": (score >= 0.5).astype(np.int32)})
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), (fold(id_col, folds) == held).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
