@@ -7,10 +7,10 @@ window that decides each text. In training, n-grams of toxic windows are left ou
 never seen shares some n-grams with the word it is made of.
 
 Labels: a document is toxic if any of its labels says so. The classifier is fitted on at most `sample` labelled documents outside the held-out fold,
-up to half of them toxic, picked by a hash of identifier and text; their whole texts are what reaches the driver. Scoring covers every whole text, in
+up to half of each class, picked by a hash of identifier and text; their whole texts are what reaches the driver. Scoring covers every whole text, in
 tasks, and looks each different word of a batch up once.
 
-Defined results: a null or empty text is one window without words, so its score is the softmax's bias alone; null labels teach nothing, nor do rows with a
+Defined results: a text without words (null, empty, white space) has no window; its score is the share of toxic documents among all that are labelled and not held out; null labels teach nothing, nor do rows with a
 null identifier; texts with equal words get equal scores; repeated rows count once in training; with labels of one class only, or none, every score is that class's share (0
 without labels); an empty table gives no rows; other columns are ignored.
 """
@@ -124,6 +124,7 @@ class Model:
         self.e = self.random.normal(0, 0.1, (buckets, dim))
         self.w = self.random.normal(0, 0.5, (2, dim))
         self.b = np.zeros(2)
+        self.share = 0.0  # the score of a text without words
 
     def chance(self, texts: list[str]) -> np.ndarray:
         """The softmax's second class in each text's strongest window. Averages and softmax are linear up to the last step, so every n-gram counts as one number."""
@@ -131,9 +132,10 @@ class Model:
             return np.zeros(0)
         t = Texts(texts, self.window, self.step)
         value = t.windows(Bags(t.words, self.buckets).mean(self.e @ (self.w[1] - self.w[0]))) if t.words else np.zeros(t.first[-1])
-        return 1 / (1 + np.exp(-(np.maximum.reduceat(value, t.first[:-1]) + self.b[1] - self.b[0])))
+        found = 1 / (1 + np.exp(-(np.maximum.reduceat(value, t.first[:-1]) + self.b[1] - self.b[0])))
+        return np.where(t.end[t.first[:-1]] > t.begin[t.first[:-1]], found, self.share)
 
-    def fit(self, texts: Iterable[str], y: np.ndarray, epochs: int = 15, batch: int = 256, rate: float = 0.3, keep: float = 0.35, decay: float = 1e-4) -> Model:
+    def fit(self, texts: Iterable[str], y: np.ndarray, epochs: int = 15, batch: int = 256, rate: float = 0.3, keep: float = 0.3, decay: float = 1e-4) -> Model:
         """In each epoch, every text is learnt from by its strongest window and by one at random if it is not toxic. Classes weigh alike.
         Of the n-grams in windows of toxic texts only a share `keep` is there, and counts no more than before, so that a part of a word comes to suffice."""
         t = Texts(texts, self.window, self.step)
@@ -174,26 +176,29 @@ class Model:
             value[where] -= rate * g / np.sqrt(square[where])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str) -> list:
-    """At most `sample` rows (toxic, text), up to half of them toxic; the rest makes up for what one class lacks."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str) -> tuple[list, float]:
+    """At most `sample` rows (toxic, text), up to half of each class, and the share of toxic documents among all labelled ones."""
     given = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = given.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("toxic"))
+    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     classes = []
     for c in (1, 0):  # bounded, so broadcast to the texts
         ids = F.broadcast(known.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(sample))
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         rows = texts.join(ids, "id").groupBy("id", "text").agg(F.max("toxic").alias("toxic"))
         classes.append(rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text").limit(sample // 2).select("toxic", "text").collect())
-    return [r for rows in classes for r in rows]
+    return [r for rows in classes for r in rows], n.get(1, 0) / max(sum(n.values()), 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model | float:
     """The model, or the share of toxic documents where there is one class only."""
-    rows = labelled(docs, labels, sample, id_col, text_col, label_col)
+    rows, share = labelled(docs, labels, sample, id_col, text_col, label_col)
     y = np.array([r["toxic"] for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
         return float(y.max(initial=0))
-    return Model().fit((r["text"] for r in rows), y, **options)
+    model = Model().fit((r["text"] for r in rows), y, **options)
+    model.share = share
+    return model
 
 
 def toxicity(
