@@ -6,7 +6,7 @@ back to every shard's list, however many words there are, so that documents beco
 without another look at a text.
 
 The most frequent words enter the model's class-factored softmax; every rarer word belongs to one of some groups by its ending, each a
-class of its own, within which a word has the chance (count + 1) / (sum of these + 1), the 1 being left for words never seen. So the
+class of its own (as does every word of more than 64 bytes), within which a word has the chance (count + 1) / (sum of these + 1), the 1 being left for words never seen. So the
 model's probabilities, like the base's, add up to one over counted words and one unknown word.
 
 Training: truncated backpropagation in numpy over all training documents, each once. It goes in turns over growing shares of them; in a
@@ -85,14 +85,18 @@ def _shards(given: DataFrame, shard_tokens: int) -> DataFrame:
 
 
 def _known(counts: DataFrame, known: int) -> DataFrame:
-    """The most frequent words, bounded in number and length whatever the corpus: those above the least count (on a scale of some thousand steps) that so many words reach."""
+    """The `known` most frequent words of up to 64 bytes, ties by word: whole steps on a scale of counts, and the first words of the step that no longer fits."""
     short = counts.where(F.length("word") <= 64).withColumn("step", F.floor(F.log2("c") * 64).cast("int"))
-    least, n = 1 << 30, 0
+    least, left, part = 1 << 30, known, None
     for r in short.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
-        if (n := n + r["n"]) > known:
+        if r["n"] > left:
+            part = r["step"]
             break
-        least = r["step"]
-    return short.where(F.col("step") >= least).drop("step")
+        least, left = r["step"], left - r["n"]
+    whole = short.where(F.col("step") >= least)
+    if part is not None and left:
+        whole = whole.union(short.where(F.col("step") == part).orderBy(F.desc("c"), "word").limit(left))
+    return whole.drop("step")
 
 
 def _encoded(shards: DataFrame, found: DataFrame, norm: float, ends: int, end: int, first_group: int, sums: np.ndarray) -> DataFrame:
