@@ -7,10 +7,10 @@ words or more is a match. Items shorter than `span` are fingerprinted by the has
 documents at every place with as many words.
 
 The benchmark goes to the tasks as a broadcast only after its size was measured (`broadcast_words`); beyond that,
-fingerprints are joined and pairs extended by shuffles. Both ways give the same rows.
+fingerprints of different texts are joined, and each pair of a text and an item is compared once. Both ways give the same rows.
 
 Defined results: null text has no words; items without words or without identifier match nothing; items that repeat an
-identifier count once; documents that repeat an identifier are separate rows; empty tables give no rows or
+identifier count once; documents that repeat an identifier are separate rows, of which `drop_contaminated` judges each by its text; empty tables give no rows or
 no hits; other columns are ignored.
 """
 
@@ -21,10 +21,12 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonalframe.llm.common import free_name
 from tonalframe.llm.tokens import text_slices
+from tonalframe.sources.scratch import written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased UTF-8: digits, letters a-z, all beyond ASCII
 K = 5
@@ -191,8 +193,25 @@ def _slices(texts: list[str], most: int = 1_000_000):
     return text_slices(texts, most)
 
 
-def _by_shuffle(given: DataFrame, items: DataFrame, span: int) -> DataFrame:
-    """For a benchmark of any size: fingerprints meet in a join, pairs are extended apart from each other."""
+def shared_runs(doc: list[bytes], item: list[bytes], span: int) -> list[tuple[int, int]]:
+    """Start and end in `doc` of what windows of the item cover: `span` words, or the whole of a shorter item. Linear in both."""
+    n = min(span, len(item))
+    windows = {b" ".join(item[q : q + n]) for q in range(len(item) - n + 1)}
+    out: list[tuple[int, int]] = []
+    for p in range(len(doc) - n + 1):
+        if b" ".join(doc[p : p + n]) in windows:
+            if out and p <= out[-1][1]:
+                out[-1] = (out[-1][0], p + n)
+            else:
+                out.append((p, p + n))
+    return out
+
+
+def _runs(given: DataFrame, items: DataFrame, span: int) -> DataFrame:
+    """For a benchmark of any size: key (see `_text_key`), items and what these cover of the text, for each different text that has a hit.
+
+    Fingerprints meet in a join, one row for each text, item and hash, however often the hash occurs in either; a hash of many texts and items is a
+    skewed key, which adaptive execution splits. Each pair of a text and an item is then looked at once, in time linear in both."""
     lengths = items.select(F.least(F.col("n"), F.lit(span)).alias("n")).where(f"n > 0 and n < {span}").distinct()
     short = {r["n"] for r in lengths.collect()}  # under `span` numbers
 
@@ -202,41 +221,37 @@ def _by_shuffle(given: DataFrame, items: DataFrame, span: int) -> DataFrame:
                 for key, text in zip(b["key"], b["text"], strict=True):
                     words = words_of(text)
                     sizes = short if not own else {len(words)} & short
-                    got = list(fingerprints(hashed(words), span, sizes))
+                    got = {(length, h) for length, _, h in fingerprints(hashed(words), span, sizes)}
                     if got:
-                        length, place, h = zip(*got, strict=True)
-                        yield pd.DataFrame({"key": key, "length": length, "place": place, "hash": np.array(h, np.uint64).view(np.int64)})
+                        length, h = zip(*got, strict=True)
+                        yield pd.DataFrame({"key": key, "length": length, "hash": np.array(h, np.uint64).view(np.int64)})
 
         return rows
 
-    # Made of the row's content: several branches of the plan work it out, and rows that repeat it have equal results.
-    keyed = given.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc").cast("string"), F.lit("")), F.hex(F.xxhash64("text"))))
-    schema = "key string, length int, place int, hash long"
-    theirs = items.select(F.col("item").cast("string").alias("key"), "text").mapInPandas(prints(True), schema)
-    mine = keyed.select("key", "text").mapInPandas(prints(False), schema).select("key", "length", F.col("place").alias("p"), "hash")
-    met = mine.join(theirs.select(F.col("key").alias("item"), "length", F.col("place").alias("q"), "hash"), ["length", "hash"])
-    # One row for each pair and diagonal: a run is found from any of its fingerprints.
-    pairs = met.groupBy("key", "item").agg(F.collect_set(F.struct("length", "p", "q")).alias("hits"))
+    texts = given.select(_text_key("text").alias("key"), "text")
+    schema = "key string, length int, hash long"
+    theirs = items.select(F.col("item").cast("string").alias("key"), "text").mapInPandas(prints(True), schema).withColumnRenamed("key", "item")
+    mine = texts.mapInPandas(prints(False), schema).distinct()  # a text that many documents have meets once
+    pairs = mine.join(theirs, ["length", "hash"]).select("key", "item").distinct()
+    met = written(pairs, "fingerprint-pairs")
+    once = texts.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
 
     def runs(batches):
         for b in batches:
-            for key, item_id, text, item_text, hits in zip(b["key"], b["item"], b["text"], b["item_text"], b["hits"], strict=True):
-                doc, item = words_of(text), words_of(item_text)
-                out, done = [], {}
-                for h in sorted(hits, key=lambda h: (h["p"], h["q"], h["length"])):
-                    if h["p"] < done.get(h["p"] - h["q"], 0):
-                        continue
-                    a, z = extend(doc, item, h["p"], h["q"], h["length"])
-                    done[h["p"] - h["q"]] = z
-                    if z - a >= min(span, len(item)):
-                        out.append((a, z))
-                if out:
+            for key, item_id, text, item_text in zip(b["key"], b["item"], b["text"], b["item_text"], strict=True):
+                if out := shared_runs(words_of(text), words_of(item_text), span):
                     yield pd.DataFrame({"key": [key], "item": [item_id], "a": [[x for x, _ in out]], "z": [[x for _, x in out]]})
 
-    joined = pairs.join(keyed.select("key", "text"), "key").join(items.select("item", F.col("text").alias("item_text")), "item")
+    joined = met.join(once, "key").join(items.select("item", F.col("text").alias("item_text")), "item")
     found = joined.mapInPandas(runs, "key string, item string, a array<long>, z array<long>")
-    spans = found.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"), F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("z")).alias("z"))
+    return found.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"), F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("z")).alias("z"))
 
+
+def _text_key(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+
+def _by_shuffle(given: DataFrame, items: DataFrame, span: int) -> DataFrame:
     def summed(batches):
         for b in batches:
             n_words, n_hit = [], []
@@ -249,7 +264,8 @@ def _by_shuffle(given: DataFrame, items: DataFrame, span: int) -> DataFrame:
                 n_hit.append(int((np.cumsum(hit) > 0).sum()))
             yield pd.DataFrame({"doc": b["doc"].astype("Int64"), "n_words": n_words, "n_hit": n_hit, "items": [[] if x is None else list(x) for x in b["items"]]})
 
-    return keyed.join(spans, "key", "left").mapInPandas(summed, RESULT)
+    keyed = given.withColumn("key", _text_key("text"))
+    return keyed.join(_runs(given, items, span), "key", "left").mapInPandas(summed, RESULT)
 
 
 def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
@@ -284,11 +300,11 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, span: int = 10, broadcast_words: int = 2_000_000,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """`docs` without the rows that share a run of words with a benchmark item; nothing is shuffled for a benchmark that can be broadcast."""
+    """`docs` without the rows whose text shares a run of words with a benchmark item, whatever their identifiers; nothing is shuffled for a benchmark that can be broadcast."""
     items, total = _items(benchmark, item_col, item_text_col)
     if total > broadcast_words:
-        found = contamination(docs, benchmark, span, broadcast_words, id_col, text_col, item_col, item_text_col)
-        return docs.join(found.where("contaminated").select(id_col).distinct(), id_col, "left_anti")
+        gone = _runs(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), items, span).select(F.col("key").alias(name := free_name(docs, "_text_key")))
+        return docs.join(gone, _text_key(text_col) == F.col(name), "left_anti")
     index = _index(items, span)
 
     def rows(batches):
