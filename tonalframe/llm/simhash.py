@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonalframe.llm.common import ascii_lower
+from tonalframe.llm.common import ascii_lower, free_name
 from tonalframe.llm.components import connected_components
 from tonalframe.sources.scratch import written
 
@@ -28,21 +28,25 @@ LANES = 0x0000000100000001
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc and fp (long) for each row."""
+    """doc, fp (long) and text_hash for each row."""
     text = F.btrim(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(" \t\n\x0b\f\r"))
-    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.split(text, "[ \\t-\\r]+").alias("w"))
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), text_hash(text_col).alias("text_hash"), F.split(text, "[ \\t-\\r]+").alias("w"))
     start = F.sequence(F.lit(1), F.greatest(F.size("w") - (shingle - 1), F.lit(1)))
     hashes = F.transform(start, lambda i: F.xxhash64(F.array_join(F.slice("w", i, shingle), " ")))
     hashes = F.when(F.col("w")[0] == "", F.array(F.lit(0).cast("long"))).otherwise(hashes)
-    each = words.select("row", "doc", F.explode(hashes).alias("h"))
+    each = words.select("row", "doc", "text_hash", F.explode(hashes).alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(LANES))).alias(f"s{i}") for i in range(32)]
-    by_doc = each.groupBy("row", "doc").agg(F.count(F.lit(1)).alias("n"), *sums)
+    by_doc = each.groupBy("row", "doc", "text_hash").agg(F.count(F.lit(1)).alias("n"), *sums)
     fp = F.lit(0).cast("long")
     for i in range(32):
         for bit, count in ((i, F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF))), (i + 32, F.shiftrightunsigned(f"s{i}", 32))):
             one = 1 << bit if bit < 63 else -(1 << 63)
             fp = fp.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit(one).cast("long")).otherwise(F.lit(0).cast("long")))
-    return by_doc.select("doc", fp.alias("fp"))
+    return by_doc.select("doc", fp.alias("fp"), "text_hash")
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def quarters(fp: np.ndarray) -> np.ndarray:
@@ -146,21 +150,29 @@ def links(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
     return pairs.join(first, "t").join(other, "u").mapInPandas(compare, "a long, b long")
 
 
-def simhash_groups(
-    docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """id, fingerprint (hex) and component_id for each row of `docs`."""
+def _grouped(docs: DataFrame, radius: int, shingle: int, tile: int, id_col: str, text_col: str) -> DataFrame:
+    """doc, text_hash, fp and component_id for each row."""
     fps = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = written(fps.where("doc is not null").groupBy("fp").agg(F.min("doc").alias("rep")), "distinct-fingerprints")
     roots = connected_components(links(distinct, radius, tile))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(of, "fp", "left").select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(of, "fp", "left").select("doc", "text_hash", "fp", "component_id")
+
+
+def simhash_groups(
+    docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """id, fingerprint (hex) and component_id for each row of `docs`."""
+    found = _grouped(docs, radius, shingle, tile, id_col, text_col)
+    return found.select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without the documents whose component has a smaller identifier."""
-    found = simhash_groups(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def drop_near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows whose component has a smaller identifier; rows go by identifier and text, so that another text under
+    a repeated identifier is judged by itself. Rows without an identifier stay, and so do all that repeat both of the one that stays."""
+    found = _grouped(docs, radius, shingle, tile, id_col, text_col)
+    id_name, hash_name = free_name(docs, "_gone_id"), free_name(docs, "_gone_hash")
+    gone = found.where(F.col("doc") > F.col("component_id")).select(F.col("doc").alias(id_name), F.col("text_hash").alias(hash_name)).distinct()
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col(id_name)) & (text_hash(text_col) == F.col(hash_name)), "left_anti")
