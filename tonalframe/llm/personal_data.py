@@ -20,6 +20,7 @@ repeated identifiers are separate rows; an empty table gives no rows; other colu
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -45,7 +46,7 @@ _spelled_at = re.compile(r"(?<=[A-Za-z0-9._%+-])" + _rest, re.I)
 _spelled_local = re.compile(r"[A-Za-z0-9._%+-]", re.I)
 _numeric = re.compile(r"(?<![0-9])[+(]{0,2}[0-9](?:[ ().\-/]*+[0-9]++)*+")
 _group = re.compile(r"[0-9]+")
-LONGEST = 30  # characters of a number with its separators
+MOST = 19  # digits of the longest kind of number; separators count for nothing
 _hints = (r"mail|contact|write|address", r"\bip\b|host|server|addr|from", r"card|credit|visa|pay|account", r"phone|tel|call|fax|mobile|whatsapp")
 _hints = [re.compile(x, re.I) for x in _hints]
 
@@ -118,19 +119,21 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", at + 1)
     found += [(EMAIL, a, b) for a, b in spelled(text)]
     for m in _numeric.finditer(text):
-        if 7 <= m.end() - m.start() <= LONGEST:
-            found += [(k, m.start(), m.end()) for k in (IP, CARD, PHONE)]
-        elif m.end() - m.start() > LONGEST:
+        if len(_digits.sub("", m.group())) > MOST:
             found += [(k, a, b) for a, b in windows(text, m.start(), m.end()) for k in (IP, CARD, PHONE)]
+        elif m.end() - m.start() >= 7:
+            found += [(k, m.start(), m.end()) for k in (IP, CARD, PHONE)]
     return found
 
 
 def windows(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Runs of neighbouring digit groups, 7 characters to LONGEST: a few for each group, however long the whole is."""
+    """Runs of neighbouring digit groups with MOST digits at most and 7 characters at least: MOST for each group, however long the whole is."""
     groups, found = [m.span() for m in _group.finditer(text, start, end)], []
     for i, (a, _) in enumerate(groups):
-        for _, b in groups[i : i + LONGEST]:
-            if b - a > LONGEST:
+        digits = 0
+        for c, b in groups[i : i + MOST]:
+            digits += b - c
+            if digits > MOST:
                 break
             if b - a >= 7:
                 found.append((a, b))
@@ -256,11 +259,20 @@ def chances(model: tuple, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def choose(found: np.ndarray, chance: np.ndarray, base: np.ndarray, least: np.ndarray) -> list[tuple[int, int, int]]:
     """Candidates with enough chance, the likeliest first, apart from the patterns' spans and from each other."""
-    taken, out = [(s, e) for _, s, e in base.tolist()], []
-    for i in np.lexsort((found[:, 1], -chance)):
+    starts, ends, out = [], [], []  # what is taken, in order and without overlap, so the two neighbours decide
+    for _, s, e in sorted(base.tolist(), key=lambda x: x[1:]):
+        if starts and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    enough = np.flatnonzero(chance >= least)
+    for i in enough[np.lexsort((found[enough, 1], -chance[enough]))]:
         k, s, e = found[i].tolist()
-        if chance[i] >= least[i] and all(e <= a or b <= s for a, b in taken):
-            taken.append((s, e))
+        at = bisect_right(starts, s)
+        if (at == 0 or ends[at - 1] <= s) and (at == len(starts) or e <= starts[at]):
+            starts.insert(at, s)
+            ends.insert(at, e)
             out.append((k, s, e))
     return out
 
