@@ -7,7 +7,7 @@ least and the greatest text of each are compared, and digests that stand for sev
 size keeps texts that hit nothing out of that shuffle; if hits fill it, more texts come along, never fewer.
 
 With `state_dir` the state and the arrivals, with their texts, stay there: each call streams its rows into the same state, so later rows
-meet all earlier ones, also after a restart. Without it a call has a state of its own.
+meet all earlier ones, also after a restart; a call that repeats a batch name counts nothing twice. Without it a call has a state of its own.
 
 Defined results: null text counts as empty; equal means identical after lower-casing A-Z; of equal texts the
 largest identifier stays (null is smallest); rows that repeat identifier and text all count in group_size and all
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +68,7 @@ def run_state(spark: SparkSession, arrivals_path: str, schema, where: str | None
 
 def located(docs: DataFrame) -> Column:
     """File and row of each row, where `docs` comes from files."""
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
-    except AnalysisException:  # not a scan of files
+    if "_metadata#" not in docs._jdf.queryExecution().analyzed().metadataOutput().mkString(","):  # not a scan of files
         return F.input_file_name()
     return F.concat_ws("#", "_metadata.file_path", "_metadata.row_index")
 
@@ -86,10 +83,17 @@ def in_bitmap(rows: DataFrame, keys: DataFrame, bits: int = 1 << 24) -> DataFram
     return met.where(F.call_function("getbit", byte, (place % 8).cast("int")) == 1).select(rows.columns)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, state_dir: str | None = None) -> DataFrame:
+def _has_batch(spark: SparkSession, path: str, name: str) -> bool:
+    """Whether rows of this batch were committed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={name}")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, state_dir: str | None = None, batch: str | None = None) -> DataFrame:
     """A row for each row of `docs`: id, keep_id, group_size, kept, text_sha256 and the kept row's locator.
 
     `digest` maps the normalised text to the state's key; it need not be free of collisions.
+    `batch` names this call's rows in `state_dir`: a name that is there already, as after a retry, is not counted again.
     """
     spark = docs.sparkSession
     text = normalised(text_col)
@@ -99,10 +103,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     came = keyed.select("id", "digest", "locator", sha.alias("sha"), *(["text"] if state_dir else []))
     if state_dir:
         path = f"{state_dir.rstrip('/')}/arrivals"
-        name = uuid.uuid4().hex
-        batch = came.withColumn("batch", F.lit(name))
-        batch.write.mode("append").partitionBy("batch").parquet(path)
-        held = spark.read.schema(batch.schema).parquet(path)
+        name = batch or uuid.uuid4().hex
+        named = came.withColumn("batch", F.lit(name))
+        if not _has_batch(spark, path, name):
+            named.write.mode("append").partitionBy("batch").parquet(path)
+        held = spark.read.schema(named.schema).parquet(path)
         arrivals = held.where(F.col("batch") == name)
     else:
         path = write_table(came, "dedup-arrivals")
@@ -110,7 +115,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if held.isEmpty():  # a stream without a batch leaves no state to read
         state = held.select("digest", F.col("id").alias("keep_id"), "locator", F.lit(0).cast("long").alias("group_size"))
     else:
-        state = run_state(spark, path, batch.schema if state_dir else came.schema, f"{state_dir.rstrip('/')}/state" if state_dir else None)
+        state = run_state(spark, path, named.schema if state_dir else came.schema, f"{state_dir.rstrip('/')}/state" if state_dir else None)
     state = written(state, "dedup-held")
     found = arrivals.select("id", "digest", "sha").join(state, "digest")
     # Full bytes on hits, combined before the shuffle: a large group sends a row for each task.

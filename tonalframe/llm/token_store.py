@@ -115,7 +115,7 @@ def write_tokens(docs: DataFrame, where: str, end_id: int = 2, path: str | None
         if docs:
             yield one_block()
 
-    ordered = tokens.repartitionByRange("doc").sortWithinPartitions("doc", "ids")
+    ordered = tokens.repartitionByRange("doc", F.xxhash64("ids")).sortWithinPartitions("doc", "ids")
     ordered.mapInPandas(blocks, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{where}/blocks")
 
 
