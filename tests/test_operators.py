@@ -115,12 +115,6 @@ def test_sections_tile():
     assert folds.tiled_sections([(6, 10, "verse"), (13, 20, "chorus")], 30) == [(0, 5, "intro"), (6, 12, "verse"), (13, 20, "chorus"), (21, 29, "outro")]
 
 
-def test_note_segments():
-    track = np.array([60.0] * 20 + [64.0] * 20 + [np.nan] * 5 + [64.1] * 10)
-    assert folds.note_segments(track, 0.05) == [(0.0, 1.0, 60.0), (1.0, 2.0, 64.0), (2.25, 2.75, 64.1)]
-    assert folds.note_segments(np.array([np.nan] * 4), 0.05) == [] and folds.note_segments(np.array([60.0]), 0.05) == []
-
-
 def test_near_repeats():
     assert folds.not_near(["1", "1", "4", "1"], [1.0, 1.2, 1.2, 1.3]) == [True, False, True, True]
 

@@ -1,12 +1,12 @@
 """Operators whose every step depends on the one before: small folds over the rows of one song or series, one group at a time.
 
-Groups are songs, pages or recordings, whose length does not grow with the corpus. Rows of a group are sorted in the fold.
+Groups are meant to be songs, pages or recordings; a group is held whole by one task, sorted, so a key whose rows grow with the corpus wants another operator.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate, groupby
+from itertools import accumulate, groupby, pairwise
 
 import numpy as np
 import pandas as pd
@@ -32,33 +32,24 @@ def from_first(values: list[float], most: float) -> list[int]:
     return out
 
 
+def settled(labels: list) -> list:
+    """Each label, or the one settled before it where the one after it is the same as that."""
+    return list(accumulate(zip(labels, [*labels[1:], None], strict=True), lambda held, x: held if held == x[1] else x[0], initial=labels[0]))[1:] if labels else []
+
+
 def smoothed(labels: list[str], trust: list[float]) -> list[str]:
-    """Labels without single-step glitches: A B A becomes A A A as the scan goes, a lone step takes the side trusted more."""
-    out, n = list(labels), len(labels)
-    if n < 3:
-        return out
-
-    def between():
-        for i in range(1, n - 1):
-            if out[i - 1] == out[i + 1]:
-                out[i] = out[i - 1]
-
-    between()
-    i = 0
-    while i < n:
-        j = i + 1
-        while j < n and out[j] == out[i]:
-            j += 1
-        if j == i + 1:
-            if i == 0:
-                out[0] = out[1]
-            elif i == n - 1 or out[i - 1] == out[i + 1] or trust[i - 1] >= trust[i + 1]:
-                out[i] = out[i - 1]
-            else:
-                out[i] = out[i + 1]
-        i = j
-    between()
-    return out
+    """Labels without single-step glitches: a label between two equal ones joins them, then what is still a run of one step joins the
+    neighbour trusted more (the one before, of equals; the only one there is, at an end), then what that left between equals joins them."""
+    if len(labels) < 3:
+        return list(labels)
+    once, out = settled(labels), []
+    ends = list(accumulate(len(list(run)) for _, run in groupby(once)))
+    for start, end in zip([0, *ends], ends, strict=False):
+        sides = [(trust[start - 1], 1, out[-1])] if out else []
+        if end < len(once):
+            sides.append((trust[end], 0, once[end]))
+        out += [max(sides)[2] if end - start == 1 else once[start]] * (end - start)
+    return settled(out)
 
 
 def absorbed(labels: list[str], least: int, voiced: tuple[str, ...]) -> list[str]:
@@ -121,37 +112,38 @@ def tiled_sections(spans: list[tuple[int, int, str]], total: int, short: int = 4
     return [tuple(x) for x in out]
 
 
-def note_segments(pitch: np.ndarray, hop: float, jump: float = 0.85, patience: int = 3, least: float = 0.08) -> list[tuple[float, float, float]]:
-    """Notes (start, end, median pitch) of a pitch track (nan: silence): a note ends at silence or once `patience` frames in a row leave
-    the median of an established note; neighbours of like pitch join."""
-    notes, start, held, away = [], 0, [], 0
+Columns = dict[str, np.ndarray]
 
-    def close(end, values):
-        if values and (end - start) * hop >= least:
-            notes.append((round(start * hop, 2), round(end * hop, 2), round(float(np.median(values)), 1)))
 
-    for i, p in enumerate(np.append(pitch, np.nan)):
-        if np.isnan(p):
-            close(i, held)
-            held, away = [], 0
-            continue
-        if not held:
-            start, held, away = i, [p], 0
+def whole_keys(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """The batches of a partition sorted by `key`, cut anew so that each holds whole keys. A key that spans many batches is joined once."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
             continue
-        away = away + 1 if abs(p - np.median(held)) > jump else 0
-        held.append(p)
-        if away >= patience and len(held) > 8:
-            close(i - away + 1, held[:-away])
-            start, held, away = i - away + 1, held[-away:], 0
-    joined: list[tuple[float, float, float]] = []
-    for s, e, p in notes:
-        if joined and abs(p - joined[-1][2]) <= 0.4 and s - joined[-1][1] <= 0.06:
-            s, p = joined[-1][0], round((joined.pop()[2] + p) / 2, 1)
-        joined.append((s, e, p))
-    return joined
-
-
-Columns = dict[str, np.ndarray]
+        k = b[key].to_numpy()
+        if held and held[-1][key].iloc[-1] != k[0]:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        edges = np.flatnonzero(k[1:] != k[:-1])
+        if len(edges):
+            yield pd.concat([*held, b.iloc[: edges[-1] + 1]], ignore_index=True)
+            held = []
+        held.append(b.iloc[edges[-1] + 1 :] if len(edges) else b)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def key_edges(b: pd.DataFrame, key: str) -> list[int]:
+    """Where each key of a batch begins, and the batch's end."""
+    k = b[key].to_numpy()
+    return [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(b)]
+
+
+def dealt(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Whole keys in a partition, sorted; as many partitions as the session shuffles into, as tasks are long for their bytes."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key).sortWithinPartitions(key, *order)
 
 
 def by_song(rows: DataFrame, key: str, order: list[str], use: Callable[[Columns], dict[str, list]], schema: str) -> DataFrame:
@@ -159,26 +151,14 @@ def by_song(rows: DataFrame, key: str, order: list[str], use: Callable[[Columns]
     batches; a task holds one batch and one key at a time, and many short keys cost little more than their rows."""
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def used(columns: Columns, edges: list[int]) -> pd.DataFrame:
-            out: dict[str, list] = {}
-            for i, j in zip(edges, edges[1:], strict=False):
+        for b in whole_keys(batches, key):
+            columns, out = {c: b[c].to_numpy() for c in b.columns}, {}
+            for i, j in pairwise(key_edges(b, key)):
                 for name, values in use({c: v[i:j] for c, v in columns.items()}).items():
                     out.setdefault(name, []).extend(values)
-            return pd.DataFrame(out)
-
-        rest = None
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            k = b[key].to_numpy()
-            edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()]
-            if len(edges) > 1:
-                yield used({c: b[c].to_numpy() for c in b.columns}, edges)
-            rest = b.iloc[edges[-1] :]
-        if rest is not None and len(rest):
-            yield used({c: rest[c].to_numpy() for c in rest.columns}, [0, len(rest)])
+            yield pd.DataFrame(out)
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, key).sortWithinPartitions(key, *order).mapInPandas(stream, schema)
+    return dealt(rows, key, order).mapInPandas(stream, schema)
 
 
 def fold(rows: DataFrame, key: str, order: list[str], values: list[str], use, name: str, kind: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonalframe.functions import theory as T
 from tonalframe.operators import folds
+from tonalframe.operators import notes as N
 from tonalframe.operators import windows as W
 from tonalframe.plans import shims
 from tonalframe.plans.registry import query
@@ -258,16 +259,31 @@ def section_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.by_song(rows, "chart", ["bar"], use, "chart long, first long, last long, role string")
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of pitch tracks, one track for a player's day: every event sounds for some frames, in its pitch with some vibrato, and fades; some end in silence."""
+    day = F.floor(F.col("start") / 86_400_000_000).cast("long")
+    rows = shims.notes(spark, sf_dir).select((F.col("series") * 100_000 + day).alias("track"), "start", "id", "midi")
+    length = 8 + F.col("id") % 14
+    k = F.explode(F.sequence(F.lit(0).cast("long"), length - 1))
+    rows = rows.select("track", "start", "id", "midi", length.alias("len"), k.alias("k"))
+    silent = (F.col("id") % 5).isin(1, 2) & (F.col("k") >= F.col("len") - F.col("id") % 7)
+    midi = 55 + F.col("midi") % 12 + 0.2 * ((F.col("k") % 4) - 1.5)
+    hz = 440 * F.pow(F.lit(2.0), (midi - 69) / 12)
+    return rows.select(
+        "track", "start", "id", "k", hz.alias("hz"), F.when(silent, 0.05).otherwise(0.3 + (F.col("id") % 7) / 20).alias("periodicity"),
+        (0.2 * (1 - 0.9 * F.col("k") / F.col("len"))).alias("rms"),
+    )
+
+
 @query()
 def note_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes cut out of pitch tracks."""
-    rows = pitches(spark, sf_dir)
+    """Notes cut out of pitch tracks: gate by energy, dips, deviations from the median, glides, like neighbours."""
 
     def use(c: dict) -> dict:
-        got = folds.note_segments(c["pitch"].astype(float), 0.05, 6.0)
-        return {"series": [c["series"][0]] * len(got), "start": [x[0] for x in got], "end": [x[1] for x in got], "midi": [x[2] for x in got]}
+        got = N.notes_of(c["hz"], c["periodicity"], c["rms"], 0.02)
+        return {"track": [c["track"][0]] * len(got)} | {k: [getattr(n, k) for n in got] for k in ("start", "end", "midi", "confidence", "struck")}
 
-    return folds.by_song(rows, "series", ["i"], use, "series long, start double, end double, midi double")
+    return folds.by_song(frames(spark, sf_dir), "track", ["start", "id", "k"], use, "track long, start double, end double, midi double, confidence double, struck boolean")
 
 
 @query(shims.with_shims("""
