@@ -45,29 +45,6 @@ def test_songs_stream_across_batches(spark):
     assert len(got) == 5000 and all(r.n == r.i // 7 for r in got)
 
 
-def brute_align(s, gap):
-    n, m = s.shape
-    best = np.zeros((n + 1, m + 1))
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i or j:
-                best[i, j] = max(([best[i - 1, j - 1] + s[i - 1, j - 1]] if i and j else []) + ([best[i - 1, j] + gap] if i else []) + ([best[i, j - 1] + gap] if j else []))
-    return best[n, m]
-
-
-def test_alignment():
-    rng = np.random.default_rng(2)
-    for _ in range(50):
-        s = rng.choice([1.0, 0.7, 0.3, -0.6], (rng.integers(1, 7), rng.integers(1, 7)))
-        total, pairs = sequences.align(s, -0.4)
-        assert abs(total - brute_align(s, -0.4)) < 1e-9
-        assert abs(sum(s[i, j] if i >= 0 and j >= 0 else -0.4 for i, j in pairs) - total) < 1e-9
-    assert sequences.align(np.zeros((0, 3)), -0.4) == (0.0, []) and len(sequences.align(np.zeros((0, 3)), -0.4, empty_pairs=True)[1]) == 3
-    one, four = (0, 0, "maj"), (5, 5, "maj")
-    total, _ = sequences.align(sequences.chord_scores([one, (7, 7, "maj"), (9, 9, "m"), four], [one, (9, 9, "m"), four]), -0.4)
-    assert abs(total - 2.6) < 1e-9
-
-
 def test_viterbi_prefers_staying():
     o = np.log([[0.9, 0.1], [0.45, 0.55], [0.9, 0.1]])
     assert sequences.viterbi(o, np.array([[0, -1.0], [-1.0, 0]])) == [0, 0, 0]

@@ -11,66 +11,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonalframe.operators.alignment import aligned
 from tonalframe.operators.folds import by_song
 
-GAP = -0.4
-
-
-def align(scores: np.ndarray, gap: float, first: str = "up", empty_pairs: bool = False) -> tuple[float, list[tuple[int, int]]]:
-    """Best global alignment for pair scores (n, m): its value and pairs (i, j), -1 for a gap.
-
-    Going back, a pair is taken where it explains the value, then the gap on the side named `first` (up: a step of the first sequence
-    alone). With an empty side there are no pairs unless `empty_pairs`.
-    """
-    n, m = scores.shape
-    if not n or not m:
-        return gap * (n + m) * empty_pairs, [(i, -1) for i in range(n)] + [(-1, j) for j in range(m)] if empty_pairs else []
-    best = np.zeros((n + 1, m + 1))
-    best[:, 0], best[0, :] = gap * np.arange(n + 1), gap * np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.maximum(best[i - 1, :-1] + scores[i - 1], best[i - 1, 1:] + gap)
-        for j in range(1, m + 1):
-            best[i, j] = max(row[j - 1], best[i, j - 1] + gap)
-    pairs, i, j, near = [], n, m, 1e-6
-    while i or j:
-        if i and j and abs(best[i, j] - best[i - 1, j - 1] - scores[i - 1, j - 1]) < near:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-            continue
-        up = i and abs(best[i, j] - best[i - 1, j] - gap) < near
-        left = j and abs(best[i, j] - best[i, j - 1] - gap) < near
-        if up and (first == "up" or not left):
-            i -= 1
-            pairs.append((i, -1))
-        else:
-            j -= 1
-            pairs.append((-1, j))
-    return float(best[n, m]), pairs[::-1]
-
-
-def chord_scores(a: list[tuple[int, int, str]], b: list[tuple[int, int, str]]) -> np.ndarray:
-    """Pair scores of chords (root, bass, quality): 1 equal, .7 same root, .3 substitutes, -.6 else."""
-    root = lambda x: np.array([c[0] for c in x], int)
-    bass = lambda x: np.array([c[1] for c in x], int)
-    seventh = lambda x: np.array(["7" in c[2] for c in x], bool)
-    d = (root(a)[:, None] - root(b)[None, :]) % 12
-    out = np.where(np.isin(d, (3, 4, 8, 9)) | (d == 6) & (seventh(a)[:, None] | seventh(b)[None, :]), 0.3, -0.6)
-    return np.where(d == 0, np.where(bass(a)[:, None] == bass(b)[None, :], 1.0, 0.7), out)
-
-
-def aligned_songs(a: DataFrame, b: DataFrame, key: str, order: str, first: str = "up", empty_pairs: bool = False) -> DataFrame:
+def aligned_songs(a: DataFrame, b: DataFrame, key: str, order: str, **options) -> DataFrame:
     """Two readings (key, order, root, bass, quality) aligned song by song: key, i, j (places, -1 for a gap), pair score, total."""
-    both = a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
-
-    def one(c: dict) -> dict:
-        side, chords = c["_side"], list(zip(c["root"].tolist(), c["bass"].tolist(), c["quality"].tolist(), strict=True))
-        cut = int((side == 0).sum())
-        s = chord_scores(chords[:cut], chords[cut:])
-        total, pairs = align(s, GAP, first, empty_pairs)
-        score = [float(s[i, j]) if i >= 0 and j >= 0 else GAP for i, j in pairs]
-        return {key: [c[key][0]] * len(pairs), "i": [i for i, _ in pairs], "j": [j for _, j in pairs], "score": score, "total": [total] * len(pairs)}
-
-    return by_song(both, key, ["_side", order], one, f"{key} {dict(a.dtypes)[key]}, i int, j int, score double, total double")
+    return aligned(a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1))), key, "_side", order, **options)
 
 
 def lcs_length(a: Column, b: Column) -> Column:

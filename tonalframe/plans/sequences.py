@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonalframe.functions import theory as T
+from tonalframe.operators import alignment as A
 from tonalframe.operators import catalog as C
 from tonalframe.operators import folds
 from tonalframe.operators import sequences as S
@@ -24,19 +25,21 @@ def two_readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 @query()
 def chord_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two readings of a chart aligned (A1, A3)."""
+    """Two readings of a chart aligned (A1)."""
     return S.aligned_songs(*two_readings(spark, sf_dir), "chart", "bar")
 
 
 @query()
 def crosscheck_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same where a missing side counts as gaps and steps of the second come first (A4, A5)."""
-    return S.aligned_songs(*two_readings(spark, sf_dir), "chart", "bar", "left", True)
+    """A recording's bars against a search's, either with bars that have no chord; a missing side counts as gaps (A4)."""
+    heard, found = two_readings(spark, sf_dir)
+    silent = lambda rows, n: rows.withColumn("root", F.when((F.col("chart") + F.col("bar")) % n != 0, F.col("root")))
+    return S.aligned_songs(silent(heard, 6), silent(found, 5), "chart", "bar", score=A.heard_scores, empty=True)
 
 
 @query()
 def alignment_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean score of each chart's alignment, and runs left without a partner (A2)."""
+    """Mean score of each chart's alignment, and steps left without a partner."""
     rows = S.aligned_songs(*two_readings(spark, sf_dir), "chart", "bar")
     return rows.groupBy("chart").agg(F.bround(F.sum("score") / F.count(F.lit(1)), 6).alias("quality"), F.count_if(F.col("j") < 0).alias("alone"), F.first("total").alias("total"))
 
