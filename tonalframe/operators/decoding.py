@@ -195,7 +195,7 @@ def full_key(chords: DataFrame, notes: DataFrame | None = None, stable: float =
     vector = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     bins = chord_histogram(chords, notes, 2.0).groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("pc", "weight"))).alias("m")).select("series", vector.alias("v"))
     long = F.col("seconds") >= stable
-    edge = lambda pick: pick(F.when(long, F.struct("root", F.col("quality").contains("min").alias("minor"))), F.when(long, F.col("start")))
+    edge = lambda pick: pick(F.when(long, F.struct("root", is_minor(F.col("quality")).alias("minor"))), F.when(long, F.col("start")))
     ends = chords.groupBy("series").agg(F.sum("seconds").alias("total"), edge(F.min_by).alias("head"), edge(F.max_by).alias("tail"))
     kinds = chords.groupBy("series", F.pmod("root", F.lit(12)).cast("int").alias("root"), is_minor(F.col("quality")).alias("minor")).agg(F.sum("seconds").alias("d"))
     kinds = kinds.groupBy("series").agg(F.collect_list(F.struct("root", "minor", "d")).alias("kinds"))

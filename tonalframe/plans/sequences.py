@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonalframe.functions import theory as T
 from tonalframe.operators import alignment as A
 from tonalframe.operators import catalog as C
+from tonalframe.operators import decoding as D
 from tonalframe.operators import folds
 from tonalframe.operators import sequences as S
 from tonalframe.plans import shims
@@ -44,6 +45,18 @@ def alignment_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("chart").agg(F.bround(F.sum("score") / F.count(F.lit(1)), 6).alias("quality"), F.count_if(F.col("j") < 0).alias("alone"), F.first("total").alias("total"))
 
 
+@query()
+def decoded_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chords of beats by the best path through 49 states, decoded again in favour of the key found, with sevenths (B1, G3, G4): beats are vectors, 200 to a
+    recording, each value standing for some of the 170 classes."""
+    x = F.transform("embedding", lambda v: F.abs(v.cast("double")))
+    weight = lambda i: F.element_at("x", (i % 64 + 1).cast("int")) * (i * 7 % 5 + 1)
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 200).alias("series"), (F.col("vec_id") % 200).alias("beat"), x.alias("x"))
+    rows = rows.withColumn("p", F.transform(F.sequence(F.lit(0), F.lit(169)), weight))
+    total = F.aggregate("p", F.lit(0.0), lambda a, v: a + v)
+    return D.chords_of(rows.select("series", "beat", F.transform("p", lambda v: v / total).alias("posterior")), chunk=64)
+
+
 LCS = """
   SELECT chart, list(raw ORDER BY bar) AS a, list(read ORDER BY bar) AS b FROM (SELECT chart, bar, raw, CASE WHEN p % 3 = 0 THEN raw || 'x' ELSE raw END AS read FROM chords) GROUP BY chart"""
 

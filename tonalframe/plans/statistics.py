@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tonalframe.operators import decoding as D
 from tonalframe.operators import statistics as S
 from tonalframe.plans import shims
 from tonalframe.plans.registry import query
@@ -24,11 +25,44 @@ SELECT series, tonic, minor, round_even(r, 6) AS r FROM (SELECT series, tonic, m
     SELECT s.series, t.tonic, m.minor, m.v, coalesce(h.weight, 0) AS w FROM (SELECT DISTINCT series FROM histogram) s, (SELECT unnest(range(12))::INTEGER AS tonic) t, (SELECT 0 AS minor, unnest(range(12))::INTEGER AS i, unnest({S.MAJOR}) AS v UNION ALL SELECT 1, unnest(range(12))::INTEGER, unnest({S.MINOR})) m
     LEFT JOIN histogram h ON h.series = s.series AND h.pc = (m.i + t.tonic) % 12) GROUP BY series, tonic, minor)) WHERE k = 1""", notes=shims.NOTES, histogram=HISTOGRAM))
 def key_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key whose profile fits the histogram best (G4, G21's core)."""
+    """The key whose profile fits the histogram best."""
     found = S.best_key(S.pitch_histogram(shims.notes(spark, sf_dir)))
     return found.select("series", "tonic", "minor", F.bround("r", 6).alias("r"))
 
 
+SEGMENTS = """
+  SELECT chart AS series, bar, 2.0::DOUBLE * bar AS start, 0.5::DOUBLE + 0.25::DOUBLE * (p % 5) AS seconds, (list_value(0, 2, 4, 5, 7, 9, 11)[1 + p % 7] + CASE WHEN p % 11 = 0 THEN 11 ELSE 0 END + chart) % 12 AS root,
+    s % 6 IN (1, 3) AS minor, s % 6 AS q, 48 + s % 36 AS midi, 0.5::DOUBLE * (1 + p % 3) AS sung FROM chords"""
+CHORD_TONES = """
+  SELECT series, pc, sum(w) AS w FROM (
+    SELECT series, (root + t[1]) % 12 AS pc, seconds * t[2] / 2 AS w FROM (SELECT series, root, seconds, unnest(list_filter([[0, 3], [CASE WHEN minor THEN 3 ELSE 4 END, 2], [7, 2], [CASE WHEN q = 4 THEN 11 ELSE 10 END, CASE WHEN q IN (2, 3, 4) THEN 1 ELSE 0 END]], lambda t: t[2] > 0)) AS t FROM segments)
+    UNION ALL SELECT series, midi % 12, sung * 2 FROM segments) GROUP BY ALL"""
+KEY_PARTS = """
+  SELECT series, tonic, sum(CASE WHEN degree = 0 AND NOT minor THEN seconds ELSE 0 END) AS at_home,
+    sum(seconds * CASE WHEN degree NOT IN (0, 2, 4, 5, 7, 9, 11) THEN 1.5 WHEN degree <> 11 AND minor <> (degree IN (2, 4, 9)) THEN 0.5 ELSE 0 END::DOUBLE) AS away, sum(seconds) AS total,
+    first(CASE WHEN degree = 0 AND NOT minor THEN 0.15 ELSE 0 END ORDER BY start) FILTER (seconds >= 0.8) AS head, first(CASE WHEN degree = 0 AND NOT minor THEN 0.20 ELSE 0 END ORDER BY start DESC) FILTER (seconds >= 0.8) AS tail
+  FROM (SELECT *, (root - tonic + 12) % 12 AS degree FROM segments, (SELECT unnest(range(12)) AS tonic)) GROUP BY series, tonic"""
+
+
+@query(shims.with_shims(f"""
+SELECT series, CAST(tonic AS INTEGER) AS tonic, round_even(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round_even(score, 9) DESC, tonic) AS k FROM (
+  SELECT f.series, f.tonic, coalesce(CASE WHEN NOT isnan(r) THEN r END, 0) + 0.40::DOUBLE * at_home / total + coalesce(head, 0) + coalesce(tail, 0) - 1.25::DOUBLE * away / total AS score
+  FROM (SELECT s.series, t.tonic, corr(coalesce(h.w, 0), m.v) AS r FROM (SELECT DISTINCT series FROM segments) s, (SELECT unnest(range(12)) AS tonic) t, (SELECT unnest(range(12)) AS i, unnest({S.MAJOR}) AS v) m
+    LEFT JOIN tones h ON h.series = s.series AND h.pc = (m.i + t.tonic) % 12 GROUP BY s.series, t.tonic) f JOIN parts USING (series, tonic))) WHERE k = 1""",
+    chords=shims.CHORDS, segments=SEGMENTS, tones=CHORD_TONES, parts=KEY_PARTS))
+def full_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key that pitch, home chord, ends and foreign chords of a song speak for."""
+    p, s = F.col("p"), F.col("s")
+    at = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    root = (at([0, 2, 4, 5, 7, 9, 11], p % 7) + F.when(p % 11 == 0, 11).otherwise(0) + F.col("chart")) % 12
+    rows = shims.chords(spark, sf_dir).select(
+        F.col("chart").alias("series"), (2.0 * F.col("bar")).alias("start"), (0.5 + 0.25 * (p % 5)).alias("seconds"), root.cast("int").alias("root"), at(["", "m", "7", "m7", "maj7", "sus4"], s % 6).alias("quality"),
+        (48 + s % 36).alias("midi"), (0.5 * (1 + p % 3)).alias("sung"),
+    )
+    found = D.full_key(rows.select("series", "start", "seconds", "root", "quality"), rows.select("series", F.col("sung").alias("seconds"), "midi"))
+    return found.select("series", "tonic", F.bround("score", 6).alias("score"))
+
+
 @query(shims.with_shims("""
 SELECT series, CASE WHEN med > 0.05 THEN round_even(60 / med, 1) END AS tempo FROM (SELECT series, median(gap) AS med FROM (SELECT series, (start - lag(start) OVER (PARTITION BY series ORDER BY start, id)) / 100000000.0::DOUBLE AS gap FROM notes) GROUP BY series)""", notes=shims.NOTES))
 def tempo_median(spark: SparkSession, sf_dir: str) -> DataFrame:
