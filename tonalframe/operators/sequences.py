@@ -95,6 +95,35 @@ def voice_leading(chords: list[list[int]], known: dict) -> list[tuple[int, ...]]
     return [o[i] for o, i in zip(options, reversed(at), strict=True)]
 
 
+def shape_moves(a: np.ndarray, b: np.ndarray, barre_a: np.ndarray, barre_b: np.ndarray) -> np.ndarray:
+    """Cost of changes between shapes (n, 4) and (m, 4): strings that change, the way of the hand, a barre that comes or goes, less fingers and open strings that stay."""
+    same = a[:, None] == b[None]
+    held, open_ = (same & (a[:, None] > 0)).sum(2), (same & (a[:, None] == 0)).sum(2)
+    jump = np.abs(a.max(1)[:, None] - b.max(1)[None])
+    return 0.5 * (~same).sum(2) + 0.7 * jump + 1.0 * (barre_a[:, None] != barre_b[None]) - 1.5 * held - 0.4 * open_
+
+
+def shape_path(chords: list, sections: list, options: dict, keep: float = 4.0, change: float = 3.0) -> list[int]:
+    """Which of its options each chord of a song takes, at the least cost, the first of equals. `options`: of a chord, frets (n, 4) and costs (n,), the cheapest first.
+
+    A chord that follows itself in its section is drawn to its shape: the same one gains `keep`, another loses `change`."""
+    frets, own = options[chords[0]]
+    cost, back = own.copy(), []
+    for before, now, sec_a, sec_b in zip(chords, chords[1:], sections, sections[1:], strict=False):
+        a, (b, own) = options[before][0], options[now]
+        barre = [np.array([len({f for f in x if f > 0}) < (x > 0).sum() and x.min() > 0 for x in v], bool) for v in (a, b)]
+        moves = shape_moves(a, b, *barre)
+        if before == now and sec_a == sec_b:
+            moves = moves + np.where((a[:, None] == b[None]).all(2), -keep, change)
+        total = np.round(cost[:, None] + moves, 9)
+        back.append(total.argmin(0))
+        cost = total.min(0) + own
+    at = [int(cost.argmin())]
+    for step in reversed(back):
+        at.append(int(step[at[-1]]))
+    return at[::-1]
+
+
 def viterbi(observed: np.ndarray, moves: np.ndarray) -> list[int]:
     """The best path through states for log scores (steps, states) and move scores (states, states); the lowest state of equals."""
     best, back = observed[0].copy(), []
