@@ -25,7 +25,7 @@ def measure_grid(tracks: DataFrame, beats: DataFrame, downbeats: DataFrame, note
     spans = spans.withColumn("end", F.coalesce("next", F.greatest("duration", "t"))).where("next is not null or end - t > 0.5")
 
     # Beats go to the last downbeat that is at most NEAR after them: one pass over both, in the order of time.
-    marks = spans.select("track", (F.col("t") - NEAR).alias("at"), F.lit(0).alias("kind"), F.col("t").alias("start"), F.lit(None).cast("double").alias("beat"))
+    marks = down.select("track", (F.col("t") - NEAR).alias("at"), F.lit(0).alias("kind"), F.col("t").alias("start"), F.lit(None).cast("double").alias("beat"))
     both = marks.unionByName(beats.select("track", F.col("t").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("start"), F.col("t").alias("beat")))
     owner = F.last("start", ignorenulls=True).over(w.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
     inside = both.withColumn("start", owner).where("kind = 1 and start is not null").groupBy("track", "start").agg(F.array_sort(F.collect_list("beat")).alias("own"))

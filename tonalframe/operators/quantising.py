@@ -13,7 +13,7 @@ def page_offsets(bars: DataFrame, page: list[str], least: int = 3) -> DataFrame:
     struct with share: the place in the bar, 0 to 1, null without a box), beats and onsets.
 
     An opening chord counts if it is the bar's only one or the melody begins with the bar, and if it stands within the first beat."""
-    at = F.col("chords")[0]["share"] * F.col("beats")
+    at = F.get("chords", F.lit(0))["share"] * F.col("beats")
     led = (F.size("chords") == 1) | F.coalesce(F.abs(F.get("onsets", F.lit(0)) - 1.0) < 0.15, F.lit(False))
     sample = F.when((F.size("chords") > 0) & led & (at >= 0) & (at < 1), at)
     return bars.groupBy(*page).agg(F.when(F.count(sample) >= least, F.median(sample)).otherwise(0.5).alias("delta"))
