@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "consensus_vote"
-MODULES = ["theory", "readings", "votes", "consensus", "windows", "joins", "statistics", "catalog", "texts", "melodies", "scores", "sequences", "structure", "checks", "measures", "evaluations", "streams"]
+MODULES = ["theory", "readings", "votes", "consensus", "windows", "joins", "statistics", "catalog", "texts", "melodies", "scores", "sequences", "structure", "pages", "checks", "measures", "evaluations", "streams"]
 
 _found: dict[str, tuple] = {}
 
