@@ -97,7 +97,7 @@ def chord_tone_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c.chart, c.bar, c.raw, CASE WHEN boxed >= 5 AND boxed / n >= 0.5 AND p % 4 = 0 THEN 'unboxed_chord_dropped' ELSE 'kept' END AS action
 FROM chords c JOIN (SELECT chart, count(*) AS n, count(*) FILTER (p % 4 <> 0) AS boxed FROM chords GROUP BY chart) USING (chart)""", chords=shims.CHORDS))
 def unboxed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens without a box on charts that box their chords."""
+    """Tokens without a box on charts that box their chords."""
     rows = shims.chords(spark, sf_dir)
     share = rows.groupBy("chart").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") % 4 != 0).alias("boxed"))
     drop = (F.col("boxed") >= 5) & (F.col("boxed") / F.col("n") >= 0.5) & (F.col("p") % 4 == 0)

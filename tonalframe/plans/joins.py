@@ -101,9 +101,23 @@ def multiset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(shims.with_shims("""
+SELECT chart, tok, bar, side FROM (
+  SELECT a.chart, a.tok, a.bar, 'truth' AS side FROM own a LEFT JOIN other b USING (chart, tok, k) WHERE b.bar IS NULL UNION ALL
+  SELECT b.chart, b.tok, b.bar, 'read' FROM other b LEFT JOIN own a USING (chart, tok, k) WHERE a.bar IS NULL)""", chords=shims.CHORDS, truth=TRUTH,
+    own="SELECT chart, raw AS tok, bar, row_number() OVER (PARTITION BY chart, raw ORDER BY bar) AS k FROM truth", other="SELECT chart, read AS tok, bar, row_number() OVER (PARTITION BY chart, read ORDER BY bar) AS k FROM truth"))
+def left_over_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chords of either reading that the one-to-one match of a song leaves over (J10 on J7's key)."""
+    rows = truth(spark, sf_dir)
+    a = rows.select("chart", F.col("raw").alias("tok"), F.col("bar").alias("a"))
+    b = rows.select("chart", F.col("read").alias("tok"), F.col("bar").alias("b"))
+    met = I.one_to_one(a, b, ["chart", "tok"], "a", "b", "full").where("a is null or b is null")
+    return met.select("chart", "tok", F.coalesce("a", "b").alias("bar"), F.when(F.col("b").isNull(), "truth").otherwise("read").alias("side"))
+
+
 @query(shims.with_shims("SELECT chart, bar, raw, read FROM truth WHERE raw <> read", chords=shims.CHORDS, truth=TRUTH))
 def unmatched_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chords without a partner in the other reading of their bar."""
+    """Chords without a partner in the other reading of their bar."""
     rows = truth(spark, sf_dir)
     other = rows.select("chart", "bar", F.col("read").alias("raw"))
     alone = rows.select("chart", "bar", "raw").join(other, ["chart", "bar", "raw"], "left_anti")

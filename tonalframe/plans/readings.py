@@ -110,6 +110,13 @@ def key_change_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chart", "bar", "raw", shift.alias("semitones"), F.when(shift == 0, "key_change_filtered").alias("issue"))
 
 
+@query(shims.with_shims(f"""
+SELECT chart, bar, raw, semitones FROM (SELECT chart, bar, {CHANGES}[1 + p % 7] AS raw, list_value(2, 0, 0, 0, 2, 3, 0)[1 + p % 7] AS semitones FROM chords) WHERE semitones <> 0""", chords=shims.CHORDS))
+def key_changes_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key changes without those of no semitones."""
+    return key_change_filter(spark, sf_dir).where("issue is null").drop("issue")
+
+
 @query(shims.with_shims("""
 SELECT a.chart, a.row, a.x = b.y AS equal, len(a.x) AS n FROM
   (SELECT chart, bar // 2 AS row, list(raw ORDER BY bar) AS x FROM chords GROUP BY ALL) a JOIN

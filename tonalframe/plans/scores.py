@@ -9,6 +9,7 @@ from tonalframe.functions import theory as T
 from tonalframe.operators import scores as S
 from tonalframe.plans import shims
 from tonalframe.plans.registry import query
+from tonalframe.plans.windows import MOVES, PROGRESSION, progression_score
 
 STEPS = "list_value(0,2,4,5,7,9,11)"
 SOUND = f"""
@@ -41,15 +42,16 @@ HINT_PC = f"CASE s % 4 WHEN 1 THEN {STEPS}[1 + p % 7] WHEN 2 THEN ({STEPS}[1 + s
 
 
 @query(shims.with_shims(f"""
-SELECT chart, bar, hint, b AS bass_fit, round_even(CASE WHEN b IS NOT NULL THEN 0.4::DOUBLE * fit + 0.35::DOUBLE * 0.7::DOUBLE + 0.25::DOUBLE * b ELSE 0.55::DOUBLE * fit + 0.45::DOUBLE * 0.7::DOUBLE END, 6) AS score
-FROM (SELECT chart, bar, fit, {HINT} AS hint, CASE WHEN {HINT_PC} = f.bass THEN 1.0 WHEN {HINT_PC} IS NOT NULL THEN 0.0 END::DOUBLE AS b FROM fit f JOIN sound USING (chart, bar))""", chords=shims.CHORDS, sound=SOUND, fit=FIT))
+SELECT chart, bar, hint, b AS bass_fit, round_even(CASE WHEN b IS NOT NULL THEN 0.4::DOUBLE * fit + 0.35::DOUBLE * plausibility + 0.25::DOUBLE * b ELSE 0.55::DOUBLE * fit + 0.45::DOUBLE * plausibility END, 6) AS score
+FROM (SELECT chart, bar, fit, plausibility, {HINT} AS hint, CASE WHEN {HINT_PC} = f.bass THEN 1.0 WHEN {HINT_PC} IS NOT NULL THEN 0.0 END::DOUBLE AS b FROM fit f JOIN sound USING (chart, bar) JOIN steps USING (chart, bar))""", chords=shims.CHORDS, sound=SOUND, fit=FIT, moves=MOVES, steps=PROGRESSION))
 def candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prior of a reading from melody, progression and bass hint."""
     s, p = F.col("s"), F.col("p")
     hint = F.when(s % 4 == 1, F.concat((1 + p % 7).cast("string"), F.lit("1 11"))).when(s % 4 == 2, F.concat(F.lit("b"), (1 + s % 7).cast("string"))).when(s % 4 == 3, ".7.7")
     rows = sound(spark, sf_dir).withColumn("hint", hint).withColumn("bass_fit", S.bass_hint_fit(F.col("bass"), F.col("hint")))
+    rows = rows.join(progression_score(spark, sf_dir).select("chart", "bar", "plausibility"), ["chart", "bar"])
     fit = S.melody_fit(F.col("pcs"), F.col("notes"), F.lit(1.0), F.lit(2.0))
-    return rows.select("chart", "bar", "hint", "bass_fit", F.bround(S.combined(fit, F.lit(0.7), F.col("bass_fit")), 6).alias("score"))
+    return rows.select("chart", "bar", "hint", "bass_fit", F.bround(S.combined(fit, F.col("plausibility"), F.col("bass_fit")), 6).alias("score"))
 
 
 @query(shims.with_shims("""

@@ -40,13 +40,18 @@ def line_guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line_no", reason.alias("reason"))
 
 
-@query(r"""
-WITH folded AS (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM conversations)
+#: Letters of the tables' languages beyond ASCII, and control characters for them, for an engine that measures bytes.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+SIGNS = "".join(chr(k) for k in (*range(1, 9), *range(14, 27)))
+
+
+@query("""
+WITH folded AS (SELECT conv_id, turn, translate(text, '""" + LETTERS + """', '""" + SIGNS + """') AS text FROM conversations)
 SELECT a.conv_id, a.turn, CASE WHEN greatest(length(a.text), length(b.text)) = 0 THEN 1.0 ELSE round_even(1 - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)), 6) END::DOUBLE AS similarity
 FROM folded a JOIN folded b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit similarity of neighbouring turns (X1, A7); other engines count bytes, so letters beyond ASCII are folded first."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^\\x00-\\x7F]", "?").alias("text"))
+    """Edit similarity of neighbouring turns (X1, A7). The SQL's engine counts bytes, so there each letter beyond ASCII becomes a control character of its own."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     following = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
     # Few bytes but much work a row: as many tasks as the session deals out.
     met = rows.join(following, ["conv_id", "turn"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -105,20 +110,16 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT d.doc_id, d.a AS text_a, count(*) AS shared FROM (SELECT doc_id, unnest(list_distinct(string_split(text, ''))) AS a FROM documents WHERE n_chars < 200) d JOIN (SELECT DISTINCT unnest(string_split(text, '')) AS a FROM benchmark) b USING (a) GROUP BY ALL""")
+SELECT d.doc_id, d.a AS text_a, count(*) AS shared FROM (SELECT doc_id, unnest(list_distinct(string_split(text, ''))) AS a FROM documents) d JOIN (SELECT DISTINCT unnest(string_split(text, '')) AS a FROM benchmark) b USING (a) GROUP BY ALL""")
 def shared_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters that short lines (under 200 characters) have in common with a reference; all_shared_characters takes every document."""
-    return _shared_characters(spark, sf_dir, table(spark, sf_dir, "documents").where("n_chars < 200"))
+    """Characters that documents have in common with a reference; the same as all_shared_characters, which it now calls."""
+    return all_shared_characters(spark, sf_dir)
 
 
 @query(r"""
 SELECT d.doc_id, d.a AS text_a, count(*) AS shared FROM (SELECT doc_id, unnest(list_distinct(string_split(text, ''))) AS a FROM documents) d JOIN (SELECT DISTINCT unnest(string_split(text, '')) AS a FROM benchmark) b USING (a) GROUP BY ALL""")
 def all_shared_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters that documents of any length have in common with a reference (W23's overlap)."""
-    return _shared_characters(spark, sf_dir, table(spark, sf_dir, "documents"))
-
-
-def _shared_characters(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    chars = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", ""))).alias("text_a"))
+    chars = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", ""))).alias("text_a"))
     known = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "")).alias("text_a")).distinct()
     return chars.join(F.broadcast(known), "text_a").groupBy("doc_id", "text_a").agg(F.count(F.lit(1)).alias("shared"))

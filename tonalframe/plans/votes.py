@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonalframe.functions import theory as T
+from tonalframe.operators import consensus as C
 from tonalframe.operators import votes as V
 from tonalframe.plans import shims
 from tonalframe.plans.registry import query
 
 BARS = """
-  SELECT chart % 500 AS song, chart AS source, bar, raw, CAST(1 + p % 7 AS VARCHAR) || CASE WHEN p % 11 = 0 THEN 'b' ELSE '' END || ':' ||
+  SELECT chart // 32 AS song, chart AS source, bar, raw, CAST(1 + p % 7 AS VARCHAR) || CASE WHEN p % 11 = 0 THEN 'b' ELSE '' END || ':' ||
     list_value('maj', 'm', 'maj', 'm', 'maj', 'sus')[1 + s % 6] || CASE WHEN p % 5 = 0 AND (p % 11 = 0 OR 1 + s % 7 <> 1 + p % 7) THEN ':' || CAST(1 + s % 7 AS VARCHAR) ELSE '' END AS k
   FROM chords"""
 
 
 def source_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shims.chords(spark, sf_dir).select((F.col("chart") % 500).alias("song"), F.col("chart").alias("source"), "bar", "raw", "p", "s")
+    return shims.chords(spark, sf_dir).select(F.floor(F.col("chart") / 32).alias("song"), F.col("chart").alias("source"), "bar", "raw", "p", "s")
 
 
 def vote_key(raw):
@@ -66,24 +67,17 @@ def reference_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(shims.with_shims("""
-SELECT song, bar, section, beat, raw FROM (
-  SELECT song, bar, CASE WHEN bar = min(bar) OVER (PARTITION BY song) THEN 'verse' END AS section, unnest(CASE WHEN len(alts) > 0 AND support = 1 THEN [1.0, 3.0] ELSE [1.0] END)::DOUBLE AS beat,
-    unnest(CASE WHEN len(alts) > 0 AND support = 1 THEN [winner, other] ELSE [winner] END) AS raw
-  FROM (SELECT *, winner AS w, (SELECT min(a) FROM (SELECT unnest(alts) AS a)) AS other FROM votes))""", chords=shims.CHORDS, bars=BARS, votes=VOTES))
+SELECT song, bar, CASE WHEN bar = min(bar) OVER (PARTITION BY song) THEN 'verse' END AS section, 1.0::DOUBLE AS beat, winner AS raw, CASE WHEN support >= 2 AND support / total >= 0.5 THEN 'agree' ELSE 'search_only' END AS agreement, CAST(len(alts) AS INTEGER) AS n_alternatives
+FROM votes""", chords=shims.CHORDS, bars=BARS, votes=VOTES))
 def consensus_lead_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of a lead sheet: one chord on beat 1, two on 1 and 3, a label on the first bar (V4, V5)."""
-    rows = consensus(spark, sf_dir)
-    two = (F.size("alternatives") > 0) & (F.col("support") == 1)
-    at = lambda beat, raw: F.struct(F.lit(beat).alias("beat"), raw.alias("raw"))
-    chords = F.when(two, F.array(at(1.0, F.col("winner")), at(3.0, F.array_min("alternatives")))).otherwise(F.array(at(1.0, F.col("winner"))))
-    first = rows.groupBy("song").agg(F.min("bar").alias("first"))
-    rows = rows.join(first, "song").select("song", "bar", F.when(F.col("bar") == F.col("first"), "verse").alias("section"), F.explode(chords).alias("c"))
-    return rows.select("song", "bar", "section", "c.beat", "c.raw")
+    """The lead sheet of bars that are aligned already and have one chord each (V5); aligned_lead_sheet does the whole of it."""
+    rows = consensus(spark, sf_dir).withColumn("chords", F.array("winner"))
+    return C.lead_sheet(rows, "song", "bar", F.lit("verse"))
 
 
 @query(shims.with_shims("""
 SELECT song, bar, letters, numbers, CASE WHEN letters > numbers THEN 'letter' ELSE 'number' END AS notation
-FROM (SELECT chart % 500 AS song, bar, count(*) FILTER (s % 3 = 0) AS letters, count(*) FILTER (s % 3 <> 0) AS numbers FROM chords GROUP BY ALL)""", chords=shims.CHORDS))
+FROM (SELECT chart // 32 AS song, bar, count(*) FILTER (s % 3 = 0) AS letters, count(*) FILTER (s % 3 <> 0) AS numbers FROM chords GROUP BY ALL)""", chords=shims.CHORDS))
 def notation_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters against numbers, strictly more needed for letters."""
     letter = F.when(F.col("s") % 3 == 0, "C").otherwise(F.col("raw"))

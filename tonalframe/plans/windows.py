@@ -37,22 +37,30 @@ def bass_hint_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOTION = "CASE (({b} - {a}) % 12 + 12) % 12 WHEN 5 THEN 0.85 WHEN 7 THEN 0.85 WHEN 1 THEN 0.8 WHEN 2 THEN 0.8 WHEN 10 THEN 0.8 WHEN 11 THEN 0.8 WHEN 3 THEN 0.7 WHEN 4 THEN 0.7 WHEN 8 THEN 0.7 WHEN 9 THEN 0.7 ELSE 0.4 END::DOUBLE"
 
 
-@query(shims.with_shims(f"""
+PROGRESSION = f"""
 SELECT chart, bar, raw, prev, next, CASE WHEN r0 IS NULL AND r1 IS NULL THEN 0.7::DOUBLE ELSE round_even((CASE WHEN r0 IS NULL THEN 0 ELSE coalesce(p.v, {MOTION.format(a="r0", b="r")}) END + CASE WHEN r1 IS NULL THEN 0 ELSE coalesce(q.v, {MOTION.format(a="r", b="r1")}) END)
   / ((r0 IS NOT NULL)::INT + (r1 IS NOT NULL)::INT), 3) END AS plausibility
 FROM (SELECT *, lag(raw) OVER w AS prev, lead(raw) OVER w AS next, lag(r) OVER w AS r0, lead(r) OVER w AS r1, lag(name) OVER w AS n0, lead(name) OVER w AS n1 FROM (
   SELECT chart, bar, raw, (list_value(0,2,4,5,7,9,11)[1 + p % 7] + CASE WHEN p % 11 = 0 THEN 11 ELSE 0 END) % 12 AS r,
     (1 + p % 7) || (CASE WHEN p % 11 = 0 THEN 'b' ELSE '' END) || list_value('', 'm', '7', 'm7', 'M7', 'sus')[1 + s % 6] || (CASE WHEN p % 5 = 0 THEN '/' || (1 + s % 7) ELSE '' END) AS name FROM chords) WINDOW w AS (PARTITION BY chart ORDER BY bar)) z
-LEFT JOIN moves p ON p.x = n0 AND p.y = name LEFT JOIN moves q ON q.x = name AND q.y = n1""", chords=shims.CHORDS, moves=f"SELECT * FROM (VALUES {T.sql_rows((a, b, v) for (a, b), v in T.TRANSITIONS.items())}) t(x, y, v)"))
+LEFT JOIN moves p ON p.x = n0 AND p.y = name LEFT JOIN moves q ON q.x = name AND q.y = n1"""
+MOVES = f"SELECT * FROM (VALUES {T.sql_rows((a, b, v) for (a, b), v in T.TRANSITIONS.items())}) t(x, y, v)"
+
+
+@query(shims.with_shims(PROGRESSION, chords=shims.CHORDS, moves=MOVES))
 def progression_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring chords across bars and how plausible the steps between them are, from the table of common steps or the root's motion."""
-    step = F.struct(T.simple_name(F.col("raw")).alias("name"), T.chord_degree(F.col("raw"))["root"].alias("root"))
-    rows = shims.chords(spark, sf_dir).select("chart", "bar", "raw", step.alias("x"))
+    rows = shims.chords(spark, sf_dir).select("chart", "bar", "raw")
     w = Window.partitionBy("chart").orderBy("bar")
-    rows = rows.withColumns({"prev": F.lag("raw").over(w), "next": F.lead("raw").over(w), "a": F.lag("x").over(w), "b": F.lead("x").over(w)})
-    steps = F.filter(F.array(F.when(F.col("a").isNotNull(), T.transition_score(F.col("a"), F.col("x"))), F.when(F.col("b").isNotNull(), T.transition_score(F.col("x"), F.col("b")))), lambda x: x.isNotNull())
-    mean = F.bround(F.aggregate(steps, F.lit(0.0), lambda t, x: t + x) / F.size(steps), 3)
-    return rows.select("chart", "bar", "raw", "prev", "next", F.when(F.size(steps) > 0, mean).otherwise(0.7).alias("plausibility"))
+    rows = rows.withColumns({"prev": F.lag("raw").over(w), "next": F.lead("raw").over(w)})
+    # Different tokens and pairs of them are few, so each is read and scored once; the window then takes a pair's score for both of its bars.
+    tokens = rows.select("raw").distinct().select("raw", F.struct(T.simple_name(F.col("raw")).alias("name"), T.chord_degree(F.col("raw"))["root"].alias("root")).alias("x"))
+    pairs = rows.where("next is not null").select("raw", "next").distinct().join(tokens, "raw").join(tokens.select(F.col("raw").alias("next"), F.col("x").alias("y")), "next")
+    pairs = pairs.select("raw", "next", T.transition_score(F.col("x"), F.col("y")).alias("after"))
+    rows = rows.join(pairs, ["raw", "next"], "left").withColumn("before", F.lag("after").over(w))
+    n = F.col("before").isNotNull().cast("int") + F.col("after").isNotNull().cast("int")
+    mean = F.bround((F.coalesce("before", F.lit(0.0)) + F.coalesce("after", F.lit(0.0))) / n, 3)
+    return rows.select("chart", "bar", "raw", "prev", "next", F.when(n > 0, mean).otherwise(0.7).alias("plausibility"))
 
 
 RUNS = """
