@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tonalframe.functions import theory as T
 from tonalframe.operators import alignment as A
 from tonalframe.operators import consensus as C
+from tonalframe.operators import evaluation as E
 from tonalframe.operators import votes as V
 from tonalframe.plans.registry import query
 from tonalframe.plans.votes import vote_key
@@ -145,3 +146,20 @@ def placed_lyrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Few bytes but much work a row: as many tasks as the session deals out.
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return rows.mapInPandas(place, "conv_id long, turn long, line int, i int, start double, end double, letter string")
+
+
+@query()
+def song_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of long charts held against the charts: rows, measures, chords, beats and key changes (R1). A source's chart is read with one bar in thirteen
+    missing, one chord in nine wrong, and beats of one bar in five late."""
+    rows = written(long_bars(spark, sf_dir).select("source", "bar", "n", "bp", "bs"), "long-bars")
+    each = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    name = (1 + (F.col("bp") + 5 * F.col("k")) % 7).cast("string")
+    place = [F.col("source").alias("song"), F.floor(F.col("bar") / 4).alias("row"), (F.col("bar") % 4).alias("measure")]
+    beat = 1.0 + F.col("k") * 4 / F.col("n")
+    truth = each.select(*place, "k", F.when((F.col("bs") + F.col("k")) % 23 == 0, "?").otherwise(name).alias("raw"), beat.alias("beat"))
+    seen = each.where("(source + bar) % 13 <> 5")
+    read = seen.select(*place, "k", F.when((F.col("bp") + F.col("k")) % 9 == 4, F.concat(name, F.lit("m"))).otherwise(name).alias("raw"), (beat + F.when(F.col("bs") % 5 == 0, 0.75).when(F.col("bs") % 5 == 1, 0.25).otherwise(0.0)).alias("beat"))
+    changes = rows.where("bp % 29 = 3").select(F.col("source").alias("song"), F.col("bar").alias("measure"), (1 + F.col("bs") % 3).cast("int").alias("semitones"))
+    read_changes = changes.where("measure % 5 <> 1").withColumn("measure", F.col("measure") + F.col("measure") % 4)
+    return E.song_scores(rows.select(*place), seen.select(*place).distinct(), truth, read, changes, read_changes)
