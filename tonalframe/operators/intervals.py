@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonalframe.operators.windows import by_parts
+
 
 def bucketed(rows: DataFrame, start: Column, end: Column, width: int, name: str) -> DataFrame:
     """A row for each bucket that [start, end] touches."""
@@ -24,13 +26,12 @@ def overlaps(left: DataFrame, right: DataFrame, key: list[str], width: int, pad:
     return met.where((F.col("start") - pad < F.col("r_end")) & (F.col("r_start") < F.col("end") + pad)).drop("_bucket", "_a_first", "_b_first")
 
 
-def as_of(points: DataFrame, states: DataFrame, key: list[str], at: str, value: str, tie: str) -> DataFrame:
-    """points with `value` of the last state at or before them: one sort of both, no pairs."""
+def as_of(points: DataFrame, states: DataFrame, key: list[str], at: str, value: str, tie: str, width: int) -> DataFrame:
+    """points with `value` of the last state at or before them: one sort of both, no pairs. Stretches of `width` are worked on apart (see windows.by_parts)."""
     both = points.withColumn("_s", F.lit(1)).withColumn("_v", F.lit(None).cast(states.schema[value].dataType))
     other = states.select(*key, F.col(at), F.col(tie), F.lit(0).alias("_s"), F.col(value).alias("_v"))
-    rows = both.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy(at, "_s", tie)
-    return rows.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_s = 1").drop("_s", "_v")
+    rows = by_parts(both.unionByName(other, allowMissingColumns=True), key, [at, "_s", tie], F.floor(F.col(at) / width), "last", F.col("_v"), value)
+    return rows.where("_s = 1").drop("_s", "_v")
 
 
 def near(truth: DataFrame, found: DataFrame, key: list[str], at: str, reach: int) -> DataFrame:

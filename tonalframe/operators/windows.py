@@ -23,6 +23,28 @@ def carried(rows: DataFrame, value: str, key: list[str], order: list[str], defau
     return rows.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(default)))
 
 
+def by_parts(rows: DataFrame, key: list[str], order: list[str], part: Column, kind: str, value: Column, name: str, own: bool = True) -> DataFrame:
+    """`rows` with `name`: the last (of those that are not null), the largest or the sum of `value` over a key's rows up to each row, itself included if `own`.
+
+    `part` cuts the order of a key into stretches and never falls along it. Stretches are worked on apart, each a window of its own; what came before a stretch is carried over from one row for each, so a
+    key with a great many rows is spread over tasks."""
+    before = (Window.unboundedPreceding, 0 if own else -1)
+    within = Window.partitionBy(*key, "_part").orderBy(*order).rowsBetween(*before)
+    across = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_part", part).withColumn("_value", value)
+    at = F.when(F.col("_value").isNotNull(), F.struct(*order))
+    ends = rows.groupBy(*key, "_part").agg({"last": F.max_by("_value", at), "max": F.max("_value"), "sum": F.sum("_value")}[kind].alias("_end"))
+    carry = {"last": F.last("_end", ignorenulls=True), "max": F.max("_end"), "sum": F.sum("_end")}[kind].over(across)
+    ends = ends.withColumn("_carry", carry).drop("_end")
+    here = {"last": F.last("_value", ignorenulls=True), "max": F.max("_value"), "sum": F.sum("_value")}[kind].over(within)
+    found = rows.withColumn("_here", here).join(ends, [*key, "_part"])
+    if kind == "sum":
+        total = F.coalesce("_here", F.lit(0)) + F.coalesce("_carry", F.lit(0))
+    else:
+        total = F.coalesce("_here", "_carry") if kind == "last" else F.greatest("_here", "_carry")
+    return found.withColumn(name, total).drop("_part", "_value", "_here", "_carry")
+
+
 def islands(rows: DataFrame, label: str, key: list[str], order: str) -> DataFrame:
     """Runs of equal labels: key, island (from 1), label, first, last, n."""
     w = Window.partitionBy(*key).orderBy(order)
@@ -31,19 +53,18 @@ def islands(rows: DataFrame, label: str, key: list[str], order: str) -> DataFram
     return marked.groupBy(*key, "island").agg(F.first(label).alias(label), F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def gap_clusters(rows: DataFrame, key: list[str], at: str, most: int, tie: str) -> DataFrame:
-    """Clusters of values that lie at most `most` after the one before: key, cluster (from 1), first, last, n."""
-    w = Window.partitionBy(*key).orderBy(at, tie)
-    new = F.when(F.col(at) - F.lag(at).over(w) <= most, 0).otherwise(1)
-    marked = rows.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w))
+def gap_clusters(rows: DataFrame, key: list[str], at: str, most: int, tie: str, part: Column) -> DataFrame:
+    """Clusters of values that lie at most `most` after the one before: key, cluster (from 1), first, last, n. `part` cuts a key's order into stretches (see by_parts)."""
+    rows = by_parts(rows, key, [at, tie], part, "max", F.col(at), "_before", own=False)
+    new = F.when(F.col(at) - F.col("_before") <= most, 0).otherwise(1)
+    marked = by_parts(rows, key, [at, tie], part, "sum", new, "cluster")
     return marked.groupBy(*key, "cluster").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def hysteresis(rows: DataFrame, key: list[str], order: list[str], on: Column, off: Column, name: str = "open") -> DataFrame:
-    """A gate that opens where `on` holds, closes where `off` holds and otherwise stays; closed at first."""
-    mark = F.when(on, True).when(off, False)
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_mark", mark).withColumn(name, F.coalesce(F.last("_mark", ignorenulls=True).over(w), F.lit(False))).drop("_mark")
+def hysteresis(rows: DataFrame, key: list[str], order: list[str], on: Column, off: Column, part: Column, name: str = "open") -> DataFrame:
+    """A gate that opens where `on` holds, closes where `off` holds and otherwise stays; closed at first. `part` cuts a key's order into stretches (see by_parts)."""
+    found = by_parts(rows, key, order, part, "last", F.when(on, True).when(off, False), name)
+    return found.withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def bridged(rows: DataFrame, key: list[str], order: str, value: str, longest: int, jump: float, edge: int = 0) -> DataFrame:
@@ -70,10 +91,9 @@ def numbered_sections(runs: DataFrame, key: list[str], role: str, order: str, le
     return runs.withColumn("section_id", name)
 
 
-def monotonic(rows: DataFrame, key: list[str], order: list[str], at: str) -> DataFrame:
-    """Rows that do not fall behind an earlier row; those kept are the running maxima."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_top", F.max(at).over(w)).where(F.col("_top").isNull() | (F.col(at) >= F.col("_top"))).drop("_top")
+def monotonic(rows: DataFrame, key: list[str], order: list[str], at: str, part: Column) -> DataFrame:
+    """Rows that do not fall behind an earlier row; those kept are the running maxima. `part` cuts a key's order into stretches (see by_parts)."""
+    return by_parts(rows, key, order, part, "max", F.col(at), "_top", own=False).where(F.col("_top").isNull() | (F.col(at) >= F.col("_top"))).drop("_top")
 
 
 def first_of(rows: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -50,7 +50,7 @@ def asof_chord(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shims.notes(spark, sf_dir)
     points = rows.where("kind <> 'click'").select("series", "id", "start")
     states = rows.where("kind = 'click'").select("series", "id", "start", F.col("midi").alias("chord"))
-    return I.as_of(points, states, ["series"], "start", "chord", "id").select("series", "id", "chord")
+    return I.as_of(points, states, ["series"], "start", "chord", "id", 30 * DAY).select("series", "id", "chord")
 
 
 @query(shims.with_shims("""

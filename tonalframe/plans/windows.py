@@ -92,20 +92,25 @@ def section_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.numbered_sections(runs, ["song"], "label", "first", {"verse": "A", "chorus": "B"}).select("song", "first", "last", "label", "section_id")
 
 
+def month():
+    """Stretches of a player's time."""
+    return F.floor(F.col("start") / 2_592_000_000_000)
+
+
 @query(shims.with_shims("""
 SELECT series, CAST(cluster AS BIGINT) AS cluster, min(start) AS first, max(start) AS last, count(*) AS n FROM (
   SELECT series, start, sum(new) OVER (PARTITION BY series ORDER BY start, id) AS cluster FROM (
     SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY series ORDER BY start, id) <= 21600000000 THEN 0 ELSE 1 END AS new FROM notes)) GROUP BY series, cluster""", notes=shims.NOTES))
 def note_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of onsets by the gap to the one before."""
-    return W.gap_clusters(shims.notes(spark, sf_dir), ["series"], "start", 21_600_000_000, "id")
+    return W.gap_clusters(shims.notes(spark, sf_dir), ["series"], "start", 21_600_000_000, "id", month())
 
 
 @query(shims.with_shims("""
 SELECT series, id, coalesce(last_value(CASE WHEN value > 60 THEN true WHEN value < 20 THEN false END IGNORE NULLS) OVER (PARTITION BY series ORDER BY start, id), false) AS open FROM notes""", notes=shims.NOTES))
 def hysteresis_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A gate with two thresholds."""
-    rows = W.hysteresis(shims.notes(spark, sf_dir), ["series"], ["start", "id"], F.col("value") > 60, F.col("value") < 20)
+    rows = W.hysteresis(shims.notes(spark, sf_dir), ["series"], ["start", "id"], F.col("value") > 60, F.col("value") < 20, month())
     return rows.select("series", "id", "open")
 
 
@@ -153,7 +158,7 @@ def local_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT series, id, midi FROM (SELECT *, max(midi) OVER (PARTITION BY series ORDER BY start, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM notes) WHERE top IS NULL OR midi >= top""", notes=shims.NOTES))
 def monotonic_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that do not fall behind an earlier one."""
-    return W.monotonic(shims.notes(spark, sf_dir), ["series"], ["start", "id"], "midi").select("series", "id", "midi")
+    return W.monotonic(shims.notes(spark, sf_dir), ["series"], ["start", "id"], "midi", month()).select("series", "id", "midi")
 
 
 @query(shims.with_shims("""
