@@ -82,7 +82,7 @@ class Encoder:
             return out
         lists = pc.split_pattern(pa.array([texts[i] for i in mine], pa.large_string()), " ")
         found = lists.flatten().dictionary_encode()
-        at, names = found.indices.to_numpy().copy(), found.dictionary.to_pylist()
+        at, names = found.indices.to_numpy().copy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
         bounds = lists.offsets.to_numpy()
         first = bounds[:-1]
         # A first unit has no space before it, so it is another one than the same letters later on.
