@@ -111,11 +111,13 @@ class Encoder:
             known, older = {}, known
             self.units[which] = known, older
         out = list(map(known.get, units))
-        old = [(x, v) for x, v in zip(units, out, strict=True) if v is None and x in older]
-        if old:
-            known.update((x, older[x]) for x, _ in old)
-            out = list(map(known.get, units))
         new = [i for i, x in enumerate(out) if x is None]
+        if older:
+            again = list(map(older.get, [units[i] for i in new]))
+            for i, x in zip(new, again, strict=True):
+                if x is not None:
+                    out[i] = known[units[i]] = x
+            new = [i for i, x in zip(new, again, strict=True) if x is None]
         plain = [i for i in new if self.is_word(before + units[i])]
         for i in plain:
             out[i] = self.merged(before + units[i])
