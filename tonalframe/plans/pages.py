@@ -66,12 +66,12 @@ SELECT chart, bar, m AS pitches, CAST(CASE len(m) WHEN 1 THEN [1] WHEN 2 THEN CA
     WHEN 3 THEN CASE WHEN a <= 2 THEN CASE WHEN b >= 4 THEN [1, 2, 5] ELSE [1, 2, 4] END WHEN b <= 2 THEN CASE WHEN a >= 4 THEN [1, 3, 5] ELSE [1, 2, 4] END WHEN b <= 4 THEN [1, 3, 5] WHEN a <= 4 OR b > a THEN [1, 2, 5] ELSE [1, 3, 5] END
     WHEN 4 THEN CASE WHEN a > m[4] - m[3] THEN [1, 2, 4, 5] ELSE [1, 2, 3, 5] END ELSE [1, 2, 3, 4, 5] END AS INTEGER[]) AS right_hand,
   CAST(CASE len(m) WHEN 1 THEN [5] WHEN 2 THEN CASE WHEN z >= 8 THEN [5, 1] WHEN z >= 5 THEN [5, 2] ELSE [5, 3] END WHEN 3 THEN CASE WHEN z BETWEEN 11 AND 13 THEN [5, 2, 1] ELSE [5, 3, 1] END WHEN 4 THEN [5, 4, 2, 1] ELSE [5, 4, 3, 2, 1] END AS INTEGER[]) AS left_hand
-FROM (SELECT *, m[2] - m[1] AS a, m[3] - m[2] AS b, m[-1] - m[1] AS z FROM pitches) WHERE len(m) <= 5""", chords=shims.CHORDS, pitches=PITCHES))
+FROM (SELECT *, m[2] - m[1] AS a, m[3] - m[2] AS b, m[-1] - m[1] AS z FROM pitches)""", chords=shims.CHORDS, pitches=PITCHES))
 def chord_fingers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingers of block chords in either hand."""
+    """Fingers of block chords in either hand (N5); a hand has five."""
     p, s = F.col("p"), F.col("s")
     pitches = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), p % 6), lambda k: 60 + (s + k * (2 + p % 4)) % 19)))
-    rows = shims.chords(spark, sf_dir).select("chart", "bar", pitches.alias("pitches")).where(F.size("pitches") <= 5)
+    rows = shims.chords(spark, sf_dir).select("chart", "bar", pitches.alias("pitches"))
     return rows.withColumn("right_hand", H.right_hand(F.col("pitches"))).withColumn("left_hand", H.left_hand(F.col("pitches")))
 
 
