@@ -215,10 +215,10 @@ def full_key(chords: DataFrame, notes: DataFrame | None = None, stable: float =
         end = lambda c, gain: F.when((F.pmod(F.col(c)["root"], F.lit(12)) == tonic) & ~F.col(c)["minor"], gain).otherwise(0.0)
         return fit + 0.40 * share(at_home) + end("head", 0.15) + end("tail", 0.20) - 1.25 * share(timed(wrong))
 
-    keys = F.array(*[F.struct(F.bround(score(t), 9).alias("score"), F.lit(-t).alias("o"), F.lit(t).alias("tonic")) for t in range(12)])
+    keys = F.array(*[F.struct(F.bround(score(t), 9).alias("score"), F.lit(-t).alias("o"), F.lit(t).alias("tonic"), score(t).alias("raw")) for t in range(12)])
     best = F.array_max(keys)
     some = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) >= 1e-4
-    return rows.select("series", F.when(some, best["tonic"]).otherwise(0).alias("tonic"), F.when(some, best["score"]).alias("score"))
+    return rows.select("series", F.when(some, best["tonic"]).otherwise(0).alias("tonic"), F.when(some, best["raw"]).alias("score"))
 
 
 def labelled(path: DataFrame, sevenths: DataFrame) -> DataFrame:
