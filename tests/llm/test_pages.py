@@ -94,3 +94,68 @@ def test_long_pages_take_linear_time():
     assert len(text_of("<article>" + "<p>word</p>" * 100_000 + "</article>")) == 500_000 - 1
     text_of("<" * 500_000 + '<p a="' * 100_000)
     assert time.time() - began < 20
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_text.main_text(df).orderBy("page_id").collect()]
+
+
+def test_marked_articles_meet_their_neighbours(spark):
+    own = [f"Story {i} begins with words of its own and goes on for a while about number {i * i}" for i in range(12)]
+    quote = "A quotation that five neighbouring articles repeat"
+    pages = [
+        (
+            f"http://n.org/a/{i:02d}",
+            f"<nav>Home {i}</nav><div class='ad'>Buy {i}</div><article><h1>Title {i}</h1><div class='k7'>Read our paper every day for less</div><p>{x}</p>"
+            f"{f'<p>{quote}</p>' if i < 5 else ''}<p>Last words {i}</p><p>All this may be printed anew</p></article><footer>House {i}</footer>",
+        )
+        for i, x in enumerate(own)
+    ]
+    want = [f"Title {i} {x}{f' {quote}' if i < 5 else ''} Last words {i}" for i, x in enumerate(own)]
+    assert texts_of(spark, pages) == want
+
+
+def test_copies_of_marked_articles_stay(spark):
+    body = [f"<p>Paragraph {k} of an article that stands at many addresses of its host</p>" for k in range(6)]
+    pages = [(f"http://c.org/{i}", f"<article>{''.join(body)}<p>seen {i}</p></article>") for i in range(8)]
+    assert [t.count("Paragraph") for t in texts_of(spark, pages)] == [6] * 8
+
+
+def test_a_word_among_others_is_no_verdict(spark):
+    body = "This page tells a long story in words that no other page of the host has, number"
+    section = lambda i: f"<section id='related-work'>Others wrote about {i} before</section>"
+    slot = lambda i: f"<div class='ad-q7x'>Offer {i}</div>"
+    pages = [(f"http://w.org/{i}", f"<main><p>{body} {i}</p>{section(i)}{slot(i)}<div class='related-q9x'>More from us</div></main>") for i in range(3)]
+    pages += [("http://lone.org/", f"<main><p>{body}</p>{section(9)}{slot(9)}<div class='related-posts'>one two</div></main>")]
+    assert texts_of(spark, pages) == [*(f"{body} {i} Others wrote about {i} before" for i in range(3)), f"{body} Others wrote about 9 before"]
+
+
+def test_pages_on_both_sides_of_a_border(spark):
+    key, rng = "spark.sql.adaptive.coalescePartitions.enabled", random.Random(8)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")  # else so few pages come to one partition
+    try:
+        for count in (1, 2, 5, 7, 60):
+            pages = []
+            for i in range(count):
+                lines = [f"{c} of {i // rng.randint(1, 4)}" for c in "abcdefgh" if rng.random() < 0.8] or ["none"]
+                pages.append((i, f"http://b.org/{i:03d}", lines))
+            got = texts_of(spark, [(u, "".join(f"<div>{x}</div>" for x in lines)) for _, u, lines in pages])
+            want = brute(pages)
+            assert got == [want[i] for i in range(count)]
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_subsequences_of_many_matches():
+    rng = random.Random(3)
+    for bound in (0, 4, 1 << 18):
+        for _ in range(200):
+            a, b = ([rng.randint(0, 3) for _ in range(rng.randint(0, 30))] for _ in range(2))
+            got = html_text.matched(a, b, bound)
+            assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+            assert len(got) == len(longest(a, b))
+    began = time.time()
+    a, b = ([rng.randint(0, 3) for _ in range(20_000)] for _ in range(2))
+    assert len(html_text.matched(a, b)) > 10_000 and time.time() - began < 60
