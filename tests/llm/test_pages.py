@@ -159,3 +159,12 @@ def test_subsequences_of_many_matches():
     began = time.time()
     a, b = ([rng.randint(0, 3) for _ in range(20_000)] for _ in range(2))
     assert len(html_text.matched(a, b)) > 10_000 and time.time() - began < 60
+
+
+def test_long_pages_that_share_half_their_blocks(spark):
+    shared = [f"shared {k}" for k in range(60_000)]
+    own = [[f"page {i} says {k}" for k in range(60_000)] for i in range(2)]
+    pages = [(f"http://l.org/{i}", "".join(f"<div>{x}<div>{y}</div></div>" for x, y in zip(shared, own[i], strict=True))) for i in range(2)]
+    began = time.time()
+    assert texts_of(spark, pages) == [" ".join(x) for x in own]
+    assert time.time() - began < 60

@@ -501,7 +501,10 @@ def main_text(pages: DataFrame, reach: int = 2, copy_share: float = 0.5, agree:
     both = found.where("size(gone) > 0").select("host", "sig", "gone").unionByName(by_host)
     gone = written(both.groupBy("host", "sig").agg(F.flatten(F.collect_list("gone")).alias("gone")), "page-deletions")
 
-    stay = F.filter("blocks", lambda x, i: F.col("gone").isNull() | ~F.array_contains("gone", i))
-    # Written first, so that its size is known: where little is deleted, no text is shuffled.
+    # Few places that go are sent to all tasks, and no text is shuffled; many meet their pages in a shuffle.
+    few = gone.agg(F.sum(F.size("gone") + 8)).first()[0] or 0
+    gone = F.broadcast(gone) if few < 4_000_000 else gone.hint("merge")
+    left = F.array_except(F.sequence(F.lit(0), F.size("blocks") - 1), "gone")
+    stay = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.transform(left, lambda i: F.get("blocks", i)))
     mended = parsed.select("id", "url", "host", "sig", "blocks").join(gone, ["host", "sig"], "left").select("id", "url", F.array_join(stay, " ").alias("text"))
     return mended.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
