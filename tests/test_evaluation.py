@@ -69,3 +69,11 @@ def test_song_scores(spark):
     assert set(got) == set(songs)
     for song, x in songs.items():
         assert got[song] == pytest.approx(plain(*x), abs=6e-4), song
+
+
+def test_song_scores_shuffles_once_by_row_and_once_by_song(spark, data):
+    """Each shuffle is a stage whose plan and code the driver holds: rows of songs, songs, their key changes, and the result's join at most."""
+    from tonalframe.plans import registry
+
+    plan = registry.queries()["song_scores"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert 2 <= plan.count("Exchange ") <= 4

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonalframe.operators.intervals import one_to_one
 from tonalframe.operators.sequences import lcs_length
 
 PLACE = ["song", "row", "measure"]
@@ -31,31 +30,38 @@ def song_scores(measures: DataFrame, read_measures: DataFrame, chords: DataFrame
 
     Measures are (song, row, measure), chords (song, row, measure, k, raw, beat) in their order k, changes (song, measure: from the song's start, semitones). Chords of the truth read "?" do not
     count. Chords are matched one to one by measure and name, in order; a measure is strict if its lists are equal; sequence is the longest common subsequence of each row."""
-    rows = measures.groupBy("song", "row").agg(F.count(F.lit(1)).alias("n"))
-    read_rows = read_measures.groupBy("song", "row").agg(F.count(F.lit(1)).alias("m"))
-    known = chords.where("raw <> '?'")
-    of = lambda df, by, name: df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("measure", "k", "raw"))), lambda x: x["raw"]).alias(name))
-
-    by_row = rows.join(read_rows, ["song", "row"], "left").join(of(known, ["song", "row"], "a"), ["song", "row"], "left").join(of(read_chords, ["song", "row"], "b"), ["song", "row"], "left")
-    none = F.array().cast("array<string>")
-    a, b = F.coalesce("a", none), F.coalesce("b", none)
-    by_row = by_row.groupBy("song").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("n") == F.col("m")).alias("like"), F.sum(lcs_length(a, b)).alias("lcs"))
-    read_count = read_rows.groupBy("song").agg(F.count(F.lit(1)).alias("read_rows"))
-
-    both = measures.join(read_measures.withColumn("there", F.lit(True)), PLACE, "left").join(of(known, PLACE, "a"), PLACE, "left").join(of(read_chords, PLACE, "b"), PLACE, "left")
-    strict = both.groupBy("song").agg(F.count(F.lit(1)).alias("measures"), F.count_if(F.col("there").isNotNull() & (a == b)).alias("strict"))
-
-    met = one_to_one(known.select(*PLACE, "raw", "k", F.col("beat").alias("beat_a")), read_chords.select(*PLACE, "raw", F.col("k").alias("k_b"), F.col("beat").alias("beat_b")), [*PLACE, "raw"], "k", "k_b")
-    off = F.abs(F.col("beat_a") - F.col("beat_b"))
-    met = met.groupBy("song").agg(F.count(F.lit(1)).alias("met"), F.count_if(off <= 0.5).alias("near"), F.count_if(off < 1e-4).alias("same"))
-    count = lambda df, name: df.groupBy("song").agg(F.count(F.lit(1)).alias(name))
-    listed = lambda df, name: df.groupBy("song").agg(F.array_sort(F.collect_list(F.struct("measure", "semitones"))).alias(name))
-
-    found = by_row
-    for part in (read_count, strict, met, count(known, "truth"), count(read_chords, "read"), listed(changes, "x"), listed(read_changes, "y")):
-        found = found.join(part, "song", "left")
-    found = found.fillna(0)
     c = F.col
+    none = F.lit(None)
+    spots = lambda df, side: df.select(*PLACE, F.lit(side).alias("_side"), F.lit(False).alias("_chord"), none.cast("string").alias("raw"), none.cast("int").alias("k"), none.cast("double").alias("beat"))
+    notes = lambda df, side: df.select(*PLACE, F.lit(side).alias("_side"), F.lit(True).alias("_chord"), "raw", "k", "beat")
+    # Measures and chords of both sides are dealt by rows of songs once; all that follows works on what lies together.
+    listed = spots(measures, 0).unionByName(spots(read_measures, 1)).unionByName(notes(chords.where("raw <> '?'"), 0)).unionByName(notes(read_chords, 1)).repartition("song", "row")
+    same_thing = [*PLACE, "_chord", "raw"]
+    nth = F.row_number().over(Window.partitionBy(*same_thing, "_side").orderBy("k", "beat"))
+    true, seen = c("_side") == 0, c("_side") == 1
+    both = listed.withColumn("_n", nth).groupBy(*same_thing, "_n").agg(
+        F.count_if(true).alias("a"), F.count_if(seen).alias("b"), F.max(F.when(true, c("k"))).alias("k_a"), F.max(F.when(seen, c("k"))).alias("k_b"),
+        F.max(F.when(true, c("beat"))).alias("beat_a"), F.max(F.when(seen, c("beat"))).alias("beat_b"),
+    )
+    a, b, chord, off = c("a") > 0, c("b") > 0, c("_chord"), F.abs(c("beat_a") - c("beat_b"))
+    chosen = lambda when, *columns: F.array_sort(F.collect_list(F.when(when, F.struct("measure", *columns))))
+    by_row = both.groupBy("song", "row").agg(
+        F.count_if(~chord & a).alias("n"), F.count_if(~chord & b).alias("m"), F.count_if(chord & a).alias("truth"), F.count_if(chord & b).alias("read"), F.count_if(chord & a & b).alias("met"),
+        F.count_if(chord & a & b & (off <= 0.5)).alias("near"), F.count_if(chord & a & b & (off < 1e-4)).alias("same"),
+        chosen(~chord & a & b).alias("spots"), chosen(chord & a, c("k_a").alias("k"), "raw").alias("x"), chosen(chord & b, c("k_b").alias("k"), "raw").alias("y"),
+    )
+    names = lambda x: F.transform(x, lambda e: e["raw"])
+    inside = lambda x, spot: names(F.filter(x, lambda e: e["measure"] == spot["measure"]))
+    strict = F.size(F.filter("spots", lambda spot: inside(c("x"), spot) == inside(c("y"), spot)))
+    by_row = by_row.select("song", "n", "m", "truth", "read", "met", "near", "same", strict.alias("strict"), F.when(c("n") > 0, lcs_length(names(c("x")), names(c("y")))).alias("lcs"))
+    found = by_row.groupBy("song").agg(
+        F.count_if(c("n") > 0).alias("rows"), F.count_if(c("m") > 0).alias("read_rows"), F.count_if((c("n") > 0) & (c("n") == c("m"))).alias("like"), F.sum("n").alias("measures"),
+        *(F.sum(name).alias(name) for name in ("truth", "read", "met", "near", "same", "strict", "lcs")),
+    ).where("rows > 0")
+
+    turns = lambda df, side: df.select("song", F.lit(side).alias("_side"), F.struct("measure", "semitones").alias("_turn"))
+    turned = lambda when: F.array_sort(F.collect_list(F.when(when, c("_turn"))))
+    found = found.join(turns(changes, 0).unionByName(turns(read_changes, 1)).groupBy("song").agg(turned(true).alias("x"), turned(seen).alias("y")), "song", "left")
     x, y = (F.coalesce(n, F.array().cast("array<struct<measure:bigint,semitones:int>>")) for n in ("x", "y"))
     keys = F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(changes_met(x, y) / F.greatest(F.size(x), F.size(y)))
     return found.select(

@@ -158,8 +158,9 @@ def song_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = [F.col("source").alias("song"), F.floor(F.col("bar") / 4).alias("row"), (F.col("bar") % 4).alias("measure")]
     beat = 1.0 + F.col("k") * 4 / F.col("n")
     truth = each.select(*place, "k", F.when((F.col("bs") + F.col("k")) % 23 == 0, "?").otherwise(name).alias("raw"), beat.alias("beat"))
-    seen = each.where("(source + bar) % 13 <> 5")
+    heard = "(source + bar) % 13 <> 5"
+    seen = each.where(heard)
     read = seen.select(*place, "k", F.when((F.col("bp") + F.col("k")) % 9 == 4, F.concat(name, F.lit("m"))).otherwise(name).alias("raw"), (beat + F.when(F.col("bs") % 5 == 0, 0.75).when(F.col("bs") % 5 == 1, 0.25).otherwise(0.0)).alias("beat"))
     changes = rows.where("bp % 29 = 3").select(F.col("source").alias("song"), F.col("bar").alias("measure"), (1 + F.col("bs") % 3).cast("int").alias("semitones"))
     read_changes = changes.where("measure % 5 <> 1").withColumn("measure", F.col("measure") + F.col("measure") % 4)
-    return E.song_scores(rows.select(*place), seen.select(*place).distinct(), truth, read, changes, read_changes)
+    return E.song_scores(rows.select(*place), rows.where(heard).select(*place), truth, read, changes, read_changes)
