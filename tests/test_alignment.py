@@ -1,7 +1,10 @@
 """Batch alignment and what is drawn from it, against plain versions cell by cell."""
 
 import random
+import time
+import tracemalloc
 from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pytest
@@ -180,3 +183,109 @@ def test_placed_letters():
         text = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 12)))
         got = A.placed(draft, text, 0.0, 3.0, [round(rng.random() * 3, 2) for _ in range(rng.randint(0, 9))])
         assert "".join(c for _, _, c in got) == text and all(e > s for s, e, _ in got) and all(a[0] <= b[0] for a, b in zip(got, got[1:], strict=False))
+
+
+def plain_placed(draft, text, start, end, onsets):
+    """placed, letter by letter."""
+    n = len(text)
+    if not n:
+        return []
+    times = [None] * n
+    if draft:
+        s = np.where(np.array([d[2] for d in draft])[:, None] == np.array(list(text))[None], 2.0, -1.0)[None]
+        for i, j in zip(*A.best_pairs(s, np.array([len(draft)]), np.array([n]), -1.0, "left")[2:], strict=True):
+            if i >= 0 and j >= 0:
+                times[j] = [draft[i][0], draft[i][1]]
+    gaps = np.flatnonzero(np.diff([0, *(t is None for t in times), 0]))
+    for a, b in gaps.reshape(-1, 2).tolist():
+        plain_fill(times, a, b, start, end, sorted(onsets), bool(draft))
+    out = []
+    for (s, e), letter in zip(times, text, strict=True):
+        e = e if e > s else round(s + 0.05, 2)
+        if out and s < out[-1][0]:
+            s = out[-1][0]
+            e = max(e, round(s + 0.05, 2))
+        out.append((round(s, 2), round(e, 2), letter))
+    return out
+
+
+def plain_fill(times, a, b, start, end, onsets, anchored):
+    k, n = b - a, len(times)
+    if not anchored:
+        each = max(0.05, (end - start) / n)
+        near = [t for t in onsets if start - 0.1 <= t <= end + 0.1]
+        if len(near) >= n:
+            stops = [*near[1:n], end]
+            times[:] = [[round(s, 2), round(e if e > s else s + each, 2)] for s, e in zip(near[:n], stops, strict=True)]
+        else:
+            times[:] = [[round(start + i * each, 2), round(min(end, start + i * each + each), 2)] for i in range(n)]
+        return
+    left, right = start if a == 0 else times[a - 1][1], end if b == n else times[b][0]
+    if right <= left:  # no room: the neighbours give some of theirs
+        if a:
+            s, e = times[a - 1]
+            left = s + 0.6 * max(0.05, e - s)
+            times[a - 1][1] = round(left, 2)
+        if b < n:
+            s, e = times[b]
+            right = s + 0.4 * max(0.05, e - s)
+            times[b][0] = round(right, 2)
+    near = [t for t in onsets if left - 0.05 <= t <= right + 0.05]
+    if len(near) >= k:
+        for i, (t, after) in enumerate(pairwise([*near[:k], right])):
+            s = max(left, t)
+            e = after if after > s else s + (right - s) / (k - i)
+            times[a + i] = [round(s, 2), round(max(s + 0.04, e), 2)]
+    else:
+        step = max(0.05 * k, right - left) / k
+        times[a:b] = [[round(left + i * step, 2), round(left + (i + 1) * step, 2)] for i in range(k)]
+
+
+def lines_of(rng, count, size):
+    for _ in range(count):
+        text = "".join(rng.choice("abcdé𝒳語"[: rng.randint(2, 7)]) for _ in range(rng.randint(0, size)))
+        x, draft, digits, steady = rng.random(), [], rng.choice([1, 2, 3, 6]), rng.random() < 0.8
+        for c in text + "zz":
+            if rng.random() < 0.75:
+                draft.append((round(x, digits), round(x + rng.choice([-0.1, 0, 0.05, 0.18, 0.25, 0.5]), digits), c if rng.random() < 0.8 else "?"))
+                x += rng.choice([0, 0.05, 0.125, 0.2, 0.3, 1, 1.005]) if steady else rng.uniform(-1, 1)
+        start = rng.choice([0.0, 10.0, x, round(rng.uniform(-3, 3), 3)])
+        end = start + rng.choice([0.2 * len(text), 0.0, -1, 3.0, 0.125])
+        yield draft if rng.random() < 0.85 else [], text, start, end, sorted(round(start + rng.uniform(-0.5, 6), digits) for _ in range(rng.randint(0, 30)))
+
+
+def side_by_side(lines):
+    flat = lambda part, k: np.array([x[k] for line in lines for x in line[part]], float)
+    sizes = lambda part: np.array([len(line[part]) for line in lines])
+    heard = A.code_points("".join(d[2] for line in lines for d in line[0]))
+    starts, ends = (np.array([line[k] for line in lines], float) for k in (2, 3))
+    return A.code_points("".join(line[1] for line in lines)), sizes(1), heard, sizes(0), flat(0, 0), flat(0, 1), starts, ends, np.array([t for line in lines for t in line[4]], float), sizes(4)
+
+
+@pytest.mark.parametrize("cells", [1, 200, 16_000_000])
+def test_placed_lines_as_letter_by_letter(cells):
+    """Many lines at once, in tables of any size: tables beyond `cells` are filled a few rows at a time."""
+    lines = list(lines_of(random.Random(cells), 1500, 25))
+    s, e = A.placed_lines(*side_by_side(lines), cells)
+    want = [x for line in lines for x in plain_placed(*line)]
+    assert list(zip(s.tolist(), e.tolist(), "".join(line[1] for line in lines), strict=True)) == want
+
+
+def test_placed_lines_take_a_share_of_the_time():
+    lines = list(lines_of(random.Random(1), 3000, 80))
+    given, began = side_by_side(lines), time.process_time()
+    A.placed_lines(*given)
+    together, began = time.process_time() - began, time.process_time()
+    for line in lines[::10]:
+        plain_placed(*line)
+    assert together < time.process_time() - began  # of a tenth of the lines
+
+
+def test_long_line_in_bounded_memory():
+    n = 6000
+    heard, letters = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+    tracemalloc.start()
+    met = A.letters_met(letters, np.array([n]), heard, np.array([n]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert met.tolist() == list(range(n)) and peak < 120e6  # the whole table has 36 million cells

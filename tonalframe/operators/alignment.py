@@ -7,7 +7,7 @@ cell j from the left is a running maximum of (value - j * g). Going back takes o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -176,59 +176,170 @@ def star_votes(bars: DataFrame, chosen: DataFrame, song: str, source: str, bar:
     return voted.unionByName(ref.select(song, F.col(bar).alias("ref_bar"), source, bar))
 
 
-def placed(draft: list[tuple[float, float, str]], text: str, start: float, end: float, onsets: list[float]) -> list[tuple[float, float, str]]:
-    """The letters of a corrected line with times: (start, end, letter). Letters that meet one of the draft, equal or not, take its time (match 2, mismatch and gap -1,
-    going back: pair, then a letter alone); the others share the time between their neighbours, by onsets where there are enough."""
-    n = len(text)
-    if not n:
-        return []
-    times: list[list[float] | None] = [None] * n
-    if draft:
-        s = np.where(np.array([d[2] for d in draft])[:, None] == np.array(list(text))[None], 2.0, -1.0)[None]
-        for i, j in zip(*best_pairs(s, np.array([len(draft)]), np.array([n]), -1.0, "left")[2:], strict=True):
-            if i >= 0 and j >= 0:
-                times[j] = [draft[i][0], draft[i][1]]
-    gaps = np.flatnonzero(np.diff([0, *(t is None for t in times), 0]))
-    for a, b in gaps.reshape(-1, 2).tolist():
-        _fill(times, a, b, start, end, sorted(onsets), bool(draft))
-    out: list[tuple[float, float, str]] = []
-    for (s, e), letter in zip(times, text, strict=True):
-        e = e if e > s else round(s + 0.05, 2)
-        if out and s < out[-1][0]:
-            s = out[-1][0]
-            e = max(e, round(s + 0.05, 2))
-        out.append((round(s, 2), round(e, 2), letter))
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Two decimals, each value as by round(x, 2); only what lies near the middle of two is rounded one by one."""
+    x = np.asarray(x, float)
+    hundredths = x * 100
+    out = np.rint(hundredths) / 100
+    for k in np.flatnonzero(np.abs(hundredths - np.floor(hundredths) - 0.5) < 1e-6 + 1e-15 * np.abs(hundredths)).tolist():
+        out[k] = round(float(x[k]), 2)
+    return out
+
+
+def letters_met(letters: np.ndarray, n_letters: np.ndarray, heard: np.ndarray, n_heard: np.ndarray, cells: int = 16_000_000) -> np.ndarray:
+    """For each letter, the place in `heard` of the letter that it meets, or -1. Lines lie end to end in both (n_letters and n_heard of each); each is aligned globally: match 2,
+    mismatch and gap -1, going back: pair, then a letter alone. Lines of like sizes are worked on together, a diagonal of all their tables in one array operation; `cells` bounds the
+    tables held at once."""
+    out = np.full(len(letters), -1)
+    from_letters, from_heard = np.cumsum(n_letters) - n_letters, np.cumsum(n_heard) - n_heard
+    use = np.flatnonzero((n_letters > 0) & (n_heard > 0))
+    use = use[np.lexsort((n_heard[use], n_letters[use]))]
+    meet = lambda held: _meet(out, letters, heard, *(x[held] for x in (n_letters, n_heard, from_letters, from_heard)), cells)
+    held, high, wide = [], 0, 0
+    for k in use.tolist():
+        n, m = max(high, n_heard[k]), max(wide, n_letters[k])
+        if held and (len(held) + 1) * (n + m + 1) * (n + 1) > cells:
+            meet(held)
+            held, n, m = [], n_heard[k], n_letters[k]
+        held.append(k)
+        high, wide = n, m
+    if held:
+        meet(held)
     return out
 
 
-def _fill(times: list, a: int, b: int, start: float, end: float, onsets: list[float], anchored: bool) -> None:
-    """Times for the letters a..b between what stands around them; without a draft, for all of the line."""
-    k, n = b - a, len(times)
-    if not anchored:
-        each = max(0.05, (end - start) / n)
-        near = [t for t in onsets if start - 0.1 <= t <= end + 0.1]
-        if len(near) >= n:
-            stops = [*near[1:n], end]
-            times[:] = [[round(s, 2), round(e if e > s else s + each, 2)] for s, e in zip(near[:n], stops, strict=True)]
-        else:
-            times[:] = [[round(start + i * each, 2), round(min(end, start + i * each + each), 2)] for i in range(n)]
-        return
-    left, right = start if a == 0 else times[a - 1][1], end if b == n else times[b][0]
-    if right <= left:  # no room: the neighbours give some of theirs
-        if a:
-            s, e = times[a - 1]
-            left = s + 0.6 * max(0.05, e - s)
-            times[a - 1][1] = round(left, 2)
-        if b < n:
-            s, e = times[b]
-            right = s + 0.4 * max(0.05, e - s)
-            times[b][0] = round(right, 2)
-    near = [t for t in onsets if left - 0.05 <= t <= right + 0.05]
-    if len(near) >= k:
-        for i, (t, after) in enumerate(pairwise([*near[:k], right])):
-            s = max(left, t)
-            e = after if after > s else s + (right - s) / (k - i)
-            times[a + i] = [round(s, 2), round(max(s + 0.04, e), 2)]
-    else:
-        step = max(0.05 * k, right - left) / k
-        times[a:b] = [[round(left + i * step, 2), round(left + (i + 1) * step, 2)] for i in range(k)]
+def _meet(out: np.ndarray, letters: np.ndarray, heard: np.ndarray, n_letters: np.ndarray, n_heard: np.ndarray, from_letters: np.ndarray, from_heard: np.ndarray, cells: int) -> None:
+    """Aligns some lines. A cell (i, j) of a table stands in row i + j at i, twice its value and i + j more: a gap then takes 1 from the row before, a pair adds 6 or 0 to the second before.
+    Of tables beyond `cells`, some rows are held at a time; the two before each such block are kept, and going back fills the block again."""
+    lines, n, m = len(n_letters), int(n_heard.max()), int(n_letters.max())
+    x = heard[from_heard + np.minimum(np.arange(n)[:, None], n_heard - 1)]
+    y = letters[from_letters + np.minimum(np.arange(m)[:, None], n_letters - 1)][::-1]
+    if max(x.max(), y.max()) < 1 << 16:
+        x, y = x.astype(np.uint16), y.astype(np.uint16)
+    x, y = np.ascontiguousarray(x), np.ascontiguousarray(y)
+    size = min(n + m + 1, max(cells // ((n + 1) * lines), isqrt(n + m) + 2))
+    best = np.empty((size + 2, n + 1, lines), np.int16 if 6 * (n + m) < 32_000 else np.int32)
+    blocks = range(0, n + m + 1, size)
+
+    def fill(block: int) -> None:
+        for d in range(block, min(block + size, n + m + 1)):
+            at = d - block + 2
+            if d <= m:
+                best[at, 0] = -d
+            if d <= n:
+                best[at, d] = -d
+            a, b = max(1, d - m), min(n, d - 1)
+            if a <= b:
+                pair = (x[a - 1 : b] == y[m - d + a : m - d + b + 1]).astype(best.dtype)
+                pair *= 6
+                pair += best[at - 2, a - 1 : b]
+                row = best[at, a : b + 1]
+                np.maximum(best[at - 1, a - 1 : b], best[at - 1, a : b + 1], out=row)
+                row -= 1
+                np.maximum(row, pair, out=row)
+
+    kept = {}
+    for block in blocks:
+        if block:
+            kept[block] = best[-2:].copy()
+            best[:2] = kept[block]
+        fill(block)
+    flat, xs, ys, step = best.reshape(-1), x.reshape(-1), y.reshape(-1), (n + 1) * lines
+    all_i, all_j = n_heard.astype(np.int64), n_letters.astype(np.int64)
+    for block in reversed(blocks):
+        if block != blocks[-1]:
+            best[:2] = kept.get(block, 0)
+            fill(block)
+        here_now = lambda i, j, block=block: (i > 0) & (j > 0) & (i + j >= block)
+        k = np.flatnonzero(here_now(all_i, all_j))
+        i, j = all_i[k], all_j[k]
+        while len(k):
+            at = (i + j - block + 2) * step + i * lines + k
+            here = flat[at]
+            met = here == flat[at - 2 * step - lines] + 6 * (xs[(i - 1) * lines + k] == ys[(m - j) * lines + k])
+            alone = ~met & (here == flat[at - step] - 1)
+            out[from_letters[k[met]] + j[met] - 1] = from_heard[k[met]] + i[met] - 1
+            i, j = i - ~alone, j - (met | alone)
+            more = here_now(i, j)
+            if not more.all():
+                all_i[k], all_j[k] = i, j
+                k, i, j = k[more], i[more], j[more]
+
+
+def _first(values: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray, side: str) -> np.ndarray:
+    """searchsorted of each x in its own stretch low..high of `values`."""
+    low, high = low.copy(), high.copy()
+    while (open_ := low < high).any():
+        middle = (low + high) // 2
+        v = values[np.minimum(middle, len(values) - 1)]
+        after = open_ & (v < x if side == "left" else v <= x)
+        low, high = np.where(after, middle + 1, low), np.where(open_ & ~after, middle, high)
+    return low
+
+
+def placed_lines(letters: np.ndarray, n_letters: np.ndarray, heard: np.ndarray, n_heard: np.ndarray, heard_start: np.ndarray, heard_end: np.ndarray, start: np.ndarray, end: np.ndarray, onsets: np.ndarray, n_onsets: np.ndarray, cells: int = 16_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each letter of corrected lines (code points, line after line). Letters that meet one of the draft (heard, with times), equal or not, take its time; the others share
+    the time between their neighbours, by onsets (in order) where there are enough. Without a draft, a line's letters share the line."""
+    line = np.repeat(np.arange(len(n_letters)), n_letters)
+    first, last = np.cumsum(n_letters) - n_letters, np.cumsum(n_letters)
+    met = letters_met(letters, n_letters, heard, n_heard, cells)
+    free, met = met < 0, np.maximum(met, 0)
+    onsets = np.append(onsets, 0.0)  # a place to read where a line has none
+    s, e = (x[met] if len(x) else np.zeros(len(letters)) for x in (heard_start, heard_end))
+    place = np.arange(len(letters))
+    a = np.flatnonzero(free & ((place == first[line]) | ~np.roll(free, 1)))
+    b = np.flatnonzero(free & ((place == last[line] - 1) | ~np.roll(free, -1))) + 1
+    if len(a):
+        own, anchored = line[a], (n_heard > 0)[line[a]]
+        before, behind = np.maximum(a - 1, 0), np.minimum(b, len(letters) - 1)
+        has_before, has_behind = a > first[own], b < last[own]
+        left, right = np.where(has_before, e[before], start[own]), np.where(has_behind, s[behind], end[own])
+        tight = right <= left  # no room: the neighbours give some of theirs
+        g = np.flatnonzero(tight & has_behind)
+        new = s[behind[g]] + 0.4 * np.maximum(0.05, e[behind[g]] - s[behind[g]])
+        right[g], s[behind[g]] = new, rounded(new)
+        g = np.flatnonzero(tight & has_before)
+        new = s[before[g]] + 0.6 * np.maximum(0.05, e[before[g]] - s[before[g]])
+        left[g], e[before[g]] = new, rounded(new)
+
+        reach, size = np.where(anchored, 0.05, 0.1), b - a
+        low, high = np.cumsum(n_onsets)[own] - n_onsets[own], np.cumsum(n_onsets)[own]
+        near = _first(onsets, low, high, left - reach, "left")
+        enough = _first(onsets, low, high, right + reach, "right") - near >= size
+        g = np.repeat(np.arange(len(a)), size)
+        i = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
+        s[a[g] + i], e[a[g] + i] = _shared(i, size[g], left[g], right[g], enough[g], anchored[g], onsets, near[g])
+
+    e, out = np.where(e > s, e, rounded(s + 0.05)), rounded(s)
+    late = np.flatnonzero((place > first[line]) & (out < np.roll(out, 1)))
+    for k in np.unique(line[late]).tolist():  # a start before the one before it
+        out[first[k] : last[k]] = np.maximum.accumulate(out[first[k] : last[k]])
+    moved = s < np.where(place > first[line], np.roll(out, 1), -np.inf)
+    return out, rounded(np.where(moved, np.maximum(e, rounded(out + 0.05)), e))
+
+
+def _shared(i: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, enough: np.ndarray, anchored: np.ndarray, onsets: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Times of the i-th of n letters between left and right, by the onsets from place `near` on or even; without a draft (not anchored) onsets count as they are."""
+    place = np.where(enough, near + i, 0)
+    t, after = onsets[place], np.where(i + 1 < n, onsets[np.where(enough & (i + 1 < n), place + 1, 0)], right)
+    s = np.where(anchored, np.maximum(left, t), t)
+    each = np.maximum(0.05, (right - left) / n)
+    e = np.where(after > s, after, s + np.where(anchored, (right - s) / (n - i), each))
+    e = np.where(anchored, np.maximum(s + 0.04, e), e)
+    step = np.maximum(0.05 * n, right - left) / n
+    even = np.where(anchored, step, each)
+    until = np.where(anchored, left + (i + 1) * step, np.minimum(right, left + i * each + each))
+    return rounded(np.where(enough, s, left + i * even)), rounded(np.where(enough, e, until))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def placed(draft: list[tuple[float, float, str]], text: str, start: float, end: float, onsets: list[float]) -> list[tuple[float, float, str]]:
+    """The letters of one corrected line with times: (start, end, letter); see placed_lines."""
+    starts, ends, heard = zip(*draft, strict=True) if draft else ((), (), ())
+    one = lambda x: np.array([x], float)
+    size = lambda x: np.array([len(x)])
+    s, e = placed_lines(code_points(text), size(text), code_points("".join(heard)), size(heard), np.array(starts, float), np.array(ends, float), one(start), one(end), np.array(sorted(onsets), float), size(onsets))
+    return list(zip(s.tolist(), e.tolist(), text, strict=True))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,9 @@ LONG = """
   FROM (SELECT o_custkey AS source, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS bar, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
   WHERE p % 13 <> 1"""
 
+# Letters of lines placed in one go.
+LETTERS = 300_000
+
 
 def long_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("source")), "l_orderkey")
@@ -131,21 +138,37 @@ def placed_lyrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters of corrected lines placed in time by aligning them with a draft (A5): every line of the conversations, heard with one letter in seven missing and one
     in five misheard, sung five letters a second, with an onset every third of a second."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "(?<=[.!?\n])\\s+")).alias("line", "text"))
-    rows = rows.select("conv_id", "turn", "line", F.regexp_replace("text", "[^\\p{L}\\p{N}]", "").alias("text")).where("text <> ''")
+    rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "line", F.regexp_replace("text", "[^\\p{L}\\p{N}]", "").alias("text")).where("text <> ''")
+
+    def some(conv, turn, line, texts):
+        letters, n = A.code_points("".join(texts)), np.array([len(t) for t in texts])
+        of, i = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        known, c, t = conv.is_valid().to_numpy(zero_copy_only=False), conv.fill_null(0).to_numpy(), turn.to_numpy()
+        start = 10.0 * t
+        end = start + 0.2 * n
+        begin = start[of] + 0.2 * i
+        kept = ~known[of] | (((c + t)[of] + i) % 7 != 0)
+        heard = np.where(known[of] & ((c[of] + i) % 5 == 2), ord("?"), letters)[kept]
+        count = (3 * (end - start)).astype(np.int64) + 1
+        onsets = np.repeat(start, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) / 3
+        times = A.placed_lines(letters, n, heard, np.bincount(of[kept], minlength=len(n)), A.rounded(begin)[kept], A.rounded(begin + 0.18)[kept], start, end, A.rounded(onsets), count)
+        ends = np.cumsum(1 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x10000), dtype=np.int32)
+        letter = pa.StringArray.from_buffers(len(i), pa.py_buffer(np.append(np.int32(0), ends)), pa.py_buffer("".join(texts).encode()))
+        return pa.RecordBatch.from_arrays([conv.take(pa.array(of)), turn.take(pa.array(of)), line.take(pa.array(of)), pa.array(i.astype(np.int32)), *map(pa.array, times), letter], names=["conv_id", "turn", "line", "i", "start", "end", "letter"])
 
     def place(batches):
         for b in batches:
-            out = []
-            for conv, turn, line, text in zip(b["conv_id"], b["turn"], b["line"], b["text"], strict=True):
-                start, end = 10.0 * turn, 10.0 * turn + 0.2 * len(text)
-                draft = [(round(start + 0.2 * i, 2), round(start + 0.2 * i + 0.18, 2), "?" if (conv + i) % 5 == 2 else c) for i, c in enumerate(text) if (conv + turn + i) % 7]
-                onsets = [round(start + i / 3, 2) for i in range(int(3 * (end - start)) + 1)]
-                out += [(conv, turn, line, i, s, e, c) for i, (s, e, c) in enumerate(A.placed(draft, text, start, end, onsets))]
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "line", "i", "start", "end", "letter"])
+            b = b.take(pc.sort_indices(pc.utf8_length(b["text"])))  # lines of like lengths together
+            texts = b["text"].to_pylist()
+            share = np.cumsum([len(t) for t in texts]) // LETTERS
+            edges = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(texts)]
+            for x, y in pairwise(edges):
+                if y > x:
+                    yield some(*(b[name][x:y] for name in ("conv_id", "turn", "line")), texts[x:y])
 
     # Few bytes but much work a row: as many tasks as the session deals out.
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.mapInPandas(place, "conv_id long, turn long, line int, i int, start double, end double, letter string")
+    return rows.mapInArrow(place, "conv_id long, turn long, line int, i int, start double, end double, letter string")
 
 
 @query()
