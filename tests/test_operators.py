@@ -119,3 +119,19 @@ def test_bass_line_is_optimal():
     pcs = [0, 7, 9, 4, 5]
     options = [[m for m in range(36, 53) if m % 12 == pc] for pc in pcs]
     assert abs(cost(sequences.bass_line(pcs)) - min(map(cost, itertools.product(*options)))) < 1e-9
+
+
+def test_lcs_of_sizes_around_the_bits_of_a_number(spark):
+    def lcs(a, b):
+        best = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(best[j] + 1 if x == y else max(best[j + 1], row[j]))
+            best = row
+        return best[-1]
+
+    rng = random.Random(3)
+    rows = [([rng.choice("abc") for _ in range(n)], [rng.choice("abc") for _ in range(m)]) for n in (0, 1, 30, 70) for m in (0, 1, 31, 61, 62, 63, 64, 70)] + [(["a"] * 62, ["a"] * 62), (["a"] * 70, ["a"] * 62), (["a"], ["b"] * 62)]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", sequences.lcs_length(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(r.n == lcs(r.a, r.b) for r in got)

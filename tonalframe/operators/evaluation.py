@@ -31,32 +31,32 @@ def song_scores(measures: DataFrame, read_measures: DataFrame, chords: DataFrame
     Measures are (song, row, measure), chords (song, row, measure, k, raw, beat) in their order k, changes (song, measure: from the song's start, semitones). Chords of the truth read "?" do not
     count. Chords are matched one to one by measure and name, in order; a measure is strict if its lists are equal; sequence is the longest common subsequence of each row."""
     c = F.col
-    none = F.lit(None)
-    spots = lambda df, side: df.select(*PLACE, F.lit(side).alias("_side"), F.lit(False).alias("_chord"), none.cast("string").alias("raw"), none.cast("int").alias("k"), none.cast("double").alias("beat"))
-    notes = lambda df, side: df.select(*PLACE, F.lit(side).alias("_side"), F.lit(True).alias("_chord"), "raw", "k", "beat")
-    # Measures and chords of both sides are dealt by rows of songs once; all that follows works on what lies together.
-    listed = spots(measures, 0).unionByName(spots(read_measures, 1)).unionByName(notes(chords.where("raw <> '?'"), 0)).unionByName(notes(read_chords, 1)).repartition("song", "row")
-    same_thing = [*PLACE, "_chord", "raw"]
-    nth = F.row_number().over(Window.partitionBy(*same_thing, "_side").orderBy("k", "beat"))
     true, seen = c("_side") == 0, c("_side") == 1
-    both = listed.withColumn("_n", nth).groupBy(*same_thing, "_n").agg(
+    side = lambda df, n, *columns: df.select(*columns, F.lit(n).alias("_side"))
+    # Both sides are dealt by rows of songs together: measures as a list a row, chords one by one. All that follows works on what lies together.
+    spots = side(measures, 0, *PLACE).unionByName(side(read_measures, 1, *PLACE)).groupBy("song", "row").agg(*(F.collect_list(F.when(of, c("measure"))).alias(name) for of, name in ((true, "i"), (seen, "j"))))
+    columns = [*PLACE, "raw", "k", "beat"]
+    listed = side(chords.where("raw <> '?'"), 0, *columns).unionByName(side(read_chords, 1, *columns)).repartition("song", "row")
+    nth = F.row_number().over(Window.partitionBy(*PLACE, "raw", "_side").orderBy("k", "beat"))
+    both = listed.withColumn("_n", nth).groupBy(*PLACE, "raw", "_n").agg(
         F.count_if(true).alias("a"), F.count_if(seen).alias("b"), F.max(F.when(true, c("k"))).alias("k_a"), F.max(F.when(seen, c("k"))).alias("k_b"),
         F.max(F.when(true, c("beat"))).alias("beat_a"), F.max(F.when(seen, c("beat"))).alias("beat_b"),
     )
-    a, b, chord, off = c("a") > 0, c("b") > 0, c("_chord"), F.abs(c("beat_a") - c("beat_b"))
-    chosen = lambda when, *columns: F.array_sort(F.collect_list(F.when(when, F.struct("measure", *columns))))
+    a, b, off = c("a") > 0, c("b") > 0, F.abs(c("beat_a") - c("beat_b"))
+    chosen = lambda when, k: F.array_sort(F.collect_list(F.when(when, F.struct("measure", c(k).alias("k"), "raw"))))
     by_row = both.groupBy("song", "row").agg(
-        F.count_if(~chord & a).alias("n"), F.count_if(~chord & b).alias("m"), F.count_if(chord & a).alias("truth"), F.count_if(chord & b).alias("read"), F.count_if(chord & a & b).alias("met"),
-        F.count_if(chord & a & b & (off <= 0.5)).alias("near"), F.count_if(chord & a & b & (off < 1e-4)).alias("same"),
-        chosen(~chord & a & b).alias("spots"), chosen(chord & a, c("k_a").alias("k"), "raw").alias("x"), chosen(chord & b, c("k_b").alias("k"), "raw").alias("y"),
+        F.count_if(a).alias("truth"), F.count_if(b).alias("read"), F.count_if(a & b).alias("met"), F.count_if(a & b & (off <= 0.5)).alias("near"), F.count_if(a & b & (off < 1e-4)).alias("same"),
+        chosen(a, "k_a").alias("x"), chosen(b, "k_b").alias("y"),
     )
     names = lambda x: F.transform(x, lambda e: e["raw"])
-    inside = lambda x, spot: names(F.filter(x, lambda e: e["measure"] == spot["measure"]))
-    strict = F.size(F.filter("spots", lambda spot: inside(c("x"), spot) == inside(c("y"), spot)))
-    by_row = by_row.select("song", "n", "m", "truth", "read", "met", "near", "same", strict.alias("strict"), F.when(c("n") > 0, lcs_length(names(c("x")), names(c("y")))).alias("lcs"))
+    inside = lambda x, spot: names(F.filter(x, lambda e: e["measure"] == spot))
+    strict = F.size(F.filter(F.array_intersect("i", "j"), lambda spot: F.coalesce(inside(c("x"), spot) == inside(c("y"), spot), F.lit(True))))
+    x, y = names(c("x")), names(c("y"))
+    lcs = F.when(F.size("i") > 0, F.when(x == y, F.size(x)).otherwise(lcs_length(x, y)))
+    by_row = spots.join(by_row, ["song", "row"], "full").select("song", *(F.coalesce(F.size(n), F.lit(0)).alias(m) for n, m in (("i", "n"), ("j", "m"))), "truth", "read", "met", "near", "same", strict.alias("strict"), lcs.alias("lcs"))
     found = by_row.groupBy("song").agg(
         F.count_if(c("n") > 0).alias("rows"), F.count_if(c("m") > 0).alias("read_rows"), F.count_if((c("n") > 0) & (c("n") == c("m"))).alias("like"), F.sum("n").alias("measures"),
-        *(F.sum(name).alias(name) for name in ("truth", "read", "met", "near", "same", "strict", "lcs")),
+        *(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in ("truth", "read", "met", "near", "same", "strict", "lcs")),
     ).where("rows > 0")
 
     turns = lambda df, side: df.select("song", F.lit(side).alias("_side"), F.struct("measure", "semitones").alias("_turn"))

@@ -30,7 +30,12 @@ def lcs_length(a: Column, b: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
 
     zero = F.array_repeat(F.lit(0), F.size(b) + 1)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, zero, row), -1))
+    long = F.element_at(F.aggregate(a, zero, row), -1)
+    # Where b fits into the bits of a number, a row of the table is one: a bit for each step, 0 where the length grows there. Both run backwards, as bits are pushed in.
+    bit = lambda y, x: F.when(y == x, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    places = F.transform(a, lambda x: F.aggregate(b, F.lit(0).cast("long"), lambda u, y: F.shiftleft(u, 1).bitwiseOR(bit(y, x))))
+    bits = F.aggregate(F.reverse(places), F.lit(-1).cast("long"), lambda v, m: (v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(F.size(b) <= 62, F.bit_count(F.bitwise_not(bits))).otherwise(long)
 
 
 # Registers and weights of bass lines, the open strings of a ukulele.
